@@ -109,3 +109,100 @@ def r6(expr: str, alias: str | None = None) -> str:
 
 def i64(expr: str, alias: str | None = None) -> str:
     return f"CAST({expr} AS BIGINT) AS {alias or expr}"
+
+
+# ---------------------------------------------------------------------------
+# Store, requests and lookups
+# ---------------------------------------------------------------------------
+
+def store_cte(specs=SPECS, windows=WINDOWS) -> str:
+    from ..schemas import aggregate_columns
+    aggs = ", ".join(aggregate_columns(specs, windows))
+    return with_aggs_cte(specs, windows) + f""",
+store AS (SELECT flight_date, ORIGIN, DEST, OP_CARRIER, route, CRS_DEP_HOUR, {aggs}
+          FROM with_aggs WHERE flight_date IS NOT NULL),
+sstats AS (SELECT COALESCE(avg(origin_delay_rate_30d), 0.25) AS sg, max(flight_date) AS max_date FROM store)"""
+
+
+def requests_cte(airports, carriers) -> str:
+    """CTEs ``rq`` (raw requests), ``reqf`` (features + validity), ``rql`` (+ lookup date)."""
+    ap = ", ".join(f"'{a}'" for a in airports)
+    cr = ", ".join(f"'{c}'" for c in carriers)
+    return f"""combos AS (
+ SELECT OP_CARRIER AS carrier, ORIGIN AS origin, DEST AS dest, max(flight_date) AS last_date,
+        min(DISTANCE) AS distance FROM labeled GROUP BY ALL),
+rq AS (
+ SELECT concat_ws('|', carrier, origin, dest) AS request_id,
+  CAST(last_date + CAST((length(origin) * 7 + length(dest) * 3 + ascii(substr(carrier, 1, 1))) % 61 - 30 AS INTEGER) AS DATE) AS flight_date,
+  carrier, origin, dest,
+  CAST((ascii(right(origin, 1)) + length(dest)) % 24 AS INTEGER) AS dep_hour,
+  CAST((ascii(right(dest, 1)) * 7) % 60 AS INTEGER) AS dep_minute, distance
+ FROM combos),
+reqf0 AS (
+ SELECT request_id, flight_date, year(flight_date) AS YEAR, month(flight_date) AS MONTH,
+  isodow(flight_date) AS DAY_OF_WEEK, CASE WHEN isodow(flight_date) IN (6, 7) THEN 1 ELSE 0 END AS is_weekend,
+  week(flight_date) AS week_of_year, day(flight_date) AS day_of_month,
+  upper(trim(carrier)) AS OP_CARRIER, upper(trim(origin)) AS ORIGIN, upper(trim(dest)) AS DEST,
+  upper(trim(origin)) || '-' || upper(trim(dest)) AS route,
+  CASE WHEN dep_hour <= 5 THEN 'night' WHEN dep_hour <= 11 THEN 'morning' WHEN dep_hour <= 17 THEN 'afternoon'
+       WHEN dep_hour <= 21 THEN 'evening' ELSE 'late' END AS dep_daypart,
+  CAST(distance AS DOUBLE) AS DISTANCE, dep_hour AS CRS_DEP_HOUR,
+  CAST(dep_hour * 60 + dep_minute AS DOUBLE) AS CRS_DEP_MINUTES,
+  CAST(NULL AS INTEGER) AS CRS_ARR_HOUR, CAST(NULL AS DOUBLE) AS CRS_ARR_MINUTES
+ FROM rq),
+reqf AS (
+ SELECT *, invalid_reason IS NULL AS is_valid FROM (
+  SELECT *, CASE WHEN ORIGIN = DEST THEN 'origin equals destination'
+                 WHEN ORIGIN NOT IN ({ap}) THEN 'unsupported origin'
+                 WHEN DEST NOT IN ({ap}) THEN 'unsupported destination'
+                 WHEN OP_CARRIER NOT IN ({cr}) THEN 'unsupported carrier' END AS invalid_reason
+  FROM reqf0)),
+rql AS (SELECT reqf.*, least(flight_date, max_date) AS lookup_date, sg FROM reqf, sstats)"""
+
+
+def lookup_own_sql(specs=SPECS, windows=WINDOWS) -> tuple[str, str]:
+    """(CTEs, FROM clause + select list of the 36 filled columns) for own-mode lookups."""
+    from ..schemas import spec_columns
+    ctes, joins, cols = [], [], []
+    for i, s in enumerate(specs):
+        sc = spec_columns(s, windows)
+        ctes.append(f"lk_{s.name} AS (SELECT flight_date AS lookup_date, {', '.join(s.keys)}, "
+                    + ", ".join(f"max({c}) AS {c}" for c in sc) + f" FROM store GROUP BY ALL)")
+        cond = " AND ".join([f"l{i}.lookup_date = rql.lookup_date"] + [f"l{i}.{k} = rql.{k}" for k in s.keys])
+        joins.append(f"LEFT JOIN lk_{s.name} l{i} ON {cond}")
+        for c in sc:
+            dflt = "0.0" if "_freq_" in c else "rql.sg"
+            cols.append(f"round(COALESCE(l{i}.{c}, {dflt}), 6) AS {c}")
+    return ",\n".join(ctes), "FROM rql " + " ".join(joins), ", ".join(cols)
+
+
+def lookup_overlay_sql(specs=SPECS, windows=WINDOWS) -> tuple[str, str, str]:
+    from ..schemas import aggregate_columns
+    aggs = aggregate_columns(specs, windows)
+    order_all = ["ORIGIN", "DEST", "OP_CARRIER", "route", "CRS_DEP_HOUR"]
+    ctes, joins = [], []
+    for i, s in enumerate(specs):
+        order = ", ".join(k for k in order_all if k not in s.keys)
+        keys = ", ".join(s.keys)
+        ctes.append(f"""ft_{s.name} AS (SELECT * FROM (
+ SELECT flight_date AS lookup_date, {keys}, {', '.join(aggs)},
+        row_number() OVER (PARTITION BY flight_date, {keys} ORDER BY {order}) AS rn FROM store) WHERE rn = 1)""")
+        cond = " AND ".join([f"h{i}.lookup_date = rql.lookup_date"] + [f"h{i}.{k} = rql.{k}" for k in s.keys])
+        joins.append(f"LEFT JOIN ft_{s.name} h{i} ON {cond}")
+    cols = []
+    for c in aggs:
+        dflt = "0.0" if "_freq_" in c else "rql.sg"
+        whens = " ".join(f"WHEN h{i}.lookup_date IS NOT NULL THEN h{i}.{c}" for i in reversed(range(len(specs))))
+        cols.append(f"round(CASE {whens} ELSE {dflt} END, 6) AS {c}")
+    return ",\n".join(ctes), "FROM rql " + " ".join(joins), ", ".join(cols)
+
+
+def lookup_composite_sql(specs=SPECS, windows=WINDOWS) -> tuple[str, str, str]:
+    from ..schemas import aggregate_columns
+    aggs = aggregate_columns(specs, windows)
+    keys = ["ORIGIN", "DEST", "OP_CARRIER", "route", "CRS_DEP_HOUR"]
+    cte = (f"uq AS (SELECT flight_date AS lookup_date, {', '.join(keys)}, "
+           + ", ".join(f"max({c}) AS {c}" for c in aggs) + " FROM store GROUP BY ALL)")
+    cond = " AND ".join(["u.lookup_date = rql.lookup_date"] + [f"u.{k} = rql.{k}" for k in keys])
+    cols = ", ".join(f"round(COALESCE(u.{c}, {'0.0' if '_freq_' in c else 'rql.sg'}), 6) AS {c}" for c in aggs)
+    return cte, f"FROM rql LEFT JOIN uq u ON {cond}", cols

@@ -177,3 +177,86 @@ def q_rolling_origin_30d(spark, sf_dir):
     """The minimum end-to-end slice: label -> A2 -> A1 -> W1(30) -> A3 -> J1."""
     wa = stages.with_aggregates(spark, sf_dir, specs=SPECS[:1], windows=(30,))
     return present(wa.select("flight_date", "ORIGIN", "delayed_15", "origin_freq_30d", "origin_delay_rate_30d"))
+
+
+# ---------------------------------------------------------------------------
+# Feature store, lookup tables, requests
+# ---------------------------------------------------------------------------
+
+from ..operators import store as ST  # noqa: E402
+from ..sources.fixture import FIXTURE_SUPPORTED_AIRPORTS, FIXTURE_SUPPORTED_CARRIERS  # noqa: E402
+
+_STORE_SQL = "WITH " + O.BASE + ",\n" + O.store_cte()
+_REQ_SQL = _STORE_SQL + ",\n" + O.requests_cte(FIXTURE_SUPPORTED_AIRPORTS, FIXTURE_SUPPORTED_CARRIERS)
+_KEYS_SQL = f"flight_date, ORIGIN, DEST, OP_CARRIER, route, {O.i64('CRS_DEP_HOUR')}"
+
+
+@register("feature_store", _STORE_SQL + f"\nSELECT {_KEYS_SQL}, {_AGG_SQL} FROM store")
+def q_feature_store(spark, sf_dir):
+    return present(stages.feature_store(spark, sf_dir))
+
+
+@register("store_profile", _STORE_SQL + f"""
+SELECT {O.i64('COUNT(*)', 'rows')}, {O.i64(str(len(aggregate_columns())), 'agg_cols')},
+  MIN(flight_date) AS date_min, MAX(flight_date) AS date_max,
+  {O.r6('(SELECT sg FROM sstats)', 'global_rate')} FROM store""")
+def q_store_profile(spark, sf_dir):
+    store = stages.feature_store(spark, sf_dir)
+    prof = store.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(aggregate_columns())).alias("agg_cols"),
+                     F.min("flight_date").alias("date_min"), F.max("flight_date").alias("date_max"))
+    return present(prof.withColumn("global_rate", ST.store_stats(store).select("global_rate").scalar()))
+
+
+@register("dedup_keep_first", _STORE_SQL + f"""
+SELECT flight_date, ORIGIN, DEST, OP_CARRIER, route, {O.i64('CRS_DEP_HOUR')}, {_AGG_SQL} FROM (
+ SELECT *, row_number() OVER (PARTITION BY flight_date, ORIGIN ORDER BY DEST, OP_CARRIER, route, CRS_DEP_HOUR) AS rn
+ FROM store) WHERE rn = 1""")
+def q_dedup_keep_first(spark, sf_dir):
+    from ..operators.sets import keep_first
+    store = stages.feature_store(spark, sf_dir)
+    return present(keep_first(store, ["flight_date", "ORIGIN"], ["DEST", "OP_CARRIER", "route", "CRS_DEP_HOUR"]))
+
+
+_REQ_COLS_SQL = (
+    f"request_id, flight_date, {O.i64('YEAR')}, {O.i64('MONTH')}, {O.i64('DAY_OF_WEEK')}, {O.i64('is_weekend')}, "
+    f"{O.i64('week_of_year')}, {O.i64('day_of_month')}, OP_CARRIER, ORIGIN, DEST, route, dep_daypart, "
+    f"{O.r6('DISTANCE')}, {O.i64('CRS_DEP_HOUR')}, {O.r6('CRS_DEP_MINUTES')}, {O.i64('CRS_ARR_HOUR')}, "
+    f"{O.r6('CRS_ARR_MINUTES')}, {O.i64('is_valid')}, invalid_reason")
+_own_ctes, _own_from, _own_cols = O.lookup_own_sql()
+_ov_ctes, _ov_from, _ov_cols = O.lookup_overlay_sql()
+_cp_cte, _cp_from, _cp_cols = O.lookup_composite_sql()
+
+
+def _requests(spark, sf_dir):
+    return stages.request_table(spark, sf_dir)
+
+
+@register("requests_enriched", _REQ_SQL + ",\n" + _own_ctes + f"""
+SELECT {', '.join('rql.' + c if ' AS ' not in c else c.replace('CAST(', 'CAST(rql.', 1) for c in _REQ_COLS_SQL.split(', '))}, rql.lookup_date, {_own_cols} {_own_from}""")
+def q_requests_enriched(spark, sf_dir):
+    store = stages.feature_store(spark, sf_dir)
+    return present(ST.enrich_requests(_requests(spark, sf_dir), store, mode="own"))
+
+
+@register("lookup_own", _REQ_SQL + ",\n" + _own_ctes + f"""
+SELECT rql.request_id, rql.lookup_date, {_own_cols} {_own_from}""")
+def q_lookup_own(spark, sf_dir):
+    store = stages.feature_store(spark, sf_dir)
+    out = ST.enrich_requests(_requests(spark, sf_dir), store, mode="own")
+    return present(out.select("request_id", "lookup_date", *aggregate_columns()))
+
+
+@register("lookup_overlay", _REQ_SQL + ",\n" + _ov_ctes + f"""
+SELECT rql.request_id, rql.lookup_date, {_ov_cols} {_ov_from}""")
+def q_lookup_overlay(spark, sf_dir):
+    store = stages.feature_store(spark, sf_dir)
+    out = ST.enrich_requests(_requests(spark, sf_dir), store, mode="overlay")
+    return present(out.select("request_id", "lookup_date", *aggregate_columns()))
+
+
+@register("lookup_composite", _REQ_SQL + ",\n" + _cp_cte + f"""
+SELECT rql.request_id, rql.lookup_date, {_cp_cols} {_cp_from}""")
+def q_lookup_composite(spark, sf_dir):
+    store = stages.feature_store(spark, sf_dir)
+    out = ST.lookup_composite(_requests(spark, sf_dir), store)
+    return present(out.select("request_id", "lookup_date", *aggregate_columns()))

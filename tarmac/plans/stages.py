@@ -13,13 +13,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.features import base_features, request_features
+from ..operators.features import base_features, request_features, request_validity
+from ..operators.store import build_store
 from ..operators.labels import derive_times, label_flights
 from ..operators.rolling import add_rolling_features
 from ..operators.scope import assign_splits
 from ..schemas import ALPHA, SPECS, WINDOWS, SplitConfig
 from ..session import materialize
-from ..sources.fixture import FIXTURE_SPLITS, flights
+from ..sources.fixture import (FIXTURE_SPLITS, FIXTURE_SUPPORTED_AIRPORTS, FIXTURE_SUPPORTED_CARRIERS,
+                               flights)
+
+
+# Written stage tables of this session, keyed by (application, data dir, stage).
+# A stage table is a file set in the shared folder, so reusing it is the same
+# hand-over the staged pipeline does between its steps.
+_STAGE_TABLES: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _stage(spark: SparkSession, sf_dir: str, name: str, build):
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    if key not in _STAGE_TABLES:
+        _STAGE_TABLES[key] = build()
+    return _STAGE_TABLES[key]
 
 
 def typed_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,18 +53,22 @@ def base_table(spark: SparkSession, sf_dir: str, splits: SplitConfig = FIXTURE_S
                persist: bool = True) -> DataFrame:
     """Base features of every split row; written once to the shared folder
     because six aggregations, the join-back and the global rate all read it."""
-    base = base_features(split_flights(spark, sf_dir, splits))
-    return materialize(base, "base") if persist else base
+    if not persist:
+        return base_features(split_flights(spark, sf_dir, splits))
+    return _stage(spark, sf_dir, f"base-{splits}",
+                  lambda: materialize(base_features(split_flights(spark, sf_dir, splits)), "base"))
 
 
 def with_aggregates(spark: SparkSession, sf_dir: str, splits: SplitConfig = FIXTURE_SPLITS,
                     specs=SPECS, windows=WINDOWS, alpha: float = ALPHA, rate_scope: str = "all",
                     base: DataFrame | None = None) -> DataFrame:
-    base = base if base is not None else base_table(spark, sf_dir, splits)
-    return add_rolling_features(base, specs, windows, alpha, rate_scope)
+    if base is not None:
+        return add_rolling_features(base, specs, windows, alpha, rate_scope)
+    return _stage(spark, sf_dir, f"aggs-{splits}-{specs}-{windows}-{alpha}-{rate_scope}",
+                  lambda: add_rolling_features(base_table(spark, sf_dir, splits), specs, windows, alpha, rate_scope))
 
 
-def fixture_requests(labeled: DataFrame, store_max_date) -> DataFrame:
+def fixture_requests(labeled: DataFrame) -> DataFrame:
     """Requests derived from the data: one per distinct (carrier, origin, dest).
 
     The date is the combination's last flight date shifted by -30..+30 days
@@ -72,5 +91,22 @@ def fixture_requests(labeled: DataFrame, store_max_date) -> DataFrame:
     )
 
 
-def request_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return request_features(fixture_requests(labeled_flights(spark, sf_dir), None))
+def request_table(spark: SparkSession, sf_dir: str, validate: bool = True) -> DataFrame:
+    """Request features (P19) + validity flags (F8) for the fixture requests."""
+    feats = request_features(fixture_requests(labeled_flights(spark, sf_dir)))
+    if validate:
+        feats = request_validity(feats, FIXTURE_SUPPORTED_AIRPORTS, FIXTURE_SUPPORTED_CARRIERS)
+    return feats
+
+
+def feature_store(spark: SparkSession, sf_dir: str, with_aggs: DataFrame | None = None) -> DataFrame:
+    """The store (V1), written to the shared folder: every lookup reads it."""
+    if with_aggs is not None:
+        return materialize(build_store(with_aggs), "store")
+    return _stage(spark, sf_dir, "store", lambda: materialize(build_store(with_aggregates(spark, sf_dir)), "store"))
+
+
+def scored_fixture(with_aggs: DataFrame) -> DataFrame:
+    """A deterministic score for metric queries: the origin 30-day rate, rounded to 6."""
+    return with_aggs.select("split", F.col("delayed_15").alias("label"),
+                            F.round("origin_delay_rate_30d", 6).alias("score"))
