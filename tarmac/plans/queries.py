@@ -260,3 +260,219 @@ def q_lookup_composite(spark, sf_dir):
     store = stages.feature_store(spark, sf_dir)
     out = ST.lookup_composite(_requests(spark, sf_dir), store)
     return present(out.select("request_id", "lookup_date", *aggregate_columns()))
+
+
+# ---------------------------------------------------------------------------
+# Scope, split and profiles
+# ---------------------------------------------------------------------------
+
+from ..operators import scope as SC  # noqa: E402
+from ..sources.fixture import FIXTURE_SCOPE  # noqa: E402
+
+
+def _in(vals):
+    return ", ".join(f"'{v}'" for v in vals)
+
+
+_SCOPE_WHERE = (
+    f"flight_date BETWEEN DATE '{FIXTURE_SCOPE.start}' AND DATE '{FIXTURE_SCOPE.end}' "
+    f"AND upper(trim(OP_CARRIER)) IN ({_in(FIXTURE_SCOPE.carriers)}) "
+    f"AND upper(trim(ORIGIN)) IN ({_in(FIXTURE_SCOPE.origins)}) AND upper(trim(DEST)) IN ({_in(FIXTURE_SCOPE.dests)})")
+
+
+@register("scope_filter", "WITH " + O.LABELED + f"""
+SELECT flight_date, {O.i64('YEAR')}, {O.i64('MONTH')}, upper(trim(OP_CARRIER)) AS OP_CARRIER,
+  upper(trim(ORIGIN)) AS ORIGIN, upper(trim(DEST)) AS DEST, {O.r6('arr_delay_minutes')}, {O.i64('delayed_15')}
+FROM labeled WHERE {_SCOPE_WHERE}""")
+def q_scope_filter(spark, sf_dir):
+    return present(SC.scope_filter(stages.labeled_flights(spark, sf_dir), FIXTURE_SCOPE).select(*_LABEL_COLS))
+
+
+@register("scope_profile", "WITH " + O.LABELED + f"""
+SELECT {O.i64('COUNT(*)', 'rows')}, {O.r6('AVG(CAST(delayed_15 AS DOUBLE))', 'delay_rate')},
+  MIN(flight_date) AS date_min, MAX(flight_date) AS date_max,
+  array_to_string(list_sort(list_distinct(list(upper(trim(OP_CARRIER))))), '|') AS carriers,
+  array_to_string(list_sort(list_distinct(list(upper(trim(ORIGIN))))), '|') AS origins,
+  array_to_string(list_sort(list_distinct(list(upper(trim(DEST))))), '|') AS dests
+FROM labeled WHERE {_SCOPE_WHERE}""")
+def q_scope_profile(spark, sf_dir):
+    return present(SC.scope_profile(SC.scope_filter(stages.labeled_flights(spark, sf_dir), FIXTURE_SCOPE)))
+
+
+@register("time_split", "WITH " + O.SPLIT + f"""
+SELECT flight_date, OP_CARRIER, ORIGIN, DEST, {O.i64('delayed_15')}, split FROM split_rows""")
+def q_time_split(spark, sf_dir):
+    return present(stages.split_flights(spark, sf_dir).select(
+        "flight_date", "OP_CARRIER", "ORIGIN", "DEST", "delayed_15", "split"))
+
+
+@register("split_summary", "WITH " + O.SPLIT + f"""
+SELECT split, {O.i64('COUNT(*)', 'rows')}, {O.r6('AVG(CAST(delayed_15 AS DOUBLE))', 'delay_rate')},
+  MIN(flight_date) AS date_min, MAX(flight_date) AS date_max FROM split_rows GROUP BY split""")
+def q_split_summary(spark, sf_dir):
+    return present(SC.split_summary(stages.split_flights(spark, sf_dir)))
+
+
+@register("year_month_preview", "WITH " + O.LABELED + f"""
+SELECT {O.i64('YEAR')}, {O.i64('MONTH')} FROM (SELECT DISTINCT YEAR, MONTH FROM labeled) ORDER BY 1, 2 LIMIT 10""")
+def q_year_month_preview(spark, sf_dir):
+    return present(SC.year_month_preview(stages.labeled_flights(spark, sf_dir)))
+
+
+@register("ingest_profile", "WITH " + O.TYPED + f"""
+SELECT {O.i64('COUNT(*)', 'rows')}, MIN(FL_DATE) AS date_min, MAX(FL_DATE) AS date_max FROM typed""")
+def q_ingest_profile(spark, sf_dir):
+    return present(SC.ingest_profile(stages.typed_flights(spark, sf_dir)).drop("columns"))
+
+
+# ---------------------------------------------------------------------------
+# Metrics over a deterministic score
+# ---------------------------------------------------------------------------
+
+from ..operators import metrics as M  # noqa: E402
+
+_SCORED_SQL = ("WITH " + O.BASE + ",\n" + O.with_aggs_cte()
+               + ",\nsc AS (SELECT split, delayed_15 AS y, round(origin_delay_rate_30d, 6) AS p FROM with_aggs)")
+_CUM_SQL = _SCORED_SQL + """,
+thr AS (SELECT split, p, SUM(y) AS tp, COUNT(*) - SUM(y) AS fp FROM sc WHERE p IS NOT NULL GROUP BY split, p),
+cum AS (SELECT *, SUM(tp) OVER (PARTITION BY split ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS ctp,
+                  SUM(fp) OVER (PARTITION BY split ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS cfp FROM thr),
+rk AS (SELECT split, CAST(SUM(tp) AS DOUBLE) AS P, CAST(SUM(fp) AS DOUBLE) AS N,
+  SUM((CAST(ctp AS DOUBLE) - CAST(tp AS DOUBLE) / 2) * CAST(fp AS DOUBLE)) AS auc_num,
+  SUM(CAST(tp AS DOUBLE) * CAST(ctp AS DOUBLE) / CAST(ctp + cfp AS DOUBLE)) AS ap_num, COUNT(*) AS thresholds
+ FROM cum GROUP BY split)"""
+
+
+def _scored(spark, sf_dir):
+    return stages.scored_fixture(stages.with_aggregates(spark, sf_dir))
+
+
+@register("roc_auc", _CUM_SQL + f"""
+SELECT split, {O.r6('CASE WHEN P > 0 AND N > 0 THEN auc_num / (P * N) END', 'roc_auc')},
+  {O.i64('P', 'positives')}, {O.i64('N', 'negatives')}, {O.i64('thresholds')} FROM rk""")
+def q_roc_auc(spark, sf_dir):
+    r = M.ranking_metrics(_scored(spark, sf_dir), group_cols=["split"])
+    return present(r.select("split", "roc_auc", "positives", "negatives", "thresholds"))
+
+
+@register("average_precision", _CUM_SQL + f"""
+SELECT split, {O.r6('CASE WHEN P > 0 THEN ap_num / P END', 'average_precision')} FROM rk""")
+def q_average_precision(spark, sf_dir):
+    r = M.ranking_metrics(_scored(spark, sf_dir), group_cols=["split"])
+    return present(r.select("split", "average_precision"))
+
+
+@register("brier", _SCORED_SQL + f"""
+SELECT split, {O.r6('AVG((p - y) * (p - y))', 'brier')} FROM sc GROUP BY split""")
+def q_brier(spark, sf_dir):
+    return present(M.brier(_scored(spark, sf_dir), group_cols=["split"]))
+
+
+@register("confusion_matrix", _SCORED_SQL + f"""
+SELECT split, {O.i64('COUNT(*) FILTER (WHERE y = 0 AND NOT p >= 0.5)', 'tn')},
+  {O.i64('COUNT(*) FILTER (WHERE y = 0 AND p >= 0.5)', 'fp')},
+  {O.i64('COUNT(*) FILTER (WHERE y = 1 AND NOT p >= 0.5)', 'fn')},
+  {O.i64('COUNT(*) FILTER (WHERE y = 1 AND p >= 0.5)', 'tp')} FROM sc GROUP BY split""")
+def q_confusion_matrix(spark, sf_dir):
+    return present(M.confusion_matrix(_scored(spark, sf_dir), threshold=0.5, group_cols=["split"]))
+
+
+@register("confusion_matrix_t025", _SCORED_SQL + f"""
+SELECT split, {O.i64('COUNT(*) FILTER (WHERE y = 0 AND NOT p >= 0.25)', 'tn')},
+  {O.i64('COUNT(*) FILTER (WHERE y = 0 AND p >= 0.25)', 'fp')},
+  {O.i64('COUNT(*) FILTER (WHERE y = 1 AND NOT p >= 0.25)', 'fn')},
+  {O.i64('COUNT(*) FILTER (WHERE y = 1 AND p >= 0.25)', 'tp')} FROM sc GROUP BY split""")
+def q_confusion_matrix_t025(spark, sf_dir):
+    return present(M.confusion_matrix(_scored(spark, sf_dir), threshold=0.25, group_cols=["split"]))
+
+
+@register("evaluation", _CUM_SQL + f""",
+other AS (SELECT split, AVG((p - y) * (p - y)) AS brier,
+  COUNT(*) FILTER (WHERE y = 0 AND NOT p >= 0.5) AS tn, COUNT(*) FILTER (WHERE y = 0 AND p >= 0.5) AS fp,
+  COUNT(*) FILTER (WHERE y = 1 AND NOT p >= 0.5) AS fn, COUNT(*) FILTER (WHERE y = 1 AND p >= 0.5) AS tp
+ FROM sc GROUP BY split)
+SELECT rk.split, {O.r6('CASE WHEN P > 0 AND N > 0 THEN auc_num / (P * N) END', 'roc_auc')},
+  {O.r6('CASE WHEN P > 0 THEN ap_num / P END', 'average_precision')}, {O.i64('P', 'positives')},
+  {O.i64('N', 'negatives')}, {O.i64('thresholds')}, {O.i64('tn')}, {O.i64('fp')}, {O.i64('fn')}, {O.i64('tp')},
+  {O.r6('brier')}, 0.5 AS threshold FROM rk JOIN other USING (split)""")
+def q_evaluation(spark, sf_dir):
+    return present(M.evaluate(_scored(spark, sf_dir), threshold=0.5, group_cols=["split"]))
+
+
+@register("class_weights", _SCORED_SQL + f""",
+cw AS (SELECT y, COUNT(*) AS n FROM sc WHERE split = 'train' GROUP BY y)
+SELECT {O.i64('y', 'label')}, {O.i64('n')}, {O.r6('(SELECT MAX(n) FROM cw) / n', 'weight')} FROM cw""")
+def q_class_weights(spark, sf_dir):
+    return present(M.class_weights(_scored(spark, sf_dir).where(F.col("split") == "train")))
+
+
+@register("risk_buckets", _SCORED_SQL + f"""
+SELECT split, CASE WHEN p < 0.2 THEN 'Low' WHEN p < 0.4 THEN 'Medium' WHEN p IS NOT NULL THEN 'High' END AS risk_bucket,
+  {O.i64('COUNT(*)', 'rows')} FROM sc GROUP BY ALL""")
+def q_risk_buckets(spark, sf_dir):
+    from ..operators.explain import risk_bucket
+    s = _scored(spark, sf_dir)
+    return present(s.groupBy("split", risk_bucket("score").alias("risk_bucket")).agg(F.count(F.lit(1)).alias("rows")))
+
+
+# ---------------------------------------------------------------------------
+# Sampling (N1 N2)
+# ---------------------------------------------------------------------------
+
+from ..operators import sampling as SM  # noqa: E402
+
+SAMPLE_CAP = 7001
+UNIFORM_CAP = 5000
+
+
+def _train_rows(spark, sf_dir):
+    return stages.with_aggregates(spark, sf_dir).where(F.col("split") == "train")
+
+
+@register("sample_sizes", _SCORED_SQL + f""",
+cnt AS (SELECT y, COUNT(*) AS size FROM sc WHERE split = 'train' GROUP BY y),
+tot AS (SELECT SUM(size) AS rows FROM cnt),
+tgt AS (SELECT y, size, CASE WHEN rows > {SAMPLE_CAP}
+   THEN least(greatest(1, CAST(round_even(size * {SAMPLE_CAP}.0 / rows, 0) AS BIGINT)), size) ELSE size END AS n
+ FROM cnt, tot)
+SELECT {O.i64('y', 'delayed_15')}, {O.i64('size')}, {O.i64('n')}, {O.i64('n', 'sampled')} FROM tgt""")
+def q_sample_sizes(spark, sf_dir):
+    train = _train_rows(spark, sf_dir)
+    tgt = SM.target_sizes(train, SAMPLE_CAP, "delayed_15")
+    got = SM.capped_sample(train, SAMPLE_CAP, "delayed_15").groupBy("delayed_15").agg(
+        F.count(F.lit(1)).alias("sampled"))
+    return present(tgt.join(got, "delayed_15", "left").fillna(0, ["sampled"]))
+
+
+@register("uniform_sample_size", _SCORED_SQL + f"""
+SELECT {O.i64('COUNT(*)', 'rows')}, {O.i64(str(UNIFORM_CAP), 'cap')}, {O.i64(f'least(COUNT(*), {UNIFORM_CAP})', 'sampled')}
+FROM sc WHERE split = 'train'""")
+def q_uniform_sample_size(spark, sf_dir):
+    train = _train_rows(spark, sf_dir)
+    rows = train.agg(F.count(F.lit(1)).alias("rows"))
+    got = SM.capped_sample(train.drop("delayed_15"), UNIFORM_CAP, None).agg(F.count(F.lit(1)).alias("sampled"))
+    return present(rows.withColumn("cap", F.lit(UNIFORM_CAP)).withColumn("sampled", got.scalar()))
+
+
+@register("stratified_sample", None)
+def q_stratified_sample(spark, sf_dir):
+    """Sample members (rows-only check: members differ from any SQL draw, counts are checked above)."""
+    return present(SM.capped_sample(_train_rows(spark, sf_dir), SAMPLE_CAP, "delayed_15"))
+
+
+# ---------------------------------------------------------------------------
+# Union by name
+# ---------------------------------------------------------------------------
+
+@register("union_by_name", "WITH " + O.BASE + f"""
+SELECT {_BASE_SQL_COLS.replace('DISTANCE', 'DISTANCE')}, split FROM (
+ SELECT * FROM base WHERE split = 'train'
+ UNION ALL BY NAME SELECT * EXCLUDE (CRS_ARR_MINUTES, CRS_ARR_HOUR) FROM base WHERE split = 'val'
+ UNION ALL BY NAME SELECT * EXCLUDE (DISTANCE) FROM base WHERE split = 'test')""")
+def q_union_by_name(spark, sf_dir):
+    from ..operators.sets import union_by_name
+    b = stages.base_table(spark, sf_dir)
+    parts = [b.where(F.col("split") == "train"),
+             b.where(F.col("split") == "val").drop("CRS_ARR_MINUTES", "CRS_ARR_HOUR"),
+             b.where(F.col("split") == "test").drop("DISTANCE")]
+    return present(union_by_name(parts))
