@@ -160,7 +160,7 @@ reqf AS (
 rql AS (SELECT reqf.*, least(flight_date, max_date) AS lookup_date, sg FROM reqf, sstats)"""
 
 
-def lookup_own_sql(specs=SPECS, windows=WINDOWS) -> tuple[str, str]:
+def lookup_own_sql(specs=SPECS, windows=WINDOWS, rounded: bool = True) -> tuple[str, str, str]:
     """(CTEs, FROM clause + select list of the 36 filled columns) for own-mode lookups."""
     from ..schemas import spec_columns
     ctes, joins, cols = [], [], []
@@ -172,7 +172,8 @@ def lookup_own_sql(specs=SPECS, windows=WINDOWS) -> tuple[str, str]:
         joins.append(f"LEFT JOIN lk_{s.name} l{i} ON {cond}")
         for c in sc:
             dflt = "0.0" if "_freq_" in c else "rql.sg"
-            cols.append(f"round(COALESCE(l{i}.{c}, {dflt}), 6) AS {c}")
+            v = f"COALESCE(l{i}.{c}, {dflt})"
+            cols.append(f"round({v}, 6) AS {c}" if rounded else f"{v} AS {c}")
     return ",\n".join(ctes), "FROM rql " + " ".join(joins), ", ".join(cols)
 
 

@@ -476,3 +476,127 @@ def q_union_by_name(spark, sf_dir):
              b.where(F.col("split") == "val").drop("CRS_ARR_MINUTES", "CRS_ARR_HOUR"),
              b.where(F.col("split") == "test").drop("DISTANCE")]
     return present(union_by_name(parts))
+
+
+# ---------------------------------------------------------------------------
+# Explanations over a deterministic contribution table
+#   contribution of a rate feature = its looked-up value - the store's global rate
+# ---------------------------------------------------------------------------
+
+from ..operators import explain as X  # noqa: E402
+from ..schemas import model_feature_columns  # noqa: E402
+
+_FEATS = model_feature_columns()
+_RATE_FEATS = [(i, c) for i, c in enumerate(_FEATS) if "_delay_rate_" in c]
+_raw_ctes, _raw_from, _raw_cols = O.lookup_own_sql(rounded=False)
+_ENR_SQL = _REQ_SQL + ",\n" + _raw_ctes + f""",
+enr AS (SELECT rql.request_id, rql.flight_date, rql.OP_CARRIER, rql.ORIGIN, rql.DEST, rql.route, rql.CRS_DEP_HOUR,
+               rql.DAY_OF_WEEK, rql.sg, {_raw_cols} {_raw_from}),
+lng AS ({' UNION ALL '.join(
+    f"SELECT request_id, '{c}' AS feature, {i} AS pos, CAST(round({c}, 6) AS VARCHAR) AS value, {c} - sg AS contribution FROM enr"
+    for i, c in _RATE_FEATS)}),
+ranked AS (SELECT * FROM (
+ SELECT *, row_number() OVER (PARTITION BY request_id, direction ORDER BY abs(contribution) DESC, pos) AS rank
+ FROM (SELECT *, CASE WHEN contribution > 0 THEN 'up' ELSE 'down' END AS direction FROM lng WHERE contribution <> 0)))"""
+
+_PAT = r"^([a-z_]+)_(delay_rate|freq)_(\d+)d$"
+_SPEC_CASE = "CASE regexp_extract(feature, '{p}', 1) {w} ELSE regexp_extract(feature, '{p}', 1) END".format(
+    p=_PAT, w=" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in __import__('tarmac.schemas', fromlist=['x']).SPEC_LABELS.items()))
+_LABEL_SQL = (f"CASE WHEN regexp_matches(feature, '{_PAT}') THEN {_SPEC_CASE} || CASE regexp_extract(feature, '{_PAT}', 2) "
+              f"WHEN 'delay_rate' THEN ' delay rate (last ' ELSE ' flights observed (last ' END "
+              f"|| regexp_extract(feature, '{_PAT}', 3) || ' days)' ELSE feature END")
+
+
+def _enriched(spark, sf_dir):
+    store = stages.feature_store(spark, sf_dir)
+    enr = ST.enrich_requests(_requests(spark, sf_dir), store, mode="own")
+    return enr, ST.store_stats(store).select("global_rate").scalar()
+
+
+def _long_contributions(enr, sg):
+    items = [F.struct(F.lit(c).alias("feature"), F.lit(i).alias("pos"),
+                      F.round(F.col(c), 6).cast("string").alias("value"),
+                      (F.col(c) - sg).alias("contribution")) for i, c in _RATE_FEATS]
+    return enr.select("request_id", F.explode(F.array(*items)).alias("x")).select("request_id", "x.*")
+
+
+@register("reason_codes", _REQ_SQL + """
+SELECT request_id, array_to_string(list_slice(list_filter([
+  CASE WHEN CRS_DEP_HOUR IS NOT NULL AND CRS_DEP_HOUR >= 18 THEN '""" + X.S.REASON_EVENING + """' END,
+  CASE WHEN CRS_DEP_HOUR IS NOT NULL AND CRS_DEP_HOUR <= 7 THEN '""" + X.S.REASON_EARLY + """' END,
+  CASE WHEN is_weekend = 1 THEN '""" + X.S.REASON_WEEKEND + """' END,
+  CASE WHEN DISTANCE >= 1500 THEN '""" + X.S.REASON_LONG + """' END,
+  CASE WHEN route IS NOT NULL THEN '""" + X.S.REASON_ROUTE + """' END], lambda x: x IS NOT NULL), 1, 4), '|') AS reasons
+FROM reqf""")
+def q_reason_codes(spark, sf_dir):
+    req = _requests(spark, sf_dir)
+    return present(req.select("request_id", X.reason_codes().alias("reasons")))
+
+
+@register("feature_labels", _ENR_SQL + f"""
+SELECT request_id, feature, {_LABEL_SQL} AS label, {O.r6('contribution')} FROM lng""")
+def q_feature_labels(spark, sf_dir):
+    enr, sg = _enriched(spark, sf_dir)
+    lng = _long_contributions(enr, sg)
+    cat = X.label_catalogue(spark, _FEATS)
+    return present(X.with_labels(lng, cat).select("request_id", "feature", "label", "contribution"))
+
+
+@register("contribution_topk", _ENR_SQL + f"""
+SELECT request_id, feature, direction, {O.i64('rank')}, {O.r6('contribution')} FROM ranked WHERE rank <= 8""")
+def q_contribution_topk(spark, sf_dir):
+    enr, sg = _enriched(spark, sf_dir)
+    top = X.top_k_long(_long_contributions(enr, sg), "request_id", k=8)
+    return present(top.select("request_id", "feature", "direction", "rank", "contribution"))
+
+
+_BULLETS_SQL = _ENR_SQL + f""",
+lbl AS (SELECT *, {_LABEL_SQL} AS label FROM ranked),
+head AS (SELECT request_id, round(origin_delay_rate_30d * 1000) AS t, origin_delay_rate_30d AS p,
+  OP_CARRIER, ORIGIN, DEST, flight_date, CRS_DEP_HOUR FROM enr),
+lines AS (
+ SELECT request_id, 1 AS ord, 'Predicted delay risk is ' || CAST(CAST(t AS BIGINT) // 10 AS VARCHAR) || '.'
+   || CAST(CAST(t AS BIGINT) % 10 AS VARCHAR) || '% (bucket: '
+   || CASE WHEN p < 0.2 THEN 'Low' WHEN p < 0.4 THEN 'Medium' ELSE 'High' END || ').' AS line FROM head
+ UNION ALL SELECT request_id, 2, 'Flight inputs: ' || OP_CARRIER || ' ' || ORIGIN || '→' || DEST || ' on '
+   || strftime(flight_date, '%Y-%m-%dT%H:%M:%S') || ' departing around hour ' || CAST(CRS_DEP_HOUR AS VARCHAR) || '.' FROM head
+ UNION ALL SELECT request_id, 3, 'Historical aggregates were looked up using date: '
+   || strftime((SELECT max_date FROM sstats), '%Y-%m-%d %H:%M:%S') || '.' FROM head
+ UNION ALL SELECT request_id, 10 + rank, 'Risk ↑: ' || label || ' = ' || value || ' (feature: ' || feature || ').'
+   FROM lbl WHERE direction = 'up' AND rank <= 3
+ UNION ALL SELECT request_id, 20 + rank, 'Risk ↓: ' || label || ' = ' || value || ' (feature: ' || feature || ').'
+   FROM lbl WHERE direction = 'down' AND rank <= 2)"""
+
+
+@register("evidence_bullets", _BULLETS_SQL + """
+SELECT request_id, string_agg(line, '|' ORDER BY ord) AS bullets FROM (
+ SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY ord) AS k FROM lines) WHERE k <= 6 GROUP BY request_id""")
+def q_evidence_bullets(spark, sf_dir):
+    out = _explained_requests(spark, sf_dir)
+    return present(out.select("request_id", "bullets"))
+
+
+def _explained_requests(spark, sf_dir):
+    enr, sg = _enriched(spark, sf_dir)
+    store = stages.feature_store(spark, sf_dir)
+    max_date = ST.store_stats(store).select("max_date").scalar()
+    packed = X.pack_contributions([c for _, c in _RATE_FEATS],
+                                  [F.round(F.col(c), 6) for _, c in _RATE_FEATS],
+                                  [F.col(c) - sg for _, c in _RATE_FEATS])
+    out = enr.withColumns({"probability": F.col("origin_delay_rate_30d"),
+                           "contributions": packed, "base_value": sg})
+    out = out.withColumn("risk_bucket", X.risk_bucket("probability"))
+    out = out.withColumns(X.explanation_columns("contributions", k=6))
+    # A scalar subquery may not sit inside a higher-order function: project it first.
+    out = out.withColumn("lookup_text", X.lookup_meta_text(max_date))
+    lookup_text = F.col("lookup_text")
+    return out.withColumns({
+        "bullets": X.bullets(lookup_text=lookup_text),
+        "evidence": X.evidence(lookup_text=lookup_text),
+    })
+
+
+@register("evidence_documents", None)
+def q_evidence_documents(spark, sf_dir):
+    """Evidence JSON per request (rows-only: JSON text formatting is engine-specific)."""
+    return _explained_requests(spark, sf_dir).select("request_id", "evidence")
