@@ -600,3 +600,47 @@ def _explained_requests(spark, sf_dir):
 def q_evidence_documents(spark, sf_dir):
     """Evidence JSON per request (rows-only: JSON text formatting is engine-specific)."""
     return _explained_requests(spark, sf_dir).select("request_id", "evidence")
+
+
+# ---------------------------------------------------------------------------
+# Model: training, scoring, contributions (E1-E5 H1) -- rows-only checks
+# ---------------------------------------------------------------------------
+
+from . import modeling as MO  # noqa: E402
+
+
+def _scored_requests(spark, sf_dir):
+    model = MO.fixture_model(spark, sf_dir)
+    return MO.score_requests(spark, _requests(spark, sf_dir), stages.feature_store(spark, sf_dir), model)
+
+
+@register("model_evaluation", None)
+def q_model_evaluation(spark, sf_dir):
+    """AUC / AP / Brier / confusion of the fitted trees on val and test (values are model-specific)."""
+    model = MO.fixture_model(spark, sf_dir)
+    return present(MO.evaluate_splits(model, stages.with_aggregates(spark, sf_dir)))
+
+
+@register("score_batch", None)
+def q_score_batch(spark, sf_dir):
+    out = _scored_requests(spark, sf_dir)
+    return present(out.select("request_id", "is_valid", "probability", "risk_bucket", "reasons"))
+
+
+@register("contributions", None)
+def q_contributions(spark, sf_dir):
+    """Per-request path contributions; ``check`` = log-odds - base - sum (should be ~0)."""
+    out = _scored_requests(spark, sf_dir)
+    total = F.aggregate("contrib", F.lit(0.0), lambda a, x: a + x)
+    log_odds = F.log(F.col("probability") / (1 - F.col("probability")))
+    return present(out.select(
+        "request_id", "base_value", total.alias("contribution_sum"),
+        (log_odds - F.col("base_value") - total).alias("check"),
+        F.transform("top_positive", lambda d: d["feature"]).alias("top_up"),
+        F.transform("top_negative", lambda d: d["feature"]).alias("top_down")))
+
+
+@register("explain_batch", None)
+def q_explain_batch(spark, sf_dir):
+    out = _scored_requests(spark, sf_dir)
+    return out.select("request_id", "probability", "risk_bucket", "evidence", F.array_join("bullets", "|").alias("bullets"))
