@@ -62,10 +62,13 @@ def cumulative_rates(thr: DataFrame, group_cols=(), n_buckets: int | None = None
         bounds = sorted(set(thr.approxQuantile("p", qs, 1.0 / (4 * n_buckets))))
     else:
         bounds = []
-    splits = [-float("inf"), *bounds, float("inf")]
-    # Bucketizer is JVM-side; bucket k holds scores in [splits[k], splits[k+1]).
-    bz = Bucketizer(splits=splits, inputCol="p", outputCol="_b", handleInvalid="keep")
-    b = bz.transform(thr).withColumn("_b", F.col("_b").cast("int"))
+    if bounds:
+        # Bucketizer is JVM-side; bucket k holds scores in [splits[k], splits[k+1]).
+        splits = [-float("inf"), *bounds, float("inf")]
+        bz = Bucketizer(splits=splits, inputCol="p", outputCol="_b", handleInvalid="keep")
+        b = bz.transform(thr).withColumn("_b", F.col("_b").cast("int"))
+    else:
+        b = thr.withColumn("_b", F.lit(0))
     totals = b.groupBy(*group_cols, "_b").agg(F.sum("tp").alias("_btp"), F.sum("fp").alias("_bfp"))
     higher = Window.partitionBy(*group_cols).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*group_cols, "_b",

@@ -14,14 +14,12 @@ day number, i.e. the days [d-w, d-1]: the current day is excluded.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coerce import sanitize_hour, sanitize_key
 from ..schemas import ALPHA, LABEL, SPECS, WINDOWS, AggSpec, freq_col, rate_col, spec_columns
-from ..session import shared_dir
+from ..session import materialize_family
 
 STRING_KEYS = ("OP_CARRIER", "ORIGIN", "DEST", "route")
 # Daily feature tables at most this many rows are broadcast to the join-back.
@@ -101,46 +99,6 @@ def join_rolling(df: DataFrame, feats: DataFrame, spec: AggSpec, g: Column,
     return out.withColumns(fill)
 
 
-def _write_daily_tables(feats: dict, specs, windows) -> dict:
-    """Write every spec's daily feature table in one job; read each back.
-
-    Keys are normalised to two string columns so the six tables share one
-    schema; the output is partitioned by spec, so each read-back prunes to
-    its own directory.  One aggregate over the written files gives every
-    table's row count for the broadcast decision.
-    """
-    width = max(len(s.keys) for s in specs)
-    parts = []
-    for spec in specs:
-        f = feats[spec.name]
-        keys = [F.col(k).cast("string").alias(f"_k{i}") for i, k in enumerate(spec.keys)]
-        keys += [F.lit(None).cast("string").alias(f"_k{i}") for i in range(len(spec.keys), width)]
-        vals = []
-        for w in windows:
-            vals += [F.col(freq_col(spec.name, w)).alias(f"_f{w}"), F.col(rate_col(spec.name, w)).alias(f"_r{w}")]
-        parts.append(f.select(*keys, "flight_date", *vals, F.lit(spec.name).alias("_spec")))
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    spark = union.sparkSession
-    path = f"{shared_dir(spark)}/tables/daily-{uuid.uuid4().hex[:12]}"
-    union.write.mode("overwrite").partitionBy("_spec").parquet(path)
-    stored = spark.read.parquet(path)
-    counts = {r["_spec"]: r["n"] for r in stored.groupBy("_spec").agg(F.count(F.lit(1)).alias("n")).collect()}
-    out = {}
-    for spec in specs:
-        t = stored.where(F.col("_spec") == spec.name)
-        keys = []
-        for i, k in enumerate(spec.keys):
-            c = F.col(f"_k{i}")
-            keys.append((c.cast("smallint") if k == "CRS_DEP_HOUR" else c).alias(k))
-        vals = []
-        for w in windows:
-            vals += [F.col(f"_f{w}").alias(freq_col(spec.name, w)), F.col(f"_r{w}").alias(rate_col(spec.name, w))]
-        out[spec.name] = (t.select(*keys, "flight_date", *vals), counts.get(spec.name, 0))
-    return out
-
-
 def add_rolling_features(base: DataFrame, specs=SPECS, windows=WINDOWS, alpha: float = ALPHA,
                          rate_scope: str = "all", materialize_tables: bool = True,
                          broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
@@ -155,7 +113,7 @@ def add_rolling_features(base: DataFrame, specs=SPECS, windows=WINDOWS, alpha: f
     g = global_rate(base, rate_scope)
     feats = {spec.name: rolling_features_for_spec(base, spec, g, windows, alpha) for spec in specs}
     if materialize_tables:
-        written = _write_daily_tables(feats, specs, windows)
+        written = materialize_family(feats, {s.name: [*s.keys, "flight_date"] for s in specs}, "daily")
         feats = {name: (F.broadcast(t) if n <= broadcast_max_rows else t) for name, (t, n) in written.items()}
     out = base
     for spec in specs:

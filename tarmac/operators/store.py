@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import DEFAULT_STORE_RATE, SPECS, STORE_KEYS, WINDOWS, aggregate_columns, spec_columns
-from ..session import materialize, sized_broadcast
+from ..session import materialize, materialize_family, sized_broadcast
 from .rolling import sanitize_keys
 
 LOOKUP_BROADCAST_MAX_ROWS = 2_000_000
@@ -73,9 +73,17 @@ def lookup_table_first(store: DataFrame, spec, agg_cols=None) -> DataFrame:
         "flight_date", *spec.keys, *[F.col(f"first.{c}").alias(c) for c in agg_cols])
 
 
-def lookup_date(stats: DataFrame) -> Column:
+def stat(stats, name: str) -> Column:
+    """A store statistic as a Column: a scalar subquery over the one-row stats
+    DataFrame, or a literal when the caller passes the values (streaming)."""
+    if isinstance(stats, dict):
+        return F.lit(stats[name])
+    return stats.select(name).scalar()
+
+
+def lookup_date(stats) -> Column:
     """``least(requested, max_date)``: not an as-of search, a clamp."""
-    return F.least(F.col("flight_date"), stats.select("max_date").scalar())
+    return F.least(F.col("flight_date"), stat(stats, "max_date"))
 
 
 def _prepare_lookup(tbl: DataFrame, name: str, materialize_tables: bool, max_rows: int) -> DataFrame:
@@ -86,7 +94,17 @@ def _prepare_lookup(tbl: DataFrame, name: str, materialize_tables: bool, max_row
     return tbl
 
 
-def enrich_requests(req: DataFrame, store: DataFrame, stats: DataFrame | None = None, mode: str = "own",
+def _prepare_lookups(tables: dict, specs, materialize_tables: bool, max_rows: int) -> dict:
+    """All six lookup tables written in one job; each broadcast only within ``max_rows``."""
+    tables = {k: t.withColumnRenamed("flight_date", "lookup_date") for k, t in tables.items()}
+    if not materialize_tables:
+        return tables
+    keys = {s.name: ["lookup_date", *s.keys] for s in specs}
+    written = materialize_family(tables, keys, "lookups")
+    return {k: (F.broadcast(t) if n <= max_rows else t) for k, (t, n) in written.items()}
+
+
+def enrich_requests(req: DataFrame, store: DataFrame, stats=None, mode: str = "own",
                     specs=SPECS, windows=WINDOWS, materialize_tables: bool = True,
                     broadcast_max_rows: int = LOOKUP_BROADCAST_MAX_ROWS) -> DataFrame:
     """Request features -> + ``lookup_date`` + every aggregate column.
@@ -96,21 +114,24 @@ def enrich_requests(req: DataFrame, store: DataFrame, stats: DataFrame | None =
     """
     stats = stats if stats is not None else store_stats(store)
     agg_cols = aggregate_columns(specs, windows)
-    g = stats.select("global_rate").scalar()
+    g = stat(stats, "global_rate")
     out = sanitize_keys(req).withColumn("lookup_date", lookup_date(stats))
     if mode == "own":
-        for spec in specs:
-            tbl = _prepare_lookup(lookup_table_own(store, spec, windows), f"lookup_own_{spec.name}",
+        tables = _prepare_lookups({s.name: lookup_table_own(store, s, windows) for s in specs}, specs,
                                   materialize_tables, broadcast_max_rows)
-            out = out.join(tbl, ["lookup_date", *spec.keys], "left")
+        for spec in specs:
+            out = out.join(tables[spec.name], ["lookup_date", *spec.keys], "left")
         return out.withColumns(_fill_defaults(agg_cols, g))
     if mode == "overlay":
-        hits = []
+        firsts = {}
         for spec in specs:
             tbl = lookup_table_first(store, spec, agg_cols)
-            tbl = tbl.select("flight_date", *spec.keys, F.struct(*agg_cols).alias(f"hit_{spec.name}"))
-            tbl = _prepare_lookup(tbl, f"lookup_first_{spec.name}", materialize_tables, broadcast_max_rows)
-            out = out.join(tbl, ["lookup_date", *spec.keys], "left")
+            firsts[spec.name] = tbl.select("flight_date", *spec.keys, F.struct(*agg_cols).alias("hit"))
+        tables = _prepare_lookups(firsts, specs, materialize_tables, broadcast_max_rows)
+        hits = []
+        for spec in specs:
+            out = out.join(tables[spec.name].withColumnRenamed("hit", f"hit_{spec.name}"),
+                           ["lookup_date", *spec.keys], "left")
             hits.append(f"hit_{spec.name}")
         defaults = F.struct(*[(F.lit(0.0) if _is_freq(c) else g).alias(c) for c in agg_cols])
         last_hit = F.coalesce(*[F.col(h) for h in reversed(hits)], defaults)
@@ -130,7 +151,7 @@ def lookup_composite(req: DataFrame, store: DataFrame, stats: DataFrame | None =
     """
     stats = stats if stats is not None else store_stats(store)
     agg_cols = list(agg_cols or aggregate_columns())
-    g = stats.select("global_rate").scalar()
+    g = stat(stats, "global_rate")
     keys = [k for k in STORE_KEYS if k != "flight_date"]
     uniq = store.groupBy("flight_date", *keys).agg(*[F.max(c).alias(c) for c in agg_cols])
     uniq = _prepare_lookup(uniq, "lookup_composite", materialize_tables, broadcast_max_rows)

@@ -90,3 +90,43 @@ def sized_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     if n <= max_rows:
         return F.broadcast(df), True
     return df, False
+
+
+def materialize_family(frames: dict[str, DataFrame], keys: dict[str, list[str]],
+                       name: str = "family") -> dict[str, tuple[DataFrame, int]]:
+    """Write several small keyed tables in ONE job and read each back with its row count.
+
+    Every frame is ``keys[name] + values``; frames may differ in key columns
+    but must have the same number and types of value columns.  Keys are
+    normalised to strings ``_k0.._kN`` and values to ``_v0.._vM`` so the
+    frames share one schema; the output is partitioned by frame name, so each
+    read-back prunes to its own directory.  One aggregate over the written
+    files returns all row counts (for broadcast decisions).
+    """
+    from functools import reduce
+
+    from pyspark.sql import functions as F
+
+    width = max(len(k) for k in keys.values())
+    parts, layout = [], {}
+    for tag, df in frames.items():
+        ks = keys[tag]
+        vals = [c for c in df.columns if c not in ks]
+        layout[tag] = (ks, [df.schema[k].dataType for k in ks], vals)
+        cols = [F.col(k).cast("string").alias(f"_k{i}") for i, k in enumerate(ks)]
+        cols += [F.lit(None).cast("string").alias(f"_k{i}") for i in range(len(ks), width)]
+        cols += [F.col(v).alias(f"_v{j}") for j, v in enumerate(vals)]
+        parts.append(df.select(*cols, F.lit(tag).alias("_t")))
+    union = reduce(lambda a, b: a.unionByName(b), parts)
+    spark = union.sparkSession
+    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    union.write.mode("overwrite").partitionBy("_t").parquet(path)
+    stored = spark.read.parquet(path)
+    counts = {r["_t"]: r["n"] for r in stored.groupBy("_t").agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = {}
+    for tag, (ks, types, vals) in layout.items():
+        t = stored.where(F.col("_t") == tag)
+        cols = [F.col(f"_k{i}").cast(tp).alias(k) for i, (k, tp) in enumerate(zip(ks, types))]
+        cols += [F.col(f"_v{j}").alias(v) for j, v in enumerate(vals)]
+        out[tag] = (t.select(*cols), counts.get(tag, 0))
+    return out
