@@ -92,14 +92,13 @@ def model_inputs(df: DataFrame, cfg: ModelConfig, keep=()) -> DataFrame:
 def class_weight_column(train: DataFrame, label: str) -> Column:
     """Balanced weight ``max_count / count_c`` (A15) as a column expression.
 
-    The two class counts come from one aggregate over the train rows; the
-    expression compares the row's label with them, so no join is needed.
+    The two class counts come from one aggregate over the train rows (two
+    numbers); the expression compares the row's label with them, no join.
     """
     y = F.col(label).cast("double")
-    cnt = train.agg(F.count_if(y == 1).alias("pos"), F.count_if(y != 1).alias("neg"))
-    pos, neg = cnt.select("pos").scalar(), cnt.select("neg").scalar()
-    top = F.greatest(pos, neg).cast("double")
-    return F.when(y == 1, top / pos.cast("double")).otherwise(top / neg.cast("double"))
+    pos, neg = train.agg(F.count_if(y == 1), F.count_if(y != 1)).first()
+    top = float(max(pos, neg))
+    return F.when(y == 1, F.lit(top / max(pos, 1))).otherwise(F.lit(top / max(neg, 1)))
 
 
 def fit(train: DataFrame, val: DataFrame | None, cfg: ModelConfig) -> PipelineModel:

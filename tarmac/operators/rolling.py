@@ -35,14 +35,16 @@ def sanitize_keys(df: DataFrame) -> DataFrame:
 
 
 def global_rate(base: DataFrame, scope: str = "all") -> Column:
-    """Mean label as a scalar-subquery Column (A2).
+    """Mean label as a literal Column.
 
     ``scope="all"`` averages every split (the reference's behaviour, D11);
-    ``"train"`` averages the train split only (leak-free).  The value is
-    computed once by Spark and inlined; nothing passes through the driver.
+    ``"train"`` averages the train split only (leak-free).  One aggregate job
+    yields one number, which is inlined into every expression that uses it
+    (a scalar subquery would be re-planned at each of its 18+ uses).
     """
     src = base.where(F.col("split") == "train") if scope == "train" else base
-    return src.agg(F.avg(F.col(LABEL).cast("double"))).scalar()
+    g = src.agg(F.avg(F.col(LABEL).cast("double"))).first()[0]
+    return F.lit(g).cast("double")
 
 
 def smoothed_rate(s: Column, n: Column, g: Column, alpha: float = ALPHA) -> Column:

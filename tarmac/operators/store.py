@@ -73,12 +73,17 @@ def lookup_table_first(store: DataFrame, spec, agg_cols=None) -> DataFrame:
         "flight_date", *spec.keys, *[F.col(f"first.{c}").alias(c) for c in agg_cols])
 
 
-def stat(stats, name: str) -> Column:
-    """A store statistic as a Column: a scalar subquery over the one-row stats
-    DataFrame, or a literal when the caller passes the values (streaming)."""
+def stats_values(stats) -> dict:
+    """The one-row stats as two Python values (one tiny job), or the dict given."""
     if isinstance(stats, dict):
-        return F.lit(stats[name])
-    return stats.select(name).scalar()
+        return stats
+    row = stats.first()
+    return {"global_rate": float(row["global_rate"]), "max_date": row["max_date"]}
+
+
+def stat(stats, name: str) -> Column:
+    """A store statistic as a literal Column (computed once, inlined everywhere)."""
+    return F.lit(stats_values(stats)[name])
 
 
 def lookup_date(stats) -> Column:
@@ -112,7 +117,7 @@ def enrich_requests(req: DataFrame, store: DataFrame, stats=None, mode: str = "o
     One job for any number of requests; defaults are freq 0 and the store's
     global rate when a lookup misses.
     """
-    stats = stats if stats is not None else store_stats(store)
+    stats = stats_values(stats if stats is not None else store_stats(store))
     agg_cols = aggregate_columns(specs, windows)
     g = stat(stats, "global_rate")
     out = sanitize_keys(req).withColumn("lookup_date", lookup_date(stats))
@@ -149,7 +154,7 @@ def lookup_composite(req: DataFrame, store: DataFrame, stats: DataFrame | None =
     The store is collapsed to one row per key combination first (rows equal
     on the keys carry equal values), so the join keeps the request count.
     """
-    stats = stats if stats is not None else store_stats(store)
+    stats = stats_values(stats if stats is not None else store_stats(store))
     agg_cols = list(agg_cols or aggregate_columns())
     g = stat(stats, "global_rate")
     keys = [k for k in STORE_KEYS if k != "flight_date"]
@@ -158,3 +163,9 @@ def lookup_composite(req: DataFrame, store: DataFrame, stats: DataFrame | None =
     out = sanitize_keys(req).withColumn("lookup_date", lookup_date(stats))
     out = out.join(uniq, ["lookup_date", *keys], "left")
     return out.withColumns(_fill_defaults(agg_cols, g))
+
+
+def load_store(spark, path: str, agg_cols=None) -> tuple[DataFrame, DataFrame]:
+    """Feature-store handle: the store rows (null dates dropped) + one-row stats (V3, A4, A5)."""
+    store = spark.read.parquet(path).where(F.col("flight_date").isNotNull())
+    return store, store_stats(store, agg_cols)

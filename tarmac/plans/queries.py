@@ -204,7 +204,7 @@ def q_store_profile(spark, sf_dir):
     store = stages.feature_store(spark, sf_dir)
     prof = store.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(aggregate_columns())).alias("agg_cols"),
                      F.min("flight_date").alias("date_min"), F.max("flight_date").alias("date_max"))
-    return present(prof.withColumn("global_rate", ST.store_stats(store).select("global_rate").scalar()))
+    return present(prof.withColumn("global_rate", ST.stat(ST.store_stats(store), "global_rate")))
 
 
 @register("dedup_keep_first", _STORE_SQL + f"""
@@ -510,7 +510,7 @@ _LABEL_SQL = (f"CASE WHEN regexp_matches(feature, '{_PAT}') THEN {_SPEC_CASE} ||
 def _enriched(spark, sf_dir):
     store = stages.feature_store(spark, sf_dir)
     enr = ST.enrich_requests(_requests(spark, sf_dir), store, mode="own")
-    return enr, ST.store_stats(store).select("global_rate").scalar()
+    return enr, ST.stat(ST.store_stats(store), "global_rate")
 
 
 def _long_contributions(enr, sg):
@@ -579,7 +579,7 @@ def q_evidence_bullets(spark, sf_dir):
 def _explained_requests(spark, sf_dir):
     enr, sg = _enriched(spark, sf_dir)
     store = stages.feature_store(spark, sf_dir)
-    max_date = ST.store_stats(store).select("max_date").scalar()
+    max_date = ST.stat(ST.store_stats(store), "max_date")
     packed = X.pack_contributions([c for _, c in _RATE_FEATS],
                                   [F.round(F.col(c), 6) for _, c in _RATE_FEATS],
                                   [F.col(c) - sg for _, c in _RATE_FEATS])
@@ -644,3 +644,65 @@ def q_contributions(spark, sf_dir):
 def q_explain_batch(spark, sf_dir):
     out = _scored_requests(spark, sf_dir)
     return out.select("request_id", "probability", "risk_bucket", "evidence", F.array_join("bullets", "|").alias("bullets"))
+
+
+# ---------------------------------------------------------------------------
+# Text coercions on data-derived text
+# ---------------------------------------------------------------------------
+
+from ..functions import coerce as CO  # noqa: E402
+from ..schemas import NA_TOKENS  # noqa: E402
+
+
+def _as_text(f):
+    """Fixture columns rendered as text, with NA tokens, padding, junk and both date formats by rule."""
+    dom, d = F.col("DAY_OF_MONTH"), F.col("FL_DATE")
+    delay = F.col("ARR_DELAY").cast("string")
+    return f.select(
+        F.when(dom == 13, F.lit("NA")).when(dom == 14, F.lit(" nan ")).when(dom == 15, F.concat(F.lit(" "), delay, F.lit(" ")))
+         .when(dom == 16, F.concat(delay, F.lit("d"))).when(dom == 17, F.lit("1e1")).otherwise(delay).alias("delay_text"),
+        F.when(F.col("MONTH") % 2 == 0, F.date_format(d, "yyyy-MM-dd"))
+         .when(dom == 31, F.lit("junk")).otherwise(F.date_format(d, "M/d/yyyy")).alias("date_text"),
+        F.when(dom == 7, F.concat(F.lit("\t"), F.col("OP_CARRIER"), F.lit(" "))).when(dom == 8, F.lit("NULL"))
+         .otherwise(F.col("OP_CARRIER")).alias("carrier_text"),
+        F.when(dom == 9, F.lit("5.5")).otherwise(F.col("CRS_DEP_TIME").cast("string")).alias("dep_text"))
+
+
+_NA_SQL = ", ".join("'" + t + "'" for t in NA_TOKENS)
+_WS = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+_NUM_PAT = CO.NUMERIC_PATTERN
+
+
+def _sql_num(x):
+    s = _WS.format(x=x)
+    return (f"CASE WHEN {s} IN ({_NA_SQL}) THEN NULL WHEN regexp_matches({x}, '{_NUM_PAT}') "
+            f"THEN TRY_CAST({s} AS DOUBLE) END")
+
+
+@register("text_coercion", "WITH " + O.FLIGHTS_SQL + f""",
+txt AS (SELECT
+  CASE WHEN DAY_OF_MONTH = 13 THEN 'NA' WHEN DAY_OF_MONTH = 14 THEN ' nan '
+       WHEN DAY_OF_MONTH = 15 THEN ' ' || CAST(ARR_DELAY AS VARCHAR) || ' '
+       WHEN DAY_OF_MONTH = 16 THEN CAST(ARR_DELAY AS VARCHAR) || 'd' WHEN DAY_OF_MONTH = 17 THEN '1e1'
+       ELSE CAST(ARR_DELAY AS VARCHAR) END AS delay_text,
+  CASE WHEN MONTH % 2 = 0 THEN strftime(FL_DATE, '%Y-%m-%d') WHEN DAY_OF_MONTH = 31 THEN 'junk'
+       ELSE strftime(FL_DATE, '%-m/%-d/%Y') END AS date_text,
+  CASE WHEN DAY_OF_MONTH = 7 THEN chr(9) || OP_CARRIER || ' ' WHEN DAY_OF_MONTH = 8 THEN 'NULL'
+       ELSE OP_CARRIER END AS carrier_text,
+  CASE WHEN DAY_OF_MONTH = 9 THEN '5.5' ELSE CAST(CRS_DEP_TIME AS VARCHAR) END AS dep_text
+ FROM flights),
+typed AS (SELECT {_sql_num('delay_text')} AS delay,
+  COALESCE(CASE WHEN regexp_matches(date_text, '^\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}') THEN TRY_CAST(date_text AS DATE) END,
+           TRY_CAST(TRY_STRPTIME(date_text, '%m/%d/%Y') AS DATE)) AS flight_date,
+  CASE WHEN {_WS.format(x='carrier_text')} IN ({_NA_SQL}) THEN NULL ELSE {_WS.format(x='carrier_text')} END AS carrier,
+  CASE WHEN ({_sql_num('dep_text')}) = floor({_sql_num('dep_text')}) THEN CAST({_sql_num('dep_text')} AS INTEGER) END AS dep_time
+ FROM txt)
+SELECT {O.r6('delay')}, flight_date, carrier, {O.i64('dep_time')}, {O.i64('COUNT(*)', 'rows')} FROM typed GROUP BY ALL""")
+def q_text_coercion(spark, sf_dir):
+    t = _as_text(stages.flights(spark, sf_dir))
+    typed = t.select(
+        CO.to_double(CO.null_if_na_token("delay_text")).alias("delay"),
+        CO.to_date_lenient("date_text").alias("flight_date"),
+        CO.clean_text("carrier_text").alias("carrier"),
+        CO.to_integral(CO.null_if_na_token("dep_text"), T.IntegerType()).alias("dep_time"))
+    return present(typed.groupBy("delay", "flight_date", "carrier", "dep_time").agg(F.count(F.lit(1)).alias("rows")))

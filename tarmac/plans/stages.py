@@ -92,11 +92,13 @@ def fixture_requests(labeled: DataFrame) -> DataFrame:
 
 
 def request_table(spark: SparkSession, sf_dir: str, validate: bool = True) -> DataFrame:
-    """Request features (P19) + validity flags (F8) for the fixture requests."""
-    feats = request_features(fixture_requests(labeled_flights(spark, sf_dir)))
-    if validate:
-        feats = request_validity(feats, FIXTURE_SUPPORTED_AIRPORTS, FIXTURE_SUPPORTED_CARRIERS)
-    return feats
+    """Request features (P19) + validity flags (F8) for the fixture requests, written once."""
+    def build():
+        feats = request_features(fixture_requests(labeled_flights(spark, sf_dir)))
+        if validate:
+            feats = request_validity(feats, FIXTURE_SUPPORTED_AIRPORTS, FIXTURE_SUPPORTED_CARRIERS)
+        return materialize(feats, "requests")
+    return _stage(spark, sf_dir, f"requests-{validate}", build)
 
 
 def feature_store(spark: SparkSession, sf_dir: str, with_aggs: DataFrame | None = None) -> DataFrame:
