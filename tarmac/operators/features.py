@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import calendar as cal
 from ..functions.coerce import strip, to_double, upper_key
@@ -27,8 +28,10 @@ def base_features(df: DataFrame, keep=("split",)) -> DataFrame:
         "dep_daypart": daypart(F.col("CRS_DEP_HOUR"), closed_top=True),
     })
     out = out.withColumns({c: strip(c) for c in ("OP_CARRIER", "ORIGIN", "DEST", "route", "dep_daypart")})
+    dist = F.col("DISTANCE")
+    numeric = not isinstance(df.schema["DISTANCE"].dataType, T.StringType)
     out = out.withColumns({
-        "DISTANCE": to_double("DISTANCE"),
+        "DISTANCE": dist.cast("double") if numeric else to_double(dist),
         LABEL: F.col(LABEL).cast("tinyint"),
         "DAY_OF_WEEK": F.col("DAY_OF_WEEK").cast("tinyint"),
     })

@@ -114,14 +114,14 @@ SELECT flight_date, {O.i64('YEAR')}, {O.i64('MONTH')}, {O.i64('DAY_OF_WEEK')}, {
   {O.i64('week_of_year')}, {O.i64('day_of_month')}, {O.i64('COUNT(*)', 'flights')}
 FROM base GROUP BY ALL""")
 def q_calendar_features(spark, sf_dir):
-    b = stages.base_table(spark, sf_dir, persist=False)
+    b = stages.base_table(spark, sf_dir)
     return present(b.groupBy("flight_date", "YEAR", "MONTH", "DAY_OF_WEEK", "is_weekend", "week_of_year",
                              "day_of_month").agg(F.count(F.lit(1)).alias("flights")))
 
 
 @register("base_features", "WITH " + O.BASE + f"\nSELECT {_BASE_SQL_COLS}, split FROM base")
 def q_base_features(spark, sf_dir):
-    return present(stages.base_table(spark, sf_dir, persist=False))
+    return present(stages.base_table(spark, sf_dir))
 
 
 # ---------------------------------------------------------------------------
@@ -130,7 +130,7 @@ def q_base_features(spark, sf_dir):
 
 def _daily_query(spec):
     def q(spark, sf_dir):
-        return present(rolling.daily_table(stages.base_table(spark, sf_dir, persist=False), spec))
+        return present(rolling.daily_table(stages.base_table(spark, sf_dir), spec))
     keys = ", ".join(k if k != "CRS_DEP_HOUR" else O.i64(k) for k in spec.keys)
     sql = "WITH " + O.BASE + f""",
 {O.daily_cte(spec)}
@@ -140,7 +140,7 @@ SELECT {keys}, flight_date, {O.i64('n')}, {O.i64('s')} FROM daily_{spec.name}"""
 
 def _rolling_query(spec):
     def q(spark, sf_dir):
-        return present(rolling.rolling_table(stages.base_table(spark, sf_dir, persist=False), spec))
+        return present(rolling.rolling_table(stages.base_table(spark, sf_dir), spec))
     keys = ", ".join(k if k != "CRS_DEP_HOUR" else O.i64(k) for k in spec.keys)
     cols = []
     for w in WINDOWS:

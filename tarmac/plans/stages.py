@@ -64,8 +64,10 @@ def with_aggregates(spark: SparkSession, sf_dir: str, splits: SplitConfig = FIXT
                     base: DataFrame | None = None) -> DataFrame:
     if base is not None:
         return add_rolling_features(base, specs, windows, alpha, rate_scope)
+    # Written once: metrics, sampling, training and the store all read it.
     return _stage(spark, sf_dir, f"aggs-{splits}-{specs}-{windows}-{alpha}-{rate_scope}",
-                  lambda: add_rolling_features(base_table(spark, sf_dir, splits), specs, windows, alpha, rate_scope))
+                  lambda: materialize(add_rolling_features(base_table(spark, sf_dir, splits), specs, windows,
+                                                           alpha, rate_scope), "with_aggs"))
 
 
 def fixture_requests(labeled: DataFrame) -> DataFrame:

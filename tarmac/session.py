@@ -130,3 +130,18 @@ def materialize_family(frames: dict[str, DataFrame], keys: dict[str, list[str]],
         cols += [F.col(f"_v{j}").alias(v) for j, v in enumerate(vals)]
         out[tag] = (t.select(*cols), counts.get(tag, 0))
     return out
+
+
+def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread an under-split input over the cluster's cores.
+
+    A scan of one large, unsplittable file (a single Parquet row group) is
+    one task; every narrow operator after it then runs single-threaded.  When
+    the scan has fewer partitions than the default parallelism it is
+    round-robin repartitioned; at scale (thousands of input splits) this is a
+    no-op and adds no shuffle.
+    """
+    sc = df.sparkSession.sparkContext
+    want = min_partitions or sc.defaultParallelism
+    have = df.rdd.getNumPartitions()
+    return df.repartition(want) if have < want else df

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import ScopeConfig, SplitConfig
+from ..session import ensure_parallelism
 
 # Fixed parameters of the fixture.
 FIXTURE_SPLITS = SplitConfig(dt.date(1999, 12, 31), dt.date(2000, 12, 31), dt.date(2001, 10, 31))
@@ -47,8 +48,8 @@ def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     scale); supplier and customer joins are left to the planner's size-based
     choice; ``nation`` has 25 rows by definition and is broadcast.
     """
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_shipdate")
+    li = ensure_parallelism(table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_shipdate"))
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
