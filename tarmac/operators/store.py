@@ -86,6 +86,28 @@ def stat(stats, name: str) -> Column:
     return F.lit(stats_values(stats)[name])
 
 
+def lookup_first_key(store: DataFrame, spec) -> DataFrame:
+    """(date, keys) -> ``full``: the full store key of the first row (W4, R2, overlay).
+
+    "First" = smallest (ORIGIN, DEST, OP_CARRIER, route, CRS_DEP_HOUR).  Only
+    the key struct is aggregated (``min`` combines map-side); values are
+    fetched later by one join on the full key.
+    """
+    full_keys = [k for k in STORE_KEYS if k != "flight_date"]
+    order = [k for k in full_keys if k not in spec.keys]
+    first = store.groupBy("flight_date", *spec.keys).agg(F.min(F.struct(*order)).alias("_o"))
+    full = F.struct(*[(F.col(k) if k in spec.keys else F.col(f"_o.{k}")).alias(k) for k in full_keys])
+    return first.select("flight_date", *spec.keys, full.alias("full"))
+
+
+def unique_rows(store: DataFrame, agg_cols=None) -> DataFrame:
+    """One row per (date, all five keys) with its values; rows equal on the keys
+    carry equal values, so ``max`` is a deterministic pick (hash aggregate)."""
+    agg_cols = list(agg_cols or aggregate_columns())
+    keys = [k for k in STORE_KEYS if k != "flight_date"]
+    return store.groupBy("flight_date", *keys).agg(*[F.max(c).alias(c) for c in agg_cols])
+
+
 def lookup_date(stats) -> Column:
     """``least(requested, max_date)``: not an as-of search, a clamp."""
     return F.least(F.col("flight_date"), stat(stats, "max_date"))
@@ -128,21 +150,24 @@ def enrich_requests(req: DataFrame, store: DataFrame, stats=None, mode: str = "o
             out = out.join(tables[spec.name], ["lookup_date", *spec.keys], "left")
         return out.withColumns(_fill_defaults(agg_cols, g))
     if mode == "overlay":
-        firsts = {}
-        for spec in specs:
-            tbl = lookup_table_first(store, spec, agg_cols)
-            firsts[spec.name] = tbl.select("flight_date", *spec.keys, F.struct(*agg_cols).alias("hit"))
+        # Per spec only the first row's full key (a 5-field struct) is looked up;
+        # the last spec with a hit names one store row, whose 36 values come
+        # from a single join with the store's unique-per-key table.
+        full_keys = [k for k in STORE_KEYS if k != "flight_date"]
+        firsts = {s.name: lookup_first_key(store, s) for s in specs}
         tables = _prepare_lookups(firsts, specs, materialize_tables, broadcast_max_rows)
-        hits = []
         for spec in specs:
-            out = out.join(tables[spec.name].withColumnRenamed("hit", f"hit_{spec.name}"),
+            out = out.join(tables[spec.name].withColumnRenamed("full", f"full_{spec.name}"),
                            ["lookup_date", *spec.keys], "left")
-            hits.append(f"hit_{spec.name}")
-        defaults = F.struct(*[(F.lit(0.0) if _is_freq(c) else g).alias(c) for c in agg_cols])
-        last_hit = F.coalesce(*[F.col(h) for h in reversed(hits)], defaults)
-        out = out.withColumn("_overlay", last_hit)
-        out = out.withColumns({c: F.col(f"_overlay.{c}") for c in agg_cols})
-        return out.drop("_overlay", *hits).withColumns(_fill_defaults(agg_cols, g))
+        winner = F.coalesce(*[F.col(f"full_{s.name}") for s in reversed(specs)])
+        out = out.withColumn("_win", winner).drop(*[f"full_{s.name}" for s in specs])
+        uniq = _prepare_lookup(unique_rows(store, agg_cols), "lookup_unique", materialize_tables,
+                               broadcast_max_rows)
+        uniq = uniq.select(*[F.col(k).alias(f"_w_{k}") for k in ["lookup_date", *full_keys]], *agg_cols)
+        cond = [F.col("lookup_date") == F.col("_w_lookup_date")] + \
+               [F.col(f"_win.{k}") == F.col(f"_w_{k}") for k in full_keys]
+        out = out.join(uniq, cond, "left").drop("_win", *[f"_w_{k}" for k in ["lookup_date", *full_keys]])
+        return out.withColumns(_fill_defaults(agg_cols, g))
     raise ValueError(f"unknown lookup mode {mode!r}")
 
 
@@ -158,8 +183,8 @@ def lookup_composite(req: DataFrame, store: DataFrame, stats: DataFrame | None =
     agg_cols = list(agg_cols or aggregate_columns())
     g = stat(stats, "global_rate")
     keys = [k for k in STORE_KEYS if k != "flight_date"]
-    uniq = store.groupBy("flight_date", *keys).agg(*[F.max(c).alias(c) for c in agg_cols])
-    uniq = _prepare_lookup(uniq, "lookup_composite", materialize_tables, broadcast_max_rows)
+    uniq = _prepare_lookup(unique_rows(store, agg_cols), "lookup_composite", materialize_tables,
+                           broadcast_max_rows)
     out = sanitize_keys(req).withColumn("lookup_date", lookup_date(stats))
     out = out.join(uniq, ["lookup_date", *keys], "left")
     return out.withColumns(_fill_defaults(agg_cols, g))
