@@ -11,8 +11,13 @@ def _c(c) -> Column:
 
 
 def percent_1(c) -> Column:
-    """``{p:.1%}``: one decimal percentage, e.g. 0.2345 -> ``23.4%``."""
-    return F.format_string("%.1f%%", _c(c) * F.lit(100.0))
+    """``{p:.1%}`` via integer tenths of a percent, e.g. 0.2346 -> ``23.5%``.
+
+    Integer arithmetic gives the same digits in every engine (a ``%.1f``
+    formatter rounds ties differently in Java, C and Python).
+    """
+    t = F.round(_c(c) * F.lit(1000.0)).cast("long")
+    return F.concat((t / 10).cast("long").cast("string"), F.lit("."), (t % 10).cast("string"), F.lit("%"))
 
 
 def iso_datetime(d) -> Column:
@@ -24,7 +29,3 @@ def iso_datetime_space(d) -> Column:
     """A midnight date rendered like ``str(Timestamp)``: ``2024-01-05 00:00:00``."""
     return F.date_format(_c(d).cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
 
-
-def value_text(c) -> Column:
-    """A feature value as display text (numbers without trailing ``.0`` noise kept as Spark prints them)."""
-    return _c(c).cast("string")

@@ -131,9 +131,29 @@ def _prepare_lookups(tables: dict, specs, materialize_tables: bool, max_rows: in
     return {k: (F.broadcast(t) if n <= max_rows else t) for k, (t, n) in written.items()}
 
 
+def build_lookups(store: DataFrame, mode: str = "own", specs=SPECS, windows=WINDOWS,
+                  materialize_tables: bool = True, broadcast_max_rows: int = LOOKUP_BROADCAST_MAX_ROWS) -> dict:
+    """The lookup tables of one store snapshot (V2), built once and reused by every enrichment.
+
+    ``own``: one (date, keys) -> spec-columns table per spec.  ``overlay``: one
+    (date, keys) -> first-row-key table per spec plus the unique-row table.
+    """
+    agg_cols = aggregate_columns(specs, windows)
+    if mode == "own":
+        return _prepare_lookups({s.name: lookup_table_own(store, s, windows) for s in specs}, specs,
+                                materialize_tables, broadcast_max_rows)
+    if mode == "overlay":
+        out = _prepare_lookups({s.name: lookup_first_key(store, s) for s in specs}, specs,
+                               materialize_tables, broadcast_max_rows)
+        out["_unique"] = _prepare_lookup(unique_rows(store, agg_cols), "lookup_unique", materialize_tables,
+                                         broadcast_max_rows)
+        return out
+    raise ValueError(f"unknown lookup mode {mode!r}")
+
+
 def enrich_requests(req: DataFrame, store: DataFrame, stats=None, mode: str = "own",
                     specs=SPECS, windows=WINDOWS, materialize_tables: bool = True,
-                    broadcast_max_rows: int = LOOKUP_BROADCAST_MAX_ROWS) -> DataFrame:
+                    broadcast_max_rows: int = LOOKUP_BROADCAST_MAX_ROWS, lookups: dict | None = None) -> DataFrame:
     """Request features -> + ``lookup_date`` + every aggregate column.
 
     One job for any number of requests; defaults are freq 0 and the store's
@@ -143,9 +163,9 @@ def enrich_requests(req: DataFrame, store: DataFrame, stats=None, mode: str = "o
     agg_cols = aggregate_columns(specs, windows)
     g = stat(stats, "global_rate")
     out = sanitize_keys(req).withColumn("lookup_date", lookup_date(stats))
+    tables = lookups if lookups is not None else build_lookups(store, mode, specs, windows, materialize_tables,
+                                                               broadcast_max_rows)
     if mode == "own":
-        tables = _prepare_lookups({s.name: lookup_table_own(store, s, windows) for s in specs}, specs,
-                                  materialize_tables, broadcast_max_rows)
         for spec in specs:
             out = out.join(tables[spec.name], ["lookup_date", *spec.keys], "left")
         return out.withColumns(_fill_defaults(agg_cols, g))
@@ -154,16 +174,12 @@ def enrich_requests(req: DataFrame, store: DataFrame, stats=None, mode: str = "o
         # the last spec with a hit names one store row, whose 36 values come
         # from a single join with the store's unique-per-key table.
         full_keys = [k for k in STORE_KEYS if k != "flight_date"]
-        firsts = {s.name: lookup_first_key(store, s) for s in specs}
-        tables = _prepare_lookups(firsts, specs, materialize_tables, broadcast_max_rows)
         for spec in specs:
             out = out.join(tables[spec.name].withColumnRenamed("full", f"full_{spec.name}"),
                            ["lookup_date", *spec.keys], "left")
         winner = F.coalesce(*[F.col(f"full_{s.name}") for s in reversed(specs)])
         out = out.withColumn("_win", winner).drop(*[f"full_{s.name}" for s in specs])
-        uniq = _prepare_lookup(unique_rows(store, agg_cols), "lookup_unique", materialize_tables,
-                               broadcast_max_rows)
-        uniq = uniq.select(*[F.col(k).alias(f"_w_{k}") for k in ["lookup_date", *full_keys]], *agg_cols)
+        uniq = tables["_unique"].select(*[F.col(k).alias(f"_w_{k}") for k in ["lookup_date", *full_keys]], *agg_cols)
         cond = [F.col("lookup_date") == F.col("_w_lookup_date")] + \
                [F.col(f"_win.{k}") == F.col(f"_w_{k}") for k in full_keys]
         out = out.join(uniq, cond, "left").drop("_win", *[f"_w_{k}" for k in ["lookup_date", *full_keys]])

@@ -235,14 +235,15 @@ def _requests(spark, sf_dir):
 SELECT {', '.join('rql.' + c if ' AS ' not in c else c.replace('CAST(', 'CAST(rql.', 1) for c in _REQ_COLS_SQL.split(', '))}, rql.lookup_date, {_own_cols} {_own_from}""")
 def q_requests_enriched(spark, sf_dir):
     store = stages.feature_store(spark, sf_dir)
-    return present(ST.enrich_requests(_requests(spark, sf_dir), store, mode="own"))
+    return present(ST.enrich_requests(_requests(spark, sf_dir), store, mode="own",
+                                      lookups=stages.lookups(spark, sf_dir, "own")))
 
 
 @register("lookup_own", _REQ_SQL + ",\n" + _own_ctes + f"""
 SELECT rql.request_id, rql.lookup_date, {_own_cols} {_own_from}""")
 def q_lookup_own(spark, sf_dir):
     store = stages.feature_store(spark, sf_dir)
-    out = ST.enrich_requests(_requests(spark, sf_dir), store, mode="own")
+    out = ST.enrich_requests(_requests(spark, sf_dir), store, mode="own", lookups=stages.lookups(spark, sf_dir, "own"))
     return present(out.select("request_id", "lookup_date", *aggregate_columns()))
 
 
@@ -250,7 +251,8 @@ def q_lookup_own(spark, sf_dir):
 SELECT rql.request_id, rql.lookup_date, {_ov_cols} {_ov_from}""")
 def q_lookup_overlay(spark, sf_dir):
     store = stages.feature_store(spark, sf_dir)
-    out = ST.enrich_requests(_requests(spark, sf_dir), store, mode="overlay")
+    out = ST.enrich_requests(_requests(spark, sf_dir), store, mode="overlay",
+                             lookups=stages.lookups(spark, sf_dir, "overlay"))
     return present(out.select("request_id", "lookup_date", *aggregate_columns()))
 
 
@@ -509,7 +511,7 @@ _LABEL_SQL = (f"CASE WHEN regexp_matches(feature, '{_PAT}') THEN {_SPEC_CASE} ||
 
 def _enriched(spark, sf_dir):
     store = stages.feature_store(spark, sf_dir)
-    enr = ST.enrich_requests(_requests(spark, sf_dir), store, mode="own")
+    enr = ST.enrich_requests(_requests(spark, sf_dir), store, mode="own", lookups=stages.lookups(spark, sf_dir, "own"))
     return enr, ST.stat(ST.store_stats(store), "global_rate")
 
 
@@ -611,7 +613,8 @@ from . import modeling as MO  # noqa: E402
 
 def _scored_requests(spark, sf_dir):
     model = MO.fixture_model(spark, sf_dir)
-    return MO.score_requests(spark, _requests(spark, sf_dir), stages.feature_store(spark, sf_dir), model)
+    return MO.score_requests(spark, _requests(spark, sf_dir), stages.feature_store(spark, sf_dir), model,
+                             lookups=stages.lookups(spark, sf_dir, "own"))
 
 
 @register("model_evaluation", None)

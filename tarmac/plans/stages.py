@@ -114,3 +114,9 @@ def scored_fixture(with_aggs: DataFrame) -> DataFrame:
     """A deterministic score for metric queries: the origin 30-day rate, rounded to 6."""
     return with_aggs.select("split", F.col("delayed_15").alias("label"),
                             F.round("origin_delay_rate_30d", 6).alias("score"))
+
+
+def lookups(spark: SparkSession, sf_dir: str, mode: str = "own") -> dict:
+    """The lookup tables of the fixture store (V2), built once per session."""
+    from ..operators.store import build_lookups
+    return _stage(spark, sf_dir, f"lookups-{mode}", lambda: build_lookups(feature_store(spark, sf_dir), mode))
