@@ -66,6 +66,11 @@ def test_staged_pipeline_round_trip(spark, csv_root, tmp_path):
     assert prof.rows > 0
     summ = {r.split: r.rows for r in P.make_splits(spark, f"{out}/scoped", f"{out}/splits", FIXTURE_SPLITS).collect()}
     assert set(summ) == {"train", "val", "test"}
+    from tarmac.sources import parquet as PQ
+    val = PQ.load_split(spark, f"{out}/splits", "val", columns=["flight_date", "delayed_15"])
+    assert val.count() == summ["val"] and val.columns == ["flight_date", "delayed_15"]
+    assert PQ.load_split(spark, f"{out}/splits", "holdout_2025", missing="skip") is None
+    assert "split" in PQ.dataset_columns(spark, f"{out}/splits")
     P.build_base(spark, f"{out}/splits", f"{out}/base").collect()
     P.build_aggregates(spark, f"{out}/base", f"{out}/with_aggs").collect()
     direct = stages.with_aggregates(spark, SF_SMALL)
