@@ -59,13 +59,25 @@ def daily_counts(base: DataFrame, keys) -> DataFrame:
 
 
 def trailing_sums(daily: DataFrame, keys, windows=WINDOWS) -> DataFrame:
-    """Left-closed trailing sums of n and s for every window, in one Window node."""
+    """Left-closed trailing sums of n and s over days [d-w, d-1] for every window.
+
+    A sliding ``RANGE BETWEEN w PRECEDING AND 1 PRECEDING`` sum is
+    re-aggregated by Spark each time the frame's lower bound moves
+    (O(rows x w)).  The same integer sum is a difference of two running
+    totals, ``S(<= d-1) - S(<= d-w-1)``, and frames that start at
+    UNBOUNDED PRECEDING are evaluated incrementally (O(rows)).  All frames
+    share one partition/order spec, so they run in one Window operator.
+    """
     day = F.unix_date(F.col("flight_date"))
+    spec = Window.partitionBy(*keys).orderBy(day)
+
+    def upto(col: str, lag: int):
+        return F.coalesce(F.sum(col).over(spec.rangeBetween(Window.unboundedPreceding, -lag)), F.lit(0))
+
     cols = {}
     for w in windows:
-        frame = Window.partitionBy(*keys).orderBy(day).rangeBetween(-w, -1)
-        cols[f"n_{w}d"] = F.coalesce(F.sum("n").over(frame), F.lit(0)).cast("long")
-        cols[f"s_{w}d"] = F.coalesce(F.sum("s").over(frame), F.lit(0)).cast("long")
+        cols[f"n_{w}d"] = (upto("n", 1) - upto("n", w + 1)).cast("long")
+        cols[f"s_{w}d"] = (upto("s", 1) - upto("s", w + 1)).cast("long")
     return daily.withColumns(cols)
 
 
