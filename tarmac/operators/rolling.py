@@ -8,8 +8,9 @@ Plan shape per spec, as Catalyst builds it:
 
 The window never sees raw flights: after A1 a key holds at most one row per
 calendar day, so even a key with a third of all flights is a few thousand
-rows.  The frame is ``RANGE BETWEEN w PRECEDING AND 1 PRECEDING`` over the
-day number, i.e. the days [d-w, d-1]: the current day is excluded.
+rows.  The trailing sum covers the days [d-w, d-1] (the current day is
+excluded); it is computed as a difference of two running totals over the
+day number (see :func:`trailing_sums`).
 """
 
 from __future__ import annotations
