@@ -48,7 +48,7 @@ class ModelConfig:
     step_size: float = 0.05
     seed: int = 42
     validation_tol: float = 0.01
-    max_bins: int = 64
+    max_bins: int = 32
     subsampling_rate: float = 1.0
 
     @property

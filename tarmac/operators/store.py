@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import DEFAULT_STORE_RATE, SPECS, STORE_KEYS, WINDOWS, aggregate_columns, spec_columns
-from ..session import materialize, materialize_family, sized_broadcast
+from ..session import materialize_family
 from .rolling import sanitize_keys
 
 LOOKUP_BROADCAST_MAX_ROWS = 2_000_000
@@ -113,12 +113,12 @@ def lookup_date(stats) -> Column:
     return F.least(F.col("flight_date"), stat(stats, "max_date"))
 
 
-def _prepare_lookup(tbl: DataFrame, name: str, materialize_tables: bool, max_rows: int) -> DataFrame:
-    tbl = tbl.withColumnRenamed("flight_date", "lookup_date")
-    if materialize_tables:
-        tbl = materialize(tbl, name)
-        tbl, _ = sized_broadcast(tbl, max_rows)
-    return tbl
+def _unique_lookup(store: DataFrame, agg_cols, max_rows: int) -> DataFrame:
+    """The unique-per-key table, not written: it is one hash aggregate over the
+    (already written) store and about as large as it.  Its row count is at
+    most the store's, a footer read, which serves as the proven broadcast bound."""
+    uniq = unique_rows(store, agg_cols).withColumnRenamed("flight_date", "lookup_date")
+    return F.broadcast(uniq) if store.count() <= max_rows else uniq
 
 
 def _prepare_lookups(tables: dict, specs, materialize_tables: bool, max_rows: int) -> dict:
@@ -145,8 +145,7 @@ def build_lookups(store: DataFrame, mode: str = "own", specs=SPECS, windows=WIND
     if mode == "overlay":
         out = _prepare_lookups({s.name: lookup_first_key(store, s) for s in specs}, specs,
                                materialize_tables, broadcast_max_rows)
-        out["_unique"] = _prepare_lookup(unique_rows(store, agg_cols), "lookup_unique", materialize_tables,
-                                         broadcast_max_rows)
+        out["_unique"] = _unique_lookup(store, agg_cols, broadcast_max_rows)
         return out
     raise ValueError(f"unknown lookup mode {mode!r}")
 
@@ -199,8 +198,7 @@ def lookup_composite(req: DataFrame, store: DataFrame, stats: DataFrame | None =
     agg_cols = list(agg_cols or aggregate_columns())
     g = stat(stats, "global_rate")
     keys = [k for k in STORE_KEYS if k != "flight_date"]
-    uniq = _prepare_lookup(unique_rows(store, agg_cols), "lookup_composite", materialize_tables,
-                           broadcast_max_rows)
+    uniq = _unique_lookup(store, agg_cols, broadcast_max_rows)
     out = sanitize_keys(req).withColumn("lookup_date", lookup_date(stats))
     out = out.join(uniq, ["lookup_date", *keys], "left")
     return out.withColumns(_fill_defaults(agg_cols, g))
