@@ -120,3 +120,26 @@ def evaluate_table(df: DataFrame, label: str = "delayed_15", score_col: str = "p
                    threshold: float = 0.5, group_cols=("split",)) -> DataFrame:
     """Any scored table -> metrics per group."""
     return M.evaluate(df, label, score_col, threshold, list(group_cols))
+
+
+def run_all(spark: SparkSession, csv_root: str, out_root: str, cfg: S.PipelineConfig,
+            model_cfg: MD.ModelConfig | None = None, train_model: bool = True) -> dict:
+    """Every offline stage in order, each reading the previous stage's output (§3.1, §3.2).
+
+    Returns the small profile / summary / metrics tables of each stage.
+    """
+    out = out_root.rstrip("/")
+    report = {
+        "ingest": clean(spark, csv_root, f"{out}/typed"),
+        "labels": build_labels(spark, f"{out}/typed", f"{out}/labeled", cfg.drop_cancelled_diverted),
+        "scope": filter_scope(spark, f"{out}/labeled", f"{out}/scoped", cfg.scope),
+        "splits": make_splits(spark, f"{out}/scoped", f"{out}/splits", cfg.splits),
+        "base": build_base(spark, f"{out}/splits", f"{out}/base"),
+        "aggregates": build_aggregates(spark, f"{out}/base", f"{out}/with_aggs", cfg.specs, cfg.windows,
+                                       cfg.alpha, cfg.global_rate_scope),
+        "store": build_feature_store(spark, f"{out}/with_aggs", f"{out}/store"),
+    }
+    build_lookup_tables(spark, f"{out}/store", f"{out}/lookups")
+    if train_model:
+        report["metrics"] = train(spark, f"{out}/with_aggs", f"{out}/model", model_cfg)
+    return report

@@ -120,3 +120,13 @@ def test_streaming_scorer(spark, tmp_path, with_aggs):
                               checkpoint_dir=str(tmp_path / "ckpt"), available_now=True)
     q.awaitTermination(300)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 50
+
+
+def test_run_all_end_to_end(spark, csv_root, tmp_path):
+    from tarmac.schemas import PipelineConfig
+
+    root, _ = csv_root
+    cfg = PipelineConfig(splits=FIXTURE_SPLITS, scope=ScopeConfig(start=dt.date(1995, 1, 1)))
+    rep = P.run_all(spark, root, str(tmp_path), cfg, train_model=False)
+    assert {r.split for r in rep["aggregates"].collect()} == {"train", "val", "test"}
+    assert rep["store"].first().agg_cols == 36
