@@ -208,3 +208,16 @@ def load_store(spark, path: str, agg_cols=None) -> tuple[DataFrame, DataFrame]:
     """Feature-store handle: the store rows (null dates dropped) + one-row stats (V3, A4, A5)."""
     store = spark.read.parquet(path).where(F.col("flight_date").isNotNull())
     return store, store_stats(store, agg_cols)
+
+
+def load_lookups(spark, root: str, specs=SPECS, broadcast_max_rows: int = LOOKUP_BROADCAST_MAX_ROWS) -> dict:
+    """Read persisted own-mode lookup tables (``{root}/by_{spec}``) for enrichment (V2 -> V4).
+
+    Row counts of written tables are footer reads; each table is broadcast
+    only within ``broadcast_max_rows``.
+    """
+    out = {}
+    for spec in specs:
+        t = spark.read.parquet(f"{root}/by_{spec.name}").withColumnRenamed("flight_date", "lookup_date")
+        out[spec.name] = F.broadcast(t) if t.count() <= broadcast_max_rows else t
+    return out

@@ -107,10 +107,16 @@ def train(spark: SparkSession, with_aggs_root: str, out_dir: str, cfg: MD.ModelC
 
 
 def score(spark: SparkSession, requests: DataFrame, store_path: str, model_dir: str, out_path: str,
-          mode: str = "own") -> None:
-    """Requests table -> scored and explained table."""
+          mode: str = "own", lookups_root: str | None = None) -> None:
+    """Requests table -> scored and explained table.
+
+    With ``lookups_root`` the persisted own-mode lookup tables of
+    :func:`build_lookup_tables` are used instead of rebuilding them.
+    """
     model, cfg = MD.load(model_dir)
-    out = MO.score_requests(spark, requests, spark.read.parquet(store_path), model, cfg, mode=mode)
+    lookups = ST.load_lookups(spark, lookups_root) if lookups_root and mode == "own" else None
+    out = MO.score_requests(spark, requests, spark.read.parquet(store_path), model, cfg, mode=mode,
+                            lookups=lookups)
     cols = ["request_id", "probability", "risk_bucket", "reasons", "contributions", "base_value",
             "evidence", "bullets", "is_valid", "invalid_reason"]
     PQ.write_table(out.select(*[c for c in cols if c in out.columns]), out_path)

@@ -49,14 +49,16 @@ def request_stream(spark: SparkSession, source_dir: str, fmt: str = "json", max_
 
 def start_request_scoring(spark: SparkSession, source_dir: str, store_path: str, model_dir: str, out_dir: str,
                           checkpoint_dir: str | None = None, fmt: str = "json", airports=None, carriers=None,
-                          available_now: bool = False, mode: str = "own") -> StreamingQuery:
+                          available_now: bool = False, mode: str = "own",
+                          lookups_root: str | None = None) -> StreamingQuery:
     """Start the scoring query; ``available_now`` processes what is there and stops."""
     model, cfg = MD.load(model_dir)
     store = spark.read.parquet(store_path)
     row = ST.store_stats(store).first()
     stats = {"global_rate": float(row["global_rate"]), "max_date": row["max_date"]}
     feats = request_validity(request_features(request_stream(spark, source_dir, fmt)), airports, carriers)
-    scored = MO.score_requests(spark, feats, store, model, cfg, mode=mode, stats=stats)
+    lookups = ST.load_lookups(spark, lookups_root) if lookups_root and mode == "own" else None
+    scored = MO.score_requests(spark, feats, store, model, cfg, mode=mode, stats=stats, lookups=lookups)
     out = scored.select(*OUTPUT_COLUMNS)
     ckpt = checkpoint_dir or f"{shared_dir(spark)}/streams/requests-{uuid.uuid4().hex[:12]}"
     writer = out.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", ckpt)

@@ -83,6 +83,12 @@ def test_staged_pipeline_round_trip(spark, csv_root, tmp_path):
     assert store.rows == b[1] and store.agg_cols == 36
     P.build_lookup_tables(spark, f"{out}/store", f"{out}/lookups")
     assert spark.read.parquet(f"{out}/lookups/stats").count() == 1
+    from tarmac.operators import store as ST
+    st = spark.read.parquet(f"{out}/store")
+    req = stages.request_table(spark, SF_SMALL)
+    a = ST.enrich_requests(req, st, mode="own")
+    b = ST.enrich_requests(req, st, mode="own", lookups=ST.load_lookups(spark, f"{out}/lookups"))
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0
 
 
 def test_model_score_and_contributions(spark, tmp_path, with_aggs):
