@@ -127,13 +127,18 @@ def add_rolling_features(base: DataFrame, specs=SPECS, windows=WINDOWS, alpha: f
     base = sanitize_keys(base)
     g = global_rate(base, rate_scope)
     feats = {spec.name: rolling_features_for_spec(base, spec, g, windows, alpha) for spec in specs}
+    order = list(specs)
     if materialize_tables:
         written = materialize_family(feats, {s.name: [*s.keys, "flight_date"] for s in specs}, "daily")
-        feats = {name: (F.broadcast(t) if n <= broadcast_max_rows else t) for name, (t, n) in written.items()}
+        small = {name for name, (_, n) in written.items() if n <= broadcast_max_rows}
+        feats = {name: (F.broadcast(t) if name in small else t) for name, (t, _) in written.items()}
+        # Tables over the bound join by shuffling the fact rows: do those first,
+        # while the rows still carry few feature columns; broadcasts follow.
+        order = [s for s in specs if s.name not in small] + [s for s in specs if s.name in small]
     out = base
-    for spec in specs:
+    for spec in order:
         out = join_rolling(out, feats[spec.name], spec, g, windows)
-    return out
+    return out.select(*base.columns, *[c for s in specs for c in spec_columns(s, windows)])
 
 
 def rolling_table(base: DataFrame, spec: AggSpec, windows=WINDOWS, alpha: float = ALPHA,

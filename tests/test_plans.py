@@ -60,3 +60,17 @@ def test_daily_tables_shuffle_join_when_over_bound(spark, capsys):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_shuffled_joins_run_before_broadcast_joins(spark, capsys):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = _join_back(spark, broadcast_max_rows=5000)   # only the carrier table stays under the bound
+        plan = _plan(out, capsys)
+        joins = [l for l in plan.split("\n\n")[0].splitlines() if "Join" in l]
+        assert "BroadcastHashJoin" in joins[0]                 # the top (last) join is the broadcast one
+        assert all("SortMergeJoin" in j for j in joins[1:])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
