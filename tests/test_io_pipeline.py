@@ -136,3 +136,13 @@ def test_run_all_end_to_end(spark, csv_root, tmp_path):
     rep = P.run_all(spark, root, str(tmp_path), cfg, train_model=False)
     assert {r.split for r in rep["aggregates"].collect()} == {"train", "val", "test"}
     assert rep["store"].first().agg_cols == 36
+
+
+def test_strict_ingest_rejects_non_integral(spark, tmp_path):
+    hdr = "YEAR,MONTH,DAY_OF_MONTH,DAY_OF_WEEK,OP_CARRIER,ORIGIN,DEST,CRS_DEP_TIME,CRS_ARR_TIME,ARR_DELAY,DISTANCE\n"
+    (tmp_path / "f.csv").write_text(hdr + "2024,1,5,5,DL,ATL,JFK,5.5,1200,NA,760\n2024,1,6,6,AA,ORD,LAX,0.00,1300,20,1700\n")
+    with pytest.raises(C.IngestError):
+        C.read_raw_csv(spark, str(tmp_path), strict=True)
+    rows = {r.OP_CARRIER: r for r in C.read_raw_csv(spark, str(tmp_path)).collect()}
+    assert rows["DL"].CRS_DEP_TIME is None and rows["DL"].ARR_DELAY is None and rows["DL"].FL_DATE is None
+    assert rows["AA"].CRS_DEP_TIME == 0 and rows["AA"].CANCELLED is None and rows["AA"].SOURCE_FILE == "f.csv"
