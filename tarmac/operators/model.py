@@ -50,6 +50,7 @@ class ModelConfig:
     validation_tol: float = 0.01
     max_bins: int = 32
     subsampling_rate: float = 1.0
+    cache_node_ids: bool = True   # node ids cached + checkpointed to the shared folder every 10 rounds
 
     @property
     def numeric_cols(self) -> list[str]:
@@ -122,7 +123,7 @@ def fit(train: DataFrame, val: DataFrame | None, cfg: ModelConfig) -> PipelineMo
     gbt = GBTClassifier(featuresCol="features", labelCol=cfg.label, weightCol="_w",
                         lossType="logistic", maxIter=cfg.max_iter, maxDepth=cfg.max_depth,
                         stepSize=cfg.step_size, seed=cfg.seed, maxBins=cfg.max_bins,
-                        subsamplingRate=cfg.subsampling_rate,
+                        subsamplingRate=cfg.subsampling_rate, cacheNodeIds=cfg.cache_node_ids,
                         validationIndicatorCol="_is_val" if val is not None else None,
                         validationTol=cfg.validation_tol)
     return PipelineModel(stages=[idx, enc, plain, asm, gbt.fit(data)])
