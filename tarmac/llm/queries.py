@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarmac.llm import url_rules, warc, wavelet
+from tarmac.llm import line_crf, pii_crf, pu_toxicity, url_rules, warc, wavelet
 from tarmac.llm.common import table
 
 
@@ -26,6 +26,20 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_crf.judge(docs, line_crf.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii_crf.detect(docs, pii_crf.train(docs))
+
+
+def op9_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 SQL_OP5 = """
 WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS d, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
 t AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d) END AS top FROM p)
@@ -38,7 +52,10 @@ FROM t
 QUERIES = {
     "op2_wavelet_tokens": op2_wavelet_tokens,
     "op3_url_rules": op3_url_rules,
+    "op4_line_crf": op4_line_crf,
     "op5_warc": op5_warc,
+    "op7_skip_chain_pii": op7_skip_chain_pii,
+    "op9_nnpu_toxicity": op9_nnpu_toxicity,
 }
 
 SQL = {
