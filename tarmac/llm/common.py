@@ -65,35 +65,31 @@ def ascii_lower(col):
 class WordMemo:
     """Bounded memo of a pure function of a word, kept by a worker between batches.
 
-    ``fill(words)`` maps a list of words to their values.  Two generations of at most ``size``
-    entries hold the memory down: when the young one is full it becomes the old one.
+    ``fill(words)`` gives the values of a list of words.  Two generations of about ``size`` entries
+    hold the memory down: when the young one is full it becomes the old one.  Words over
+    ``longest`` characters are forgotten after their batch.
     """
 
     def __init__(self, fill, size: int = 250_000, longest: int = 48):
         self.fill, self.size, self.longest = fill, size, longest
         self.young: dict = {}
         self.old: dict = {}
+        self.large: list = []
 
-    def values(self, words: Iterable) -> dict:
-        """A dict with the value of each of ``words``."""
-        out, missing = {}, []
-        for w in set(words):
-            v = self.young.get(w)
-            if v is None:
-                v = self.old.get(w)
-                if v is None:
-                    missing.append(w)
-                    continue
-                self.young[w] = v
-            out[w] = v
-        if missing:
-            for w, v in zip(missing, self.fill(missing)):
-                out[w] = v
-                if len(w) <= self.longest:
-                    self.young[w] = v
+    def holding(self, words: Iterable) -> dict:
+        """A dict with the value of each of ``words``, good until the next call."""
+        for w in self.large:
+            self.young.pop(w, None)
         if len(self.young) > self.size:
             self.old, self.young = self.young, {}
-        return out
+        todo = set(words).difference(self.young)
+        for w in todo.intersection(self.old) if len(todo) < len(self.old) else [w for w in todo if w in self.old]:
+            self.young[w] = self.old[w]
+        missing = [w for w in todo if w not in self.young]
+        self.large = [w for w in missing if len(w) > self.longest]
+        if missing:
+            self.young.update(zip(missing, self.fill(missing)))
+        return self.young
 
 
 def chunks(items: list, weight, limit: int) -> Iterator[list]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarmac.llm import line_crf, pii_crf, pu_toxicity, url_rules, warc, wavelet
+from tarmac.llm import bm25_leaks, license_dice, line_crf, pii_crf, piece_fst, pu_toxicity, url_rules, warc, wavelet
 from tarmac.llm.common import table
 
 
@@ -14,6 +14,10 @@ def tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_bm25_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25_leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_digest(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -31,11 +35,19 @@ def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.judge(docs, line_crf.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_dice.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii_crf.detect(docs, pii_crf.train(docs))
 
 
+def op8_piece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_fst.encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), with_ids=False)
+
+
 def op9_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,14 +62,18 @@ FROM t
 """
 
 QUERIES = {
+    "op1_bm25_leaks": op1_bm25_leaks,
     "op2_wavelet_tokens": op2_wavelet_tokens,
     "op3_url_rules": op3_url_rules,
     "op4_line_crf": op4_line_crf,
     "op5_warc": op5_warc,
+    "op6_license_dice": op6_license_dice,
     "op7_skip_chain_pii": op7_skip_chain_pii,
+    "op8_piece_fst": op8_piece_fst,
     "op9_nnpu_toxicity": op9_nnpu_toxicity,
 }
 
 SQL = {
     "op5_warc": SQL_OP5,
+    "op6_license_dice": license_dice.duckdb_sql(),
 }

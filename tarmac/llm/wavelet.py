@@ -17,11 +17,14 @@ and the text are not read.
 from __future__ import annotations
 
 import io
+import itertools
 import json
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +40,17 @@ BLOCK = 512  # bits for each entry of a plane's rank directory
 
 
 class Plane:
-    """A bit vector with rank and select."""
+    """A bit vector with rank and select; the rank directory is counted when it is first asked for."""
 
     def __init__(self, packed: np.ndarray, n: int):
         self.packed, self.n = packed, n
-        per_byte = np.bitwise_count(packed).astype(np.int64)
-        edges = np.arange(0, len(packed) + BLOCK // 8, BLOCK // 8)
-        running = np.concatenate([[0], np.cumsum(per_byte)])
-        self.before = running[np.minimum(edges, len(packed))]  # ones before each block
-        self.ones = int(running[-1])
+        self.ones = int(np.bitwise_count(packed).sum(dtype=np.int64))
+
+    @cached_property
+    def before(self) -> np.ndarray:
+        """Ones before each block."""
+        running = np.concatenate([[0], np.cumsum(np.bitwise_count(self.packed), dtype=np.int64)])
+        return running[np.minimum(np.arange(0, len(self.packed) + BLOCK // 8, BLOCK // 8), len(self.packed))]
 
     def bit(self, i: int) -> int:
         return int(self.packed[i >> 3] >> (7 - (i & 7))) & 1
@@ -167,36 +172,69 @@ _ENCODERS: dict[str, tuple] = {}
 def encoder(path: str) -> tuple[Callable[[list[str]], list[np.ndarray]], int]:
     """``encode(texts)`` for a file of the ``tokenizers`` library, and the bits an id takes.
 
-    If the file's pre-tokenizer never joins text across white space and its normaliser treats
-    a space as a boundary (NFC, lower-casing and white-space folding do), a text's ids are those
-    of its space-separated words in turn, so each distinct word is encoded once and remembered.
-    Any other file encodes whole texts.
+    If the file's pre-tokenizer is a pattern that never joins text across white space and its normaliser
+    treats a space as a boundary (NFC, lower-casing and white-space folding do), a text's ids are those
+    of its space-separated words in turn, and a word's are those of the parts that the pattern cuts.
+    The library then encodes each distinct part once; words that are not in NFC or hold a
+    special token's text are encoded whole.  Any other file encodes whole texts.
     """
     if path not in _ENCODERS:
+        import regex
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
         spec = json.loads(tok.to_str())
-        levels = max(1, (tok.get_vocab_size(with_added_tokens=True) - 1).bit_length())
+        vocab = tok.get_vocab(with_added_tokens=True)
+        levels = max(1, max(vocab.values()).bit_length())
         kind = np.uint16 if levels <= 16 else np.uint32
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
         first = (pre.get("pretokenizers") or [pre])[0]
-        by_word = first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed" \
-            and "\\s" in str(first.get("pattern")) and first["pattern"].get("Regex", "").endswith("[^\\s\\p{L}\\p{N}]+") \
-            and all(x["type"] in ("NFC", "Lowercase") or x["type"] == "Replace" and x["pattern"] == {"Regex": "\\s+"}
-                    for x in norm.get("normalizers", [norm] if norm else []))
+        pattern = (first.get("pattern") or {}).get("Regex", "") if first.get("type") == "Split" else ""
+        mark = spec["model"].get("end_of_word_suffix") or ""
+        by_word = bool(mark) and first.get("invert") and first.get("behavior") == "Removed" \
+            and pattern.endswith(r"[^\s\p{L}\p{N}]+") and all(
+                x["type"] in ("NFC", "Lowercase") or x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"}
+                for x in norm.get("normalizers", [norm] if norm else []))
+        special = [t["content"] for t in spec.get("added_tokens", [])]
+        ends = np.zeros(max(vocab.values()) + 1, bool)
+        ends[[i for t, i in vocab.items() if mark and t.endswith(mark)]] = True
+        parts = regex.compile(pattern) if by_word else None
 
         def raw(texts: list[str]) -> list[bytes]:
             return [np.array(e.ids, kind).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-        memo = WordMemo(raw)
+        def parts_ids(words: list[str]) -> list[bytes]:
+            """Ids of pre-tokens: one call for all, cut where a token ends a word."""
+            ids = np.array(tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, kind)
+            cuts = np.flatnonzero(ends[ids]) + 1
+            if len(cuts) != len(words):
+                return raw(words)
+            data, width = ids.tobytes(), ids.itemsize
+            at = [0, *(cuts * width).tolist()]
+            return [data[a:b] for a, b in zip(at, at[1:])]
+
+        pieces = WordMemo(parts_ids)
+
+        def words_ids(words: list[str]) -> list[bytes]:
+            """Ids of space-separated words, put together from those of their pre-tokens."""
+            whole = {w for w in words if not (w.isascii() or unicodedata.is_normalized("NFC", w))}
+            if any(x in w for x in special for w in ("\n".join(words),)):
+                whole.update(w for w in words if any(x in w for x in special))
+            split = [[] if w in whole else [w.lower()] if w.isascii() and w.isalpha() else
+                     parts.findall(w.lower() if w.isascii() else w) for w in words]
+            known = pieces.holding(itertools.chain.from_iterable(split))
+            whole_ids = dict(zip(whole, raw(list(whole))))
+            return [whole_ids[w] if w in whole else known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p])
+                    for w, p in zip(words, split)]
+
+        memo = WordMemo(words_ids, 400_000)
 
         def encode(texts: list[str]) -> list[np.ndarray]:
             if not by_word:
                 return [np.frombuffer(x, kind) for x in raw(texts)]
             split = [t.replace("\n", " ").split(" ") for t in texts]
-            known = memo.values(w for words in split for w in words)
-            return [np.frombuffer(b"".join(map(known.__getitem__, words)), kind) for words in split]
+            known = memo.holding(itertools.chain.from_iterable(split)).__getitem__
+            return [np.frombuffer(b"".join(map(known, words)), kind) for words in split]
 
         _ENCODERS[path] = encode, levels
     return _ENCODERS[path]
