@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarmac.llm import bm25_leaks, license_dice, line_crf, pii_crf, piece_fst, pu_toxicity, url_rules, warc, wavelet
+from tarmac.llm import bm25_leaks, jaccard_tiles, license_dice, line_crf, pii_crf, piece_fst, pu_toxicity, url_rules, warc, wavelet
 from tarmac.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op9_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_jaccard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_tiles.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 SQL_OP5 = """
 WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS d, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
 t AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d) END AS top FROM p)
@@ -71,6 +75,7 @@ QUERIES = {
     "op7_skip_chain_pii": op7_skip_chain_pii,
     "op8_piece_fst": op8_piece_fst,
     "op9_nnpu_toxicity": op9_nnpu_toxicity,
+    "op10_jaccard_tiles": op10_jaccard_tiles,
 }
 
 SQL = {
