@@ -15,7 +15,7 @@ or else the last sentence; an item of one sentence is all question.
 Items go to the tasks in blocks of ``max_items`` (bounded, sizes known), with document frequencies
 over all items; the corpus is read once for each block.
 
-Cases: a null text has no words and matches nothing; a null item text is no item; repeated items
+Cases: a null text has no words and matches nothing; a null item text is no item, a null item id reads -1; repeated items
 are items each; a text that repeats is searched each time; an empty benchmark or corpus gives no rows.
 Columns beyond ids and texts are not read.
 """
@@ -201,11 +201,8 @@ class BlockMaxIndex:
         return found
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               threshold: float = 0.6, min_overlap: float = 0.5, max_items: int = 20_000) -> DataFrame:
-    """A row per document and leaked item: ids, BM25 score, question and answer overlap, first word of the passage."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {kind}, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
+def item_indexes(benchmark: DataFrame, max_items: int = 20_000) -> list[BlockMaxIndex]:
+    """An index for each block of about ``max_items`` items; document frequencies are over all items."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(
         F.col("text").rlike(r"[\p{L}\p{N}]"))
 
@@ -217,22 +214,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     bags = items.select("text").mapInArrow(terms, "n long, terms array<string>").where("n > 0")
     n_items, mean_len = bags.agg(F.count(F.lit(1)), F.avg("n")).first()
-    out = docs.sparkSession.createDataFrame([], schema)
-    if not n_items:
-        return out
     df_all = bags.select(F.explode("terms").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    n_blocks = -(-n_items // max_items)
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("_leak_text")).where(F.col("_leak_text").isNotNull())
-    parts = []
+    n_blocks, out = -(-n_items // max_items), []
     for k in range(n_blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
         # One block's items, about max_items of them, and the frequencies of their terms.
-        block = sorted((r["item_id"], r["text"]) for r in mine.collect() if words_of(r["text"]))
-        if not block:
-            continue
-        used = mine.select("text").mapInArrow(terms, "n long, terms array<string>").select(F.explode("terms").alias("w")).distinct()
-        df = {r["w"]: r["df"] for r in df_all.join(used, "w").collect()}
-        index = docs.sparkSession.sparkContext.broadcast(BlockMaxIndex(block, df, n_items, mean_len))
+        block = sorted((-1 if r["item_id"] is None else r["item_id"], r["text"]) for r in mine.collect() if words_of(r["text"]))
+        if block:
+            used = mine.select("text").mapInArrow(terms, "n long, terms array<string>").select(F.explode("terms").alias("w")).distinct()
+            out.append(BlockMaxIndex(block, {r["w"]: r["df"] for r in df_all.join(used, "w").collect()}, n_items, mean_len))
+    return out
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               threshold: float = 0.6, min_overlap: float = 0.5, max_items: int = 20_000) -> DataFrame:
+    """A row per document and leaked item: ids, BM25 score, question and answer overlap, first word of the passage."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"{id_col} {kind}, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("_leak_text")).where(F.col("_leak_text").isNotNull())
+    parts = []
+    for block in item_indexes(benchmark, max_items):
+        index = docs.sparkSession.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -246,6 +248,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                     [id_col, "item_id", "score", "question_overlap", "answer_overlap", "first_word"])
 
         parts.append(rows.mapInArrow(search, schema))
-    for p in parts:
-        out = p if out is None or p is parts[0] else out.unionByName(p)
+    out = parts[0] if parts else docs.sparkSession.createDataFrame([], schema)
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = 0.6,
+                  min_overlap: float = 0.5, max_items: int = 20_000) -> DataFrame:
+    """The rows that leak no item, with all their columns."""
+    for block in item_indexes(benchmark, max_items):
+        index = docs.sparkSession.sparkContext.broadcast(block)
+
+        def keep(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
+                yield b.filter(pa.array([not index.value.leaks(t or "", threshold, min_overlap) for t in texts], pa.bool_()))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs

@@ -369,3 +369,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         classes = rooted.join(least, "root").select("sid", "component_id")
     return every.join(classes, "sid", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of the smallest id of every component, with all their columns.
+
+    An id stands for one document: rows of an id stay or go together, and of rows equal in id and text one
+    stays.  Rows with a null id stay.
+    """
+    found = jaccard_components(docs, id_col, text_col, k, percent)
+    ids = written(found.groupBy(F.col(id_col).alias("_id")).agg(
+        F.max(F.col("component_id") < F.col(id_col)).alias("gone"), F.count(F.lit(1)).alias("copies")).where(
+        F.col("_id").isNotNull() & (F.col("gone") | (F.col("copies") > 1))), "jt-gone")
+    kept = docs.join(ids.where("gone"), F.col(id_col) == F.col("_id"), "left_anti")
+    again = ids.where("NOT gone AND copies > 1")
+    if again.isEmpty():
+        return kept
+    twice = kept.join(again, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(again, F.col(id_col) == F.col("_id"), "left_anti").unionByName(twice)

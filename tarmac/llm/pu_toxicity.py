@@ -59,23 +59,35 @@ def held_out(id_col: str, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == 0, F.lit(True))
 
 
-def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 600, rate: float = 0.1,
+@dataclass
+class Rows:
+    """Rows of 0/1 features: the row and column of every 1, and the number of rows."""
+
+    row: np.ndarray
+    col: np.ndarray
+    n: int
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        """Scores of the rows; the last weight is the bias."""
+        return np.bincount(self.row, w[self.col], self.n) + w[-1]
+
+    def mean(self, g: np.ndarray, k: int) -> np.ndarray:
+        """The mean over rows of ``g`` times the row's features and bias."""
+        return np.append(np.bincount(self.col, g[self.row], k), g.sum()) / self.n
+
+
+def fit_nnpu(p: Rows, u: Rows, k: int, prior: float, steps: int = 600, rate: float = 0.1,
              l2: float = 2e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias for rows ``p`` (positive) and ``u`` (unlabelled) by Adam on the whole batch."""
-    k = p.shape[1]
+    """``k`` weights and the bias for rows ``p`` (positive) and ``u`` (unlabelled), by Adam on the whole batch."""
     w = np.zeros(k + 1)
     w[k] = np.log(prior / (1 - prior))
     m, v = np.zeros(k + 1), np.zeros(k + 1)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-
-    def mean(x: np.ndarray, g: np.ndarray) -> np.ndarray:
-        return np.append(x.T @ g, g.sum()) / len(x)
-
     for t in range(1, steps + 1):
-        zp, zu = p @ w[:k] + w[k], u @ w[:k] + w[k]
+        zp, zu = p.dot(w), u.dot(w)
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g_neg = mean(u, sig(zu)) - prior * mean(p, sig(zp))
-        g = prior * mean(p, sig(zp) - 1) + g_neg if negative >= 0 else -g_neg
+        g_neg = u.mean(sig(zu), k) - prior * p.mean(sig(zp), k)
+        g = prior * p.mean(sig(zp) - 1, k) + g_neg if negative >= 0 else -g_neg
         g[:k] += l2 * w[:k]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
@@ -119,11 +131,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model({}, float(np.log(prior / (1 - prior))), prior)
     found = bags.select("p", "u", F.array_intersect("words", F.array(*map(F.lit, vocab))).alias("words")).collect()
     place = {w: i for i, w in enumerate(vocab)}
-    x = np.zeros((len(found), len(vocab)), np.float32)
-    for i, r in enumerate(found):
-        x[i, [place[w] for w in r["words"]]] = 1
-    p, u = (np.array([r[c] == 1 for r in found]) for c in ("p", "u"))
-    weights, bias = fit_nnpu(x[p], x[u], prior)
+
+    def rows(which: str) -> Rows:
+        own = [r["words"] for r in found if r[which] == 1]
+        return Rows(np.repeat(np.arange(len(own)), list(map(len, own))), np.array([place[w] for ws in own for w in ws], int), len(own))
+
+    weights, bias = fit_nnpu(rows("p"), rows("u"), len(vocab), prior)
     return Model({w: float(weights[i]) for w, i in place.items()}, bias, prior)
 
 
@@ -144,6 +157,16 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     return rows.mapInArrow(apply, schema)
 
 
+def without_toxic(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows whose score is below 0.5, with all their columns."""
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
+            yield b.filter(pa.array([model is None or model.score(t or "") < 0.5 for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Train, then score every document: id, held_out, score, predicted."""
     scored = score(docs, train(docs, labels, id_col, text_col), id_col, text_col)
