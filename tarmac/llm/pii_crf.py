@@ -129,12 +129,12 @@ def word_features(text: str, words: list[tuple[int, int]]) -> list[list[str]]:
 def edges(text: str, words: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Chain edges of adjacent candidates, and skip edges from a word to its next equal or same-digit one."""
     chain = [(i, i + 1) for i in range(len(words) - 1) if words[i + 1][0] - words[i][1] <= 2]
-    skip, last = [], {}
+    beside, skip, last = set(chain), [], {}
     for i, (s, e) in enumerate(words):
         word = text[s:e].lower()
         digits = re.sub("[^0-9]", "", word)
         keys = {("w", word)} | ({("d", digits)} if len(digits) >= 7 else set())
-        skip += sorted({(last[k], i) for k in keys if k in last and last[k] != i - 1})
+        skip += sorted({(last[k], i) for k in keys if k in last and (last[k], i) not in beside})
         for k in keys:
             last[k] = i
     return chain, skip
