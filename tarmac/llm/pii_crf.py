@@ -8,9 +8,10 @@ thousand copies of a word has a thousand links.  Loopy sum-product message passi
 rounds over all candidates of a batch at once; a word whose best label is sure enough
 joins a span.  A span whose words all lack base spans is added; base spans always stay.
 
-The potentials are trained by pseudo-likelihood.  Base spans label the words of at most
-``max_docs`` documents (smallest id hashes); words of failed matches are trained as
-outside.  Detection covers whole texts.
+The potentials are trained by pseudo-likelihood, the skip potential from a prior that equal words
+agree.  Base spans label the words of at most ``max_docs`` documents (smallest id hashes).  A failed
+match over several words, such as a card number after another number, says nothing of each of them: they
+are left out of the fit, and are what the CRF can add later.  Detection covers whole texts.
 
 Cases: a null or empty text has no spans; repeated rows are searched each; a null id is kept;
 without any base span in the sample the CRF adds nothing; an empty table gives no rows; long runs
@@ -183,9 +184,23 @@ def label_words(words: list[tuple[int, int]], spans: list[Span]) -> list[int]:
     return out
 
 
+def training_labels(text: str, words: list[tuple[int, int]]) -> list[int]:
+    """The label of each word by base spans; -1 for words that a failed match took in together."""
+    spans = base_spans(text)
+    out = label_words(words, spans)
+    good = set(spans)
+    for kind, pattern in (("card", _CARD), ("phone", _PHONE)):
+        for m in pattern.finditer(text):
+            if (kind, *m.span()) not in good and (" " in m[0] or "(" in m[0]):
+                inside = [i for i, (s, e) in enumerate(words) if s < m.end() and e > m.start()] if len(m[0]) > 8 else []
+                for i in inside if len(inside) > 1 else []:
+                    out[i] = out[i] or -1
+    return out
+
+
 def fit(samples: list[tuple[list[list[str]], list[tuple[int, int]], list[tuple[int, int]], list[int]]],
-        steps: int = 120, rate: float = 0.2, l2: float = 1e-3) -> SkipChainCRF:
-    """Pseudo-likelihood by Adam: every node given its neighbours' labels."""
+        steps: int = 120, rate: float = 0.2, l2: float = 1e-3, agree: float = 1.0) -> SkipChainCRF:
+    """Pseudo-likelihood by Adam: every node given its neighbours' labels; nodes labelled -1 are left out."""
     k = len(LABELS)
     names: dict[str, int] = {}
     ids, rows, y, ch, sk = [], [], [], [], []
@@ -200,9 +215,11 @@ def fit(samples: list[tuple[list[list[str]], list[tuple[int, int]], list[tuple[i
         y += labels
     ids, rows, y = np.array(ids, int), np.array(rows, int), np.array(y, int)
     ch, sk = np.array(ch, int).reshape(-1, 2), np.array(sk, int).reshape(-1, 2)
-    n = len(y)
-    gold = np.eye(k)[y]
-    node, chain, skip = np.zeros((len(names), k)), np.zeros((k, k)), np.zeros((k, k))
+    n, known = len(y), y >= 0
+    ch, sk = (e[known[e].all(1)] for e in (ch, sk))
+    gold = np.eye(k)[np.maximum(y, 0)]
+    prior = agree * np.eye(k)
+    node, chain, skip = np.zeros((len(names), k)), np.zeros((k, k)), prior.copy()
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (node, chain, skip)]
     for t in range(1, steps + 1):
         z = np.zeros((n, k))
@@ -210,15 +227,15 @@ def fit(samples: list[tuple[list[list[str]], list[tuple[int, int]], list[tuple[i
         for e, p in ((ch, chain), (sk, skip)):
             np.add.at(z, e[:, 1], p[y[e[:, 0]]])
             np.add.at(z, e[:, 0], p.T[y[e[:, 1]]])
-        g = (np.exp(z - np.logaddexp.reduce(z, 1)[:, None]) - gold) / n
+        g = (np.exp(z - np.logaddexp.reduce(z, 1)[:, None]) - gold) * known[:, None] / n
         g_node, g_chain, g_skip = np.zeros_like(node), np.zeros_like(chain), np.zeros_like(skip)
         np.add.at(g_node, ids, g[rows])
         for e, out in ((ch, g_chain), (sk, g_skip)):
             np.add.at(out, y[e[:, 0]], g[e[:, 1]])
             np.add.at(out.T, y[e[:, 1]], g[e[:, 0]])
         g_skip = (g_skip + g_skip.T) / 2
-        for p, grad, s in zip((node, chain, skip), (g_node, g_chain, g_skip), state):
-            grad = grad + l2 / n * p
+        for p, grad, s, mean in zip((node, chain, skip), (g_node, g_chain, g_skip), state, (0, 0, prior)):
+            grad = grad + l2 / n * (p - mean)
             s[0], s[1] = 0.9 * s[0] + 0.1 * grad, 0.999 * s[1] + 0.001 * grad * grad
             p -= rate * (s[0] / (1 - 0.9 ** t)) / (np.sqrt(s[1] / (1 - 0.999 ** t)) + 1e-8)
     return SkipChainCRF({f: node[i] for f, i in names.items()}, chain, skip)
@@ -241,7 +258,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_d
                 words = candidates(text)[:per_doc]
                 chain, skip = edges(text, words)
                 out.append((word_features(text, words), [list(e) for e in chain], [list(e) for e in skip],
-                            label_words(words, base_spans(text))))
+                            training_labels(text, words)))
             pair = pa.list_(pa.list_(pa.int32()))
             types = (pa.list_(pa.list_(pa.string())), pair, pair, pa.list_(pa.int32()))
             yield pa.record_batch([b.column("id").cast(pa.string()), *(pa.array(c, t) for c, t in zip(zip(*out), types))]
@@ -257,7 +274,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_d
             break
         samples.append((r["feats"], [tuple(e) for e in r["chain"]], [tuple(e) for e in r["skip"]], r["labels"]))
         n += len(r["labels"])
-    return fit(samples) if any(any(s[3]) for s in samples) else None
+    return fit(samples) if any(max(s[3], default=0) > 0 for s in samples) else None
 
 
 def find_spans(texts: list[str], model: SkipChainCRF | None, sure: float = 0.9) -> list[tuple[list[Span], list[Span]]]:
