@@ -79,10 +79,10 @@ def coerce_numeric(c, dtype: T.DataType) -> Column:
 
 
 def to_date_lenient(c) -> Column:
-    """Per-row date parse of ``yyyy-MM-dd`` or ``M/d/yyyy h:mm:ss a``; bad -> null."""
+    """Per-row date parse of ``yyyy-MM-dd`` (a time may follow after a space or ``T``) or ``M/d/yyyy h:mm:ss a``; bad -> null."""
     x = _c(c)
     s = strip(x.cast("string"))
-    iso = F.when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), F.try_to_date(F.substring_index(s, " ", 1), "yyyy-M-d"))
+    iso = F.when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), F.try_to_date(F.regexp_extract(s, r"^\d{4}-\d{1,2}-\d{1,2}(?=$|[ T])", 0), "yyyy-M-d"))
     us = F.to_date(F.try_to_timestamp(s, F.lit("M/d/yyyy h:mm:ss a")))
     us_date = F.try_to_date(s, "M/d/yyyy")
     return F.coalesce(iso, us, us_date)

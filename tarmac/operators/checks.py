@@ -51,6 +51,6 @@ def require_unique(df: DataFrame, keys) -> None:
         raise DataCheckError(f"duplicate key {dup[0].asDict()} for {list(keys)}")
 
 
-def preview(df: DataFrame, n: int = 10):
-    """First ``n`` rows for a log line."""
-    return [r.asDict() for r in df.limit(n).collect()]
+def all_present(df: DataFrame, col: str) -> DataFrame:
+    """``df``, failing in the job that reads it if ``col`` is null (no pass of its own)."""
+    return df.withColumn(col, F.when(F.col(col).isNull(), F.raise_error(F.lit(f"null {col}"))).otherwise(F.col(col)))

@@ -87,3 +87,10 @@ def request_validity(feats: DataFrame, airports=None, carriers=None) -> DataFram
                              F.lit("unsupported carrier"))
     return feats.withColumn("invalid_reason", reason).withColumn(
         "is_valid", F.col("invalid_reason").isNull())
+
+
+def split_valid(requests: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Requests to score and requests to reject (F8); without validity columns all are scored."""
+    if "is_valid" not in requests.columns:
+        return requests, None
+    return requests.where(F.col("is_valid")), requests.where(~F.col("is_valid"))

@@ -4,13 +4,15 @@
   numbers fitted on the train split only (route cardinality rules out tree
   bins); numerics are coerced and missing values get a sentinel the trees
   can split off (Spark trees have no missing-value routing).
-* Gradient-boosted trees with log-loss, balanced class weights and a
-  validation split through ``validationIndicatorCol``.  Spark's stop rule
-  watches validation loss, not AUC, and has no L2 leaf term (D14).
+* Gradient-boosted trees with log-loss and balanced class weights.  All
+  rounds are trained without Spark's own stop rule (it has no patience); the
+  round kept is the one with the least validation loss, and training ends
+  once ``patience`` rounds brought no better one.  Spark has no L2 leaf term
+  and no AUC per round (D14).
 * Contributions (H1): decision-path attribution.  The fitted forest has a
   size fixed by its parameters (trees x 2^(depth+1) nodes), so its node
-  table is read from the saved model, broadcast once, and each Arrow batch
-  of scored rows walks all trees with vectorised NumPy.  For every split on
+  table is read from the saved model, broadcast once, and an Arrow-batched
+  function of the feature array alone walks all trees with NumPy.  For every split on
   a row's path the change in node value, times the tree weight, goes to the
   split feature; base + sum(contributions) equals the margin exactly.  These
   are path attributions, not Shapley values.
@@ -20,20 +22,21 @@ from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, fields
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import SQLTransformer, StringIndexer, TargetEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..functions.coerce import to_double
-from ..session import shared_dir
+from ..session import materialize, shared_dir
 
 MISSING_NUMERIC = -999.0
 
@@ -43,12 +46,12 @@ class ModelConfig:
     feature_cols: list[str] = field(default_factory=S.model_feature_columns)
     cat_cols: list[str] = field(default_factory=lambda: list(S.CATEGORICAL_FEATURES))
     label: str = S.LABEL
-    max_iter: int = 100          # the reference allows 1500 rounds; each round is a Spark job group
+    max_iter: int = 1500
+    patience: int = 200
     max_depth: int = 6
     step_size: float = 0.05
     seed: int = 42
-    validation_tol: float = 0.01
-    max_bins: int = 32
+    max_bins: int = 254
     subsampling_rate: float = 1.0
     cache_node_ids: bool = True   # node ids cached + checkpointed to the shared folder every 10 rounds
 
@@ -115,18 +118,37 @@ def fit(train: DataFrame, val: DataFrame | None, cfg: ModelConfig) -> PipelineMo
         f"CAST({c}__te AS DOUBLE) AS {c}__num" for c in cfg.cat_cols) + " FROM __THIS__")
     asm = VectorAssembler(inputCols=cfg.vector_cols, outputCol="features", handleInvalid="keep")
     weight = class_weight_column(tr, cfg.label)
-    parts = [tr.withColumn("_is_val", F.lit(False))]
-    if val is not None:
-        parts.append(model_inputs(val, cfg).withColumn("_is_val", F.lit(True)))
-    data = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    data = asm.transform(plain.transform(enc.transform(idx.transform(data)))).withColumn("_w", weight)
-    gbt = GBTClassifier(featuresCol="features", labelCol=cfg.label, weightCol="_w",
-                        lossType="logistic", maxIter=cfg.max_iter, maxDepth=cfg.max_depth,
-                        stepSize=cfg.step_size, seed=cfg.seed, maxBins=cfg.max_bins,
-                        subsamplingRate=cfg.subsampling_rate, cacheNodeIds=cfg.cache_node_ids,
-                        validationIndicatorCol="_is_val" if val is not None else None,
-                        validationTol=cfg.validation_tol)
-    return PipelineModel(stages=[idx, enc, plain, asm, gbt.fit(data)])
+    prepare = lambda df: materialize(asm.transform(plain.transform(enc.transform(idx.transform(df))))
+                                     .withColumn("_w", weight).select("features", cfg.label, "_w"), "fit")
+    data = prepare(tr)
+    gbt = GBTClassifier(featuresCol="features", labelCol=cfg.label, weightCol="_w", lossType="logistic",
+                        maxDepth=cfg.max_depth, stepSize=cfg.step_size, seed=cfg.seed, maxBins=cfg.max_bins,
+                        subsamplingRate=cfg.subsampling_rate, cacheNodeIds=cfg.cache_node_ids)
+    if val is None:
+        return PipelineModel(stages=[idx, enc, plain, asm, gbt.setMaxIter(cfg.max_iter).fit(data)])
+    held = prepare(model_inputs(val, cfg))
+    rounds = min(cfg.max_iter, max(2 * cfg.patience, 20))
+    while True:
+        fitted = gbt.setMaxIter(rounds).fit(data)
+        best, ended = best_round(fitted.evaluateEachIteration(held), cfg.patience)
+        if ended or rounds == cfg.max_iter:
+            break
+        rounds = min(cfg.max_iter, 2 * rounds)
+    # Boosting is deterministic for a seed, so fewer rounds are the first trees of more.
+    if best < rounds:
+        fitted = gbt.setMaxIter(best).fit(data)
+    return PipelineModel(stages=[idx, enc, plain, asm, fitted])
+
+
+def best_round(losses: list[float], patience: int) -> tuple[int, bool]:
+    """The round (from 1) of the least loss before ``patience`` rounds brought no better one, and whether that came."""
+    best = 0
+    for i, x in enumerate(losses):
+        if x < losses[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
 
 
 def score(model: PipelineModel, df: DataFrame, cfg: ModelConfig, keep=()) -> DataFrame:
@@ -137,26 +159,22 @@ def score(model: PipelineModel, df: DataFrame, cfg: ModelConfig, keep=()) -> Dat
                .withColumn("margin", vector_to_array("rawPrediction")[1]))
 
 
-def save(model: PipelineModel, cfg: ModelConfig, path: str, metrics: DataFrame | None = None) -> None:
-    """Persist model, feature lists and metrics."""
+def save(model: PipelineModel, cfg: ModelConfig, path: str, metrics: DataFrame | None = None,
+         report: DataFrame | None = None) -> None:
+    """Persist model, settings, metrics and training report."""
+    spark = SparkSession.active()
     model.write().overwrite().save(f"{path}/model")
-    spark = metrics.sparkSession if metrics is not None else None
-    meta = {"feature_cols": cfg.feature_cols, "cat_cols": cfg.cat_cols,
-            "vector_features": cfg.vector_features}
-    if spark is None:
-        from pyspark.sql import SparkSession
-        spark = SparkSession.getActiveSession()
+    meta = asdict(cfg) | {"vector_features": cfg.vector_features, "rounds_kept": model.stages[-1].getNumTrees}
     spark.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").text(f"{path}/feature_cols")
-    if metrics is not None:
-        metrics.coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
+    for name, table in (("metrics", metrics), ("report", report)):
+        if table is not None:
+            table.coalesce(1).write.mode("overwrite").json(f"{path}/{name}")
 
 
 def load(path: str) -> tuple[PipelineModel, ModelConfig]:
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
-    meta = json.loads(spark.read.text(f"{path}/feature_cols").first()[0])
-    return PipelineModel.load(f"{path}/model"), ModelConfig(feature_cols=meta["feature_cols"],
-                                                              cat_cols=meta["cat_cols"])
+    """A saved model with the settings it was fitted with."""
+    meta = json.loads(SparkSession.active().read.text(f"{path}/feature_cols").first()[0])
+    return PipelineModel.load(f"{path}/model"), ModelConfig(**{f.name: meta[f.name] for f in fields(ModelConfig)})
 
 
 # ---------------------------------------------------------------------------
@@ -169,7 +187,7 @@ def forest_arrays(model: PipelineModel) -> dict:
     Bounded by the model parameters (trees x nodes), not by the data.
     """
     gbt = model.stages[-1]
-    spark = SparkSession_active()
+    spark = SparkSession.active()
     path = f"{shared_dir(spark)}/models/forest-{uuid.uuid4().hex[:12]}"
     gbt.write().overwrite().save(path)
     rows = spark.read.parquet(f"{path}/data").select(
@@ -195,11 +213,6 @@ def forest_arrays(model: PipelineModel) -> dict:
             "w": np.asarray(gbt.treeWeights, dtype=float)}
 
 
-def SparkSession_active():
-    from pyspark.sql import SparkSession
-    return SparkSession.getActiveSession()
-
-
 def path_contributions(x: np.ndarray, forest: dict) -> tuple[np.ndarray, np.ndarray]:
     """(n x f contributions, n base values) in margin units for a batch."""
     n, f = x.shape
@@ -229,31 +242,21 @@ def path_contributions(x: np.ndarray, forest: dict) -> tuple[np.ndarray, np.ndar
 def add_contributions(scored: DataFrame, model: PipelineModel, cfg: ModelConfig) -> DataFrame:
     """Scored rows -> + ``contrib`` (array<double>, log-odds per feature) and ``base_value`` (H1).
 
-    Runs as ``mapInPandas`` over Arrow batches; vector columns are turned into
-    arrays first, everything else passes through unchanged.
+    Only the feature array goes to Python, in Arrow batches; a query that uses neither column has no
+    Python in its plan.
     """
-    forest = forest_arrays(model)
-    spark = scored.sparkSession
-    bc = spark.sparkContext.broadcast(forest)
-    vec_cols = [f.name for f in scored.schema.fields if f.dataType.typeName() == "vector"]
-    base_df = scored.withColumn("_x", vector_to_array("features")).drop(*vec_cols)
-    out_schema = T.StructType(base_df.schema.fields + [
-        T.StructField("contrib", T.ArrayType(T.DoubleType())),
-        T.StructField("base_value", T.DoubleType())])
-
-    def run(batches):
-        fo = bc.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = np.vstack(pdf["_x"].to_numpy())
-            c, b = path_contributions(x, fo)
-            # log-odds = 2 x margin for Spark's logistic boosting
-            pdf["contrib"] = list(2.0 * c)
-            pdf["base_value"] = 2.0 * b
-            yield pdf
-
-    return base_df.mapInPandas(run, out_schema).drop("_x")
+    bc = scored.sparkSession.sparkContext.broadcast(forest_arrays(model))
+
+    @F.pandas_udf("contrib array<double>, base_value double")
+    def explain(x: pd.Series) -> pd.DataFrame:
+        rows = np.vstack(x.to_numpy()) if len(x) else np.zeros((0, len(cfg.vector_cols)))
+        c, b = path_contributions(rows, bc.value)
+        # log-odds = 2 x margin for Spark's logistic boosting
+        return pd.DataFrame({"contrib": list(2.0 * c), "base_value": 2.0 * b})
+
+    vectors = [f.name for f in scored.schema.fields if f.dataType.typeName() == "vector"]
+    out = scored.withColumn("_explained", explain(vector_to_array("features"))).drop(*vectors)
+    return out.withColumns({"contrib": F.col("_explained.contrib"), "base_value": F.col("_explained.base_value")}).drop("_explained")
 
 
 def contribution_structs(cfg: ModelConfig, contrib: str = "contrib") -> Column:

@@ -2,7 +2,8 @@
 
 Plan shape per spec, as Catalyst builds it:
 
-    base --partial HashAggregate(K, d)--> Exchange(K, d) --final agg-->   (A1: one row per key & active day)
+    base --HashAggregate(all keys, d)--> days, written                    (one scan of the flights)
+    days --partial HashAggregate(K, d)--> Exchange(K, d) --final agg-->   (A1: one row per key & active day)
          --> Exchange(K) --> Sort(K, day) --> Window(all 3 windows x n, s) (W1, one Window node)
          --> Project(smoothing)                                          (A3)
 
@@ -20,11 +21,11 @@ from pyspark.sql import functions as F
 
 from ..functions.coerce import sanitize_hour, sanitize_key
 from ..schemas import ALPHA, LABEL, SPECS, WINDOWS, AggSpec, freq_col, rate_col, spec_columns
-from ..session import materialize_family
+from ..session import materialize, materialize_family
 
 STRING_KEYS = ("OP_CARRIER", "ORIGIN", "DEST", "route")
-# Daily feature tables at most this many rows are broadcast to the join-back.
-BROADCAST_MAX_ROWS = 2_000_000
+# Daily feature tables of at most this stored size are broadcast to the join-back.
+BROADCAST_MAX_BYTES = 32 << 20
 
 
 def sanitize_keys(df: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def sanitize_keys(df: DataFrame) -> DataFrame:
     return df.withColumns(cols)
 
 
-def global_rate(base: DataFrame, scope: str = "all") -> Column:
+def global_rate(rows: DataFrame, scope: str = "all") -> Column:
     """Mean label as a literal Column.
 
     ``scope="all"`` averages every split (the reference's behaviour, D11);
@@ -43,9 +44,9 @@ def global_rate(base: DataFrame, scope: str = "all") -> Column:
     yields one number, which is inlined into every expression that uses it
     (a scalar subquery would be re-planned at each of its 18+ uses).
     """
-    src = base.where(F.col("split") == "train") if scope == "train" else base
-    g = src.agg(F.avg(F.col(LABEL).cast("double"))).first()[0]
-    return F.lit(g).cast("double")
+    src = rows.where(F.col("split") == "train") if scope == "train" else rows
+    delayed, labelled = _collapsed(src).agg(F.sum("n_delayed"), F.sum("n_labelled")).first()
+    return F.lit(delayed / labelled if labelled else None).cast("double")
 
 
 def smoothed_rate(s: Column, n: Column, g: Column, alpha: float = ALPHA) -> Column:
@@ -53,10 +54,24 @@ def smoothed_rate(s: Column, n: Column, g: Column, alpha: float = ALPHA) -> Colu
     return (s.cast("double") + F.lit(alpha) * g) / (n.cast("double") + F.lit(alpha))
 
 
-def daily_counts(base: DataFrame, keys) -> DataFrame:
+def collapse(base: DataFrame) -> DataFrame:
+    """One row per day and all key columns: ``n_flights``, ``n_labelled``, ``n_delayed``.
+
+    The only aggregate over raw flights: every spec's daily counts and the global rate roll up from it.
+    """
+    keys = [c for c in (*STRING_KEYS, "CRS_DEP_HOUR", "flight_date", "split") if c in base.columns]
+    return base.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_flights"), F.count(LABEL).alias("n_labelled"), F.sum(F.col(LABEL).cast("long")).alias("n_delayed"))
+
+
+def _collapsed(rows: DataFrame) -> DataFrame:
+    """Collapsed rows as they are, raw flights collapsed."""
+    return rows if "n_flights" in rows.columns else collapse(rows)
+
+
+def daily_counts(rows: DataFrame, keys) -> DataFrame:
     """One row per (keys, flight_date): ``n`` flights, ``s`` delayed (A1)."""
-    return base.groupBy(*keys, "flight_date").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col(LABEL).cast("long")).alias("s"))
+    return _collapsed(rows).groupBy(*keys, "flight_date").agg(F.sum("n_flights").alias("n"), F.sum("n_delayed").alias("s"))
 
 
 def trailing_sums(daily: DataFrame, keys, windows=WINDOWS) -> DataFrame:
@@ -82,7 +97,7 @@ def trailing_sums(daily: DataFrame, keys, windows=WINDOWS) -> DataFrame:
     return daily.withColumns(cols)
 
 
-def rolling_features_for_spec(base: DataFrame, spec: AggSpec, g: Column,
+def rolling_features_for_spec(rows: DataFrame, spec: AggSpec, g: Column,
                               windows=WINDOWS, alpha: float = ALPHA) -> DataFrame:
     """Daily feature table of one spec: keys, flight_date, then per window
     ``{spec}_freq_{w}d`` and ``{spec}_delay_rate_{w}d`` (W2).
@@ -90,8 +105,7 @@ def rolling_features_for_spec(base: DataFrame, spec: AggSpec, g: Column,
     Values stay attached to their own (keys, date) row (D1).
     """
     keys = list(spec.keys)
-    daily = daily_counts(base.select(*keys, "flight_date", LABEL), keys)
-    rolled = trailing_sums(daily, keys, windows)
+    rolled = trailing_sums(daily_counts(rows, keys), keys, windows)
     out = [*keys, "flight_date"]
     for w in windows:
         n, s = F.col(f"n_{w}d"), F.col(f"s_{w}d")
@@ -116,21 +130,23 @@ def join_rolling(df: DataFrame, feats: DataFrame, spec: AggSpec, g: Column,
 
 def add_rolling_features(base: DataFrame, specs=SPECS, windows=WINDOWS, alpha: float = ALPHA,
                          rate_scope: str = "all", materialize_tables: bool = True,
-                         broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                         broadcast_max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """Base rows (all splits) -> base rows + 6 x 3 x 2 aggregate columns.
 
-    With ``materialize_tables`` the daily feature tables are written to the
-    shared folder in one job (lineage cut, exact sizes) and each is broadcast
-    only when its row count is within ``broadcast_max_rows``; larger ones
-    join by shuffle (sort-merge, AQE skew splitting).
+    With ``materialize_tables`` the collapsed day table is written first (one scan of the flights), then
+    the six daily feature tables in one job.  A table is broadcast only when its stored size is within
+    ``broadcast_max_bytes``; larger ones join by shuffle (sort-merge, AQE skew splitting).
     """
     base = sanitize_keys(base)
-    g = global_rate(base, rate_scope)
-    feats = {spec.name: rolling_features_for_spec(base, spec, g, windows, alpha) for spec in specs}
+    days = collapse(base)
+    if materialize_tables:
+        days = materialize(days, "days")
+    g = global_rate(days, rate_scope)
+    feats = {spec.name: rolling_features_for_spec(days, spec, g, windows, alpha) for spec in specs}
     order = list(specs)
     if materialize_tables:
         written = materialize_family(feats, {s.name: [*s.keys, "flight_date"] for s in specs}, "daily")
-        small = {name for name, (_, n) in written.items() if n <= broadcast_max_rows}
+        small = {name for name, (_, n) in written.items() if n <= broadcast_max_bytes}
         feats = {name: (F.broadcast(t) if name in small else t) for name, (t, _) in written.items()}
         # Tables over the bound join by shuffling the fact rows: do those first,
         # while the rows still carry few feature columns; broadcasts follow.
@@ -143,18 +159,11 @@ def add_rolling_features(base: DataFrame, specs=SPECS, windows=WINDOWS, alpha: f
 
 def rolling_table(base: DataFrame, spec: AggSpec, windows=WINDOWS, alpha: float = ALPHA,
                   rate_scope: str = "all") -> DataFrame:
-    """Convenience: sanitised base -> one spec's daily feature table."""
-    base = sanitize_keys(base)
-    return rolling_features_for_spec(base, spec, global_rate(base, rate_scope), windows, alpha)
+    """Convenience: base -> one spec's daily feature table."""
+    days = collapse(sanitize_keys(base))
+    return rolling_features_for_spec(days, spec, global_rate(days, rate_scope), windows, alpha)
 
 
 def daily_table(base: DataFrame, spec: AggSpec) -> DataFrame:
-    """Convenience: sanitised base -> one spec's (keys, date, n, s) table."""
-    return daily_counts(sanitize_keys(base), list(spec.keys))
-
-
-def aggregate_column_order(specs=SPECS, windows=WINDOWS) -> list[str]:
-    out = []
-    for s in specs:
-        out += spec_columns(s, windows)
-    return out
+    """Convenience: base -> one spec's (keys, date, n, s) table."""
+    return daily_counts(collapse(sanitize_keys(base)), list(spec.keys))

@@ -8,44 +8,28 @@ from pyspark.sql import functions as F
 from ..functions.coerce import upper_key
 from ..schemas import LABEL, ScopeConfig, SplitConfig
 
-# Membership lists longer than this become a broadcast left-semi join
-# instead of an IN list (the list itself is the size bound).
-_INLIST_MAX = 1000
-
-
 def normalize_keys(df: DataFrame, cols=("OP_CARRIER", "ORIGIN", "DEST")) -> DataFrame:
     """Strip + upper the key columns."""
     return df.withColumns({c: upper_key(c) for c in cols if c in df.columns})
 
 
-def _member(df: DataFrame, col: str, values) -> DataFrame:
-    values = [str(v).strip().upper() for v in values]
-    if len(values) <= _INLIST_MAX:
-        return df.where(F.col(col).isin(values))
-    lookup = df.sparkSession.createDataFrame([(v,) for v in sorted(set(values))], [col])
-    return df.join(F.broadcast(lookup), col, "left_semi")
-
-
 def scope_filter(df: DataFrame, scope: ScopeConfig, date_col: str = "flight_date") -> DataFrame:
-    """Inclusive date range and carrier / origin / dest membership.
+    """Inclusive date range and carrier / origin / dest membership (F4); rows without a date go.
 
-    Predicates stay on plain columns so the date range reaches the Parquet
-    scan as a pushed filter (and prunes YEAR partitions when present).
+    Predicates stay on plain columns, so the date range reaches the Parquet scan as a pushed filter.  A
+    membership list is a set in the plan whatever its length; it is configuration, not data.
     """
     out = normalize_keys(df)
     d = F.col(date_col)
+    out = out.where(d.isNotNull())
     if scope.start is not None:
         out = out.where(d >= F.lit(scope.start))
-        if "YEAR" in out.columns:
-            out = out.where(F.col("YEAR") >= scope.start.year)
     if scope.end is not None:
         out = out.where(d <= F.lit(scope.end))
-        if "YEAR" in out.columns:
-            out = out.where(F.col("YEAR") <= scope.end.year)
     for col, vals in (("OP_CARRIER", scope.carriers), ("ORIGIN", scope.origins), ("DEST", scope.dests)):
         if vals is not None:
-            out = _member(out, col, vals)
-    return out
+            out = out.where(F.col(col).isin(sorted({str(v).strip().upper() for v in vals})))
+    return out.select(df.columns)
 
 
 def split_name(splits: SplitConfig, date_col: str = "flight_date"):
@@ -75,11 +59,6 @@ def split_summary(df: DataFrame, date_col: str = "flight_date") -> DataFrame:
     )
 
 
-def date_bounds(df: DataFrame, date_col: str = "flight_date") -> DataFrame:
-    """Min / max date (A5)."""
-    return df.agg(F.min(date_col).alias("date_min"), F.max(date_col).alias("date_max"))
-
-
 def scope_profile(df: DataFrame, date_col: str = "flight_date") -> DataFrame:
     """Row count, delay rate, date range and the sorted distinct key lists.
 

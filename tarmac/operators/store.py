@@ -4,7 +4,7 @@ The reference answers one request at a time from in-memory hash maps.  Here
 the maps are DataFrames unique on ``(date, keys)`` and a whole table of
 requests is enriched with left joins; each lookup table is bounded by
 (#keys x #days), written to the shared folder and broadcast only when its
-row count is within a checked bound.
+stored size is within a checked bound.
 
 Modes (D2):
 
@@ -21,10 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import DEFAULT_STORE_RATE, SPECS, STORE_KEYS, WINDOWS, aggregate_columns, spec_columns
-from ..session import materialize_family
+from ..session import materialize_family, stored_bytes
 from .rolling import sanitize_keys
 
-LOOKUP_BROADCAST_MAX_ROWS = 2_000_000
+LOOKUP_BROADCAST_MAX_BYTES = 32 << 20
 
 
 def _is_freq(c: str) -> bool:
@@ -113,26 +113,24 @@ def lookup_date(stats) -> Column:
     return F.least(F.col("flight_date"), stat(stats, "max_date"))
 
 
-def _unique_lookup(store: DataFrame, agg_cols, max_rows: int) -> DataFrame:
+def _unique_lookup(store: DataFrame, agg_cols) -> DataFrame:
     """The unique-per-key table, not written: it is one hash aggregate over the
-    (already written) store and about as large as it.  Its row count is at
-    most the store's, a footer read, which serves as the proven broadcast bound."""
-    uniq = unique_rows(store, agg_cols).withColumnRenamed("flight_date", "lookup_date")
-    return F.broadcast(uniq) if store.count() <= max_rows else uniq
+    (already written) store and about as large as it, so it is never a broadcast side by hint."""
+    return unique_rows(store, agg_cols).withColumnRenamed("flight_date", "lookup_date")
 
 
-def _prepare_lookups(tables: dict, specs, materialize_tables: bool, max_rows: int) -> dict:
-    """All six lookup tables written in one job; each broadcast only within ``max_rows``."""
+def _prepare_lookups(tables: dict, specs, materialize_tables: bool, max_bytes: int) -> dict:
+    """All six lookup tables written in one job; each broadcast only within ``max_bytes`` stored."""
     tables = {k: t.withColumnRenamed("flight_date", "lookup_date") for k, t in tables.items()}
     if not materialize_tables:
         return tables
     keys = {s.name: ["lookup_date", *s.keys] for s in specs}
     written = materialize_family(tables, keys, "lookups")
-    return {k: (F.broadcast(t) if n <= max_rows else t) for k, (t, n) in written.items()}
+    return {k: (F.broadcast(t) if n <= max_bytes else t) for k, (t, n) in written.items()}
 
 
 def build_lookups(store: DataFrame, mode: str = "own", specs=SPECS, windows=WINDOWS,
-                  materialize_tables: bool = True, broadcast_max_rows: int = LOOKUP_BROADCAST_MAX_ROWS) -> dict:
+                  materialize_tables: bool = True, broadcast_max_bytes: int = LOOKUP_BROADCAST_MAX_BYTES) -> dict:
     """The lookup tables of one store snapshot (V2), built once and reused by every enrichment.
 
     ``own``: one (date, keys) -> spec-columns table per spec.  ``overlay``: one
@@ -141,18 +139,18 @@ def build_lookups(store: DataFrame, mode: str = "own", specs=SPECS, windows=WIND
     agg_cols = aggregate_columns(specs, windows)
     if mode == "own":
         return _prepare_lookups({s.name: lookup_table_own(store, s, windows) for s in specs}, specs,
-                                materialize_tables, broadcast_max_rows)
+                                materialize_tables, broadcast_max_bytes)
     if mode == "overlay":
         out = _prepare_lookups({s.name: lookup_first_key(store, s) for s in specs}, specs,
-                               materialize_tables, broadcast_max_rows)
-        out["_unique"] = _unique_lookup(store, agg_cols, broadcast_max_rows)
+                               materialize_tables, broadcast_max_bytes)
+        out["_unique"] = _unique_lookup(store, agg_cols)
         return out
     raise ValueError(f"unknown lookup mode {mode!r}")
 
 
 def enrich_requests(req: DataFrame, store: DataFrame, stats=None, mode: str = "own",
                     specs=SPECS, windows=WINDOWS, materialize_tables: bool = True,
-                    broadcast_max_rows: int = LOOKUP_BROADCAST_MAX_ROWS, lookups: dict | None = None) -> DataFrame:
+                    broadcast_max_bytes: int = LOOKUP_BROADCAST_MAX_BYTES, lookups: dict | None = None) -> DataFrame:
     """Request features -> + ``lookup_date`` + every aggregate column.
 
     One job for any number of requests; defaults are freq 0 and the store's
@@ -163,7 +161,7 @@ def enrich_requests(req: DataFrame, store: DataFrame, stats=None, mode: str = "o
     g = stat(stats, "global_rate")
     out = sanitize_keys(req).withColumn("lookup_date", lookup_date(stats))
     tables = lookups if lookups is not None else build_lookups(store, mode, specs, windows, materialize_tables,
-                                                               broadcast_max_rows)
+                                                               broadcast_max_bytes)
     if mode == "own":
         for spec in specs:
             out = out.join(tables[spec.name], ["lookup_date", *spec.keys], "left")
@@ -186,9 +184,7 @@ def enrich_requests(req: DataFrame, store: DataFrame, stats=None, mode: str = "o
     raise ValueError(f"unknown lookup mode {mode!r}")
 
 
-def lookup_composite(req: DataFrame, store: DataFrame, stats: DataFrame | None = None,
-                     agg_cols=None, materialize_tables: bool = True,
-                     broadcast_max_rows: int = LOOKUP_BROADCAST_MAX_ROWS) -> DataFrame:
+def lookup_composite(req: DataFrame, store: DataFrame, stats: DataFrame | None = None, agg_cols=None) -> DataFrame:
     """Exact lookup on all six store keys at the clamped date, default fill.
 
     The store is collapsed to one row per key combination first (rows equal
@@ -198,26 +194,35 @@ def lookup_composite(req: DataFrame, store: DataFrame, stats: DataFrame | None =
     agg_cols = list(agg_cols or aggregate_columns())
     g = stat(stats, "global_rate")
     keys = [k for k in STORE_KEYS if k != "flight_date"]
-    uniq = _unique_lookup(store, agg_cols, broadcast_max_rows)
     out = sanitize_keys(req).withColumn("lookup_date", lookup_date(stats))
+    # Only the store rows that a request names are aggregated; the requests are the small side.
+    asked = out.select(F.col("lookup_date").alias("flight_date"), *keys).distinct()
+    uniq = _unique_lookup(store.join(asked, ["flight_date", *keys], "left_semi"), agg_cols)
     out = out.join(uniq, ["lookup_date", *keys], "left")
     return out.withColumns(_fill_defaults(agg_cols, g))
 
 
-def load_store(spark, path: str, agg_cols=None) -> tuple[DataFrame, DataFrame]:
-    """Feature-store handle: the store rows (null dates dropped) + one-row stats (V3, A4, A5)."""
+def load_store(spark, path: str, agg_cols=None, stats_path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Feature-store handle: the store rows (null dates dropped) + one-row stats (V3, A4, A5).
+
+    With ``stats_path`` the stats are the ones that :func:`tarmac.plans.pipeline.build_lookup_tables` wrote.
+    """
     store = spark.read.parquet(path).where(F.col("flight_date").isNotNull())
-    return store, store_stats(store, agg_cols)
+    return store, spark.read.parquet(stats_path) if stats_path else store_stats(store, agg_cols)
 
 
-def load_lookups(spark, root: str, specs=SPECS, broadcast_max_rows: int = LOOKUP_BROADCAST_MAX_ROWS) -> dict:
-    """Read persisted own-mode lookup tables (``{root}/by_{spec}``) for enrichment (V2 -> V4).
+def load_lookups(spark, root: str, specs=SPECS, mode: str = "own", store: DataFrame | None = None,
+                 broadcast_max_bytes: int = LOOKUP_BROADCAST_MAX_BYTES) -> dict:
+    """Read persisted lookup tables (``{root}/by_{spec}``) for enrichment (V2 -> V4).
 
-    Row counts of written tables are footer reads; each table is broadcast
-    only within ``broadcast_max_rows``.
+    Overlay tables name a store row, so that mode needs the ``store`` too.  A table is broadcast only
+    within ``broadcast_max_bytes`` stored.
     """
     out = {}
     for spec in specs:
         t = spark.read.parquet(f"{root}/by_{spec.name}").withColumnRenamed("flight_date", "lookup_date")
-        out[spec.name] = F.broadcast(t) if t.count() <= broadcast_max_rows else t
+        size = stored_bytes(spark, f"{root}/by_{spec.name}").agg(F.sum("length")).first()[0] or 0
+        out[spec.name] = F.broadcast(t) if size <= broadcast_max_bytes else t
+    if mode == "overlay":
+        out["_unique"] = _unique_lookup(store, aggregate_columns(specs))
     return out

@@ -128,16 +128,14 @@ def requests_cte(airports, carriers) -> str:
     """CTEs ``rq`` (raw requests), ``reqf`` (features + validity), ``rql`` (+ lookup date)."""
     ap = ", ".join(f"'{a}'" for a in airports)
     cr = ", ".join(f"'{c}'" for c in carriers)
-    return f"""combos AS (
- SELECT OP_CARRIER AS carrier, ORIGIN AS origin, DEST AS dest, max(flight_date) AS last_date,
-        min(DISTANCE) AS distance FROM labeled GROUP BY ALL),
-rq AS (
- SELECT concat_ws('|', carrier, origin, dest) AS request_id,
-  CAST(last_date + CAST((length(origin) * 7 + length(dest) * 3 + ascii(substr(carrier, 1, 1))) % 61 - 30 AS INTEGER) AS DATE) AS flight_date,
-  carrier, origin, dest,
-  CAST((ascii(right(origin, 1)) + length(dest)) % 24 AS INTEGER) AS dep_hour,
-  CAST((ascii(right(dest, 1)) * 7) % 60 AS INTEGER) AS dep_minute, distance
- FROM combos),
+    return f"""rq AS (
+ SELECT CAST(o_orderkey AS VARCHAR) AS request_id,
+  CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 121 AS INTEGER) AS DATE) AS flight_date,
+  o_orderpriority AS carrier, na.n_name AS origin, nb.n_name AS dest,
+  CAST(o_orderkey % 24 AS INTEGER) AS dep_hour, CAST(o_orderkey * 7 % 60 AS INTEGER) AS dep_minute,
+  50 + na.n_nationkey * 97 + nb.n_nationkey * 31 AS distance
+ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation na ON c_nationkey = na.n_nationkey
+  JOIN nation nb ON (c_nationkey * 7 + o_orderkey) % 25 = nb.n_nationkey),
 reqf0 AS (
  SELECT request_id, flight_date, year(flight_date) AS YEAR, month(flight_date) AS MONTH,
   isodow(flight_date) AS DAY_OF_WEEK, CASE WHEN isodow(flight_date) IN (6, 7) THEN 1 ELSE 0 END AS is_weekend,

@@ -7,7 +7,7 @@ caller points them (on a cluster: a shared file system or object store).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -15,8 +15,8 @@ from ..operators import checks, scope
 from ..operators import metrics as M
 from ..operators import model as MD
 from ..operators import store as ST
-from ..operators.features import base_features
-from ..operators.labels import derive_times, label_flights
+from ..operators.features import base_features, split_valid
+from ..operators.labels import derive_times, label_flights, with_flight_date
 from ..operators.rolling import add_rolling_features
 from ..sources import parquet as PQ
 from ..sources.csv import read_raw_csv
@@ -34,9 +34,14 @@ def clean(spark: SparkSession, csv_root: str, out_dir: str, derived_time: bool =
 
 def build_labels(spark: SparkSession, in_dir: str, out_dir: str, drop_cancelled_diverted: bool = True) -> DataFrame:
     """Typed -> labeled (P6, P9, P10, F1, F2); fails with sample rows on missing dates."""
-    labeled = label_flights(spark.read.parquet(in_dir), drop_cancelled_diverted)
-    checks.require_no_nulls(labeled, "flight_date", show_cols=["YEAR", "MONTH", "DAY_OF_MONTH", "FL_DATE"])
-    PQ.write_partitioned(labeled, out_dir)
+    dated = with_flight_date(spark.read.parquet(in_dir))
+    # Every typed row needs a date, also those that the label rules drop: counted in the job that writes.
+    seen = Observation("dates")
+    dated = dated.observe(seen, F.count_if(F.col("flight_date").isNull()).alias("undated"))
+    PQ.write_partitioned(label_flights(dated, drop_cancelled_diverted), out_dir)
+    if seen.get["undated"]:
+        checks.require_no_nulls(with_flight_date(spark.read.parquet(in_dir)), "flight_date",
+                                show_cols=["YEAR", "MONTH", "DAY_OF_MONTH", "FL_DATE"])
     return scope.year_month_preview(spark.read.parquet(out_dir))
 
 
@@ -51,8 +56,7 @@ def filter_scope(spark: SparkSession, in_dir: str, out_dir: str, cfg: S.ScopeCon
 def make_splits(spark: SparkSession, in_dir: str, out_root: str, splits: S.SplitConfig) -> DataFrame:
     """Scoped -> one dataset partitioned by split (F7, T1); each split must be non-empty."""
     df = spark.read.parquet(in_dir)
-    checks.require_no_nulls(df, "flight_date")
-    tagged = scope.assign_splits(df, splits)
+    tagged = scope.assign_splits(checks.all_present(df, "flight_date"), splits)
     PQ.write_partitioned(tagged, out_root, by=("split", "YEAR", "MONTH"), sort_by="flight_date")
     stored = spark.read.parquet(out_root)
     checks.require_splits_non_empty(stored)
@@ -72,7 +76,7 @@ def build_aggregates(spark: SparkSession, base_root: str, out_root: str, specs=S
     base = spark.read.parquet(base_root)
     checks.require_columns(base, ["flight_date", "DAY_OF_WEEK", "OP_CARRIER", "ORIGIN", "DEST", "route",
                                   "CRS_DEP_HOUR", S.LABEL])
-    checks.require_no_nulls(base, "flight_date")
+    base = checks.all_present(base, "flight_date")
     out = add_rolling_features(base, specs, windows, alpha, rate_scope)
     PQ.write_partitioned(out, out_root, by=("split", "YEAR", "MONTH"))
     return scope.split_summary(spark.read.parquet(out_root))
@@ -90,7 +94,7 @@ def build_lookup_tables(spark: SparkSession, store_path: str, out_root: str, mod
     """Feature store -> six lookup tables + one-row stats."""
     store = spark.read.parquet(store_path)
     for spec in S.SPECS:
-        tbl = ST.lookup_table_own(store, spec) if mode == "own" else ST.lookup_table_first(store, spec)
+        tbl = ST.lookup_table_own(store, spec) if mode == "own" else ST.lookup_first_key(store, spec)
         PQ.write_table(tbl, f"{out_root}/by_{spec.name}")
     PQ.write_table(ST.store_stats(store), f"{out_root}/stats")
 
@@ -102,7 +106,7 @@ def train(spark: SparkSession, with_aggs_root: str, out_dir: str, cfg: MD.ModelC
     wa = spark.read.parquet(with_aggs_root)
     model = MO.train(wa, cfg, caps)
     metrics = MO.evaluate_splits(model, wa, cfg)
-    MD.save(model, cfg, out_dir, metrics)
+    MD.save(model, cfg, out_dir, metrics, report=MO.training_report(wa, model, cfg))
     return spark.read.json(f"{out_dir}/metrics")
 
 
@@ -110,16 +114,20 @@ def score(spark: SparkSession, requests: DataFrame, store_path: str, model_dir:
           mode: str = "own", lookups_root: str | None = None) -> None:
     """Requests table -> scored and explained table.
 
-    With ``lookups_root`` the persisted own-mode lookup tables of
-    :func:`build_lookup_tables` are used instead of rebuilding them.
+    With ``lookups_root`` the persisted lookup tables and store statistics of
+    :func:`build_lookup_tables` (of the same ``mode``) are used instead of rebuilding them.  Invalid
+    requests are not scored: they go to ``{out_path}_rejected`` with their reason (F8).
     """
     model, cfg = MD.load(model_dir)
-    lookups = ST.load_lookups(spark, lookups_root) if lookups_root and mode == "own" else None
-    out = MO.score_requests(spark, requests, spark.read.parquet(store_path), model, cfg, mode=mode,
-                            lookups=lookups)
+    store, stats = ST.load_store(spark, store_path, stats_path=f"{lookups_root}/stats" if lookups_root else None)
+    lookups = ST.load_lookups(spark, lookups_root, mode=mode, store=store) if lookups_root else None
+    valid, rejected = split_valid(requests)
+    out = MO.score_requests(spark, valid, store, model, cfg, mode=mode, stats=stats, lookups=lookups)
     cols = ["request_id", "probability", "risk_bucket", "reasons", "contributions", "base_value",
-            "evidence", "bullets", "is_valid", "invalid_reason"]
-    PQ.write_table(out.select(*[c for c in cols if c in out.columns]), out_path)
+            "evidence", "bullets"]
+    PQ.write_table(out.select(*cols), out_path)
+    if rejected is not None:
+        PQ.write_table(rejected.select("request_id", "invalid_reason"), f"{out_path}_rejected")
 
 
 def evaluate_table(df: DataFrame, label: str = "delayed_15", score_col: str = "probability",

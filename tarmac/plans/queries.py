@@ -204,7 +204,7 @@ def q_store_profile(spark, sf_dir):
     store = stages.feature_store(spark, sf_dir)
     prof = store.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(aggregate_columns())).alias("agg_cols"),
                      F.min("flight_date").alias("date_min"), F.max("flight_date").alias("date_max"))
-    return present(prof.withColumn("global_rate", ST.stat(ST.store_stats(store), "global_rate")))
+    return present(prof.withColumn("global_rate", F.lit(stages.store_stats(spark, sf_dir)["global_rate"])))
 
 
 @register("dedup_keep_first", _STORE_SQL + f"""
@@ -511,8 +511,10 @@ _LABEL_SQL = (f"CASE WHEN regexp_matches(feature, '{_PAT}') THEN {_SPEC_CASE} ||
 
 def _enriched(spark, sf_dir):
     store = stages.feature_store(spark, sf_dir)
-    enr = ST.enrich_requests(_requests(spark, sf_dir), store, mode="own", lookups=stages.lookups(spark, sf_dir, "own"))
-    return enr, ST.stat(ST.store_stats(store), "global_rate")
+    enr = ST.enrich_requests(_requests(spark, sf_dir), store, stages.store_stats(spark, sf_dir), mode="own",
+                             lookups=stages.lookups(spark, sf_dir, "own"))
+    stats = stages.store_stats(spark, sf_dir)
+    return enr, F.lit(stats["global_rate"])
 
 
 def _long_contributions(enr, sg):
@@ -580,8 +582,7 @@ def q_evidence_bullets(spark, sf_dir):
 
 def _explained_requests(spark, sf_dir):
     enr, sg = _enriched(spark, sf_dir)
-    store = stages.feature_store(spark, sf_dir)
-    max_date = ST.stat(ST.store_stats(store), "max_date")
+    max_date = F.lit(stages.store_stats(spark, sf_dir)["max_date"])
     packed = X.pack_contributions([c for _, c in _RATE_FEATS],
                                   [F.round(F.col(c), 6) for _, c in _RATE_FEATS],
                                   [F.col(c) - sg for _, c in _RATE_FEATS])

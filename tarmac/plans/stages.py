@@ -10,6 +10,8 @@ result is reused many times):
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,19 +21,27 @@ from ..operators.labels import derive_times, label_flights
 from ..operators.rolling import add_rolling_features
 from ..operators.scope import assign_splits
 from ..schemas import ALPHA, SPECS, WINDOWS, SplitConfig
-from ..session import materialize
+from ..session import ensure_parallelism, materialize, stored_bytes
 from ..sources.fixture import (FIXTURE_SPLITS, FIXTURE_SUPPORTED_AIRPORTS, FIXTURE_SUPPORTED_CARRIERS,
-                               flights)
+                               flights, table)
 
 
-# Written stage tables of this session, keyed by (application, data dir, stage).
+# Written stage tables of this session, keyed by (application, input files, stage).
 # A stage table is a file set in the shared folder, so reusing it is the same
-# hand-over the staged pipeline does between its steps.
+# hand-over the staged pipeline does between its steps.  Changed input files
+# (path, length or time) are another key.
 _STAGE_TABLES: dict[tuple[str, str, str], DataFrame] = {}
 
 
+def fingerprint(spark: SparkSession, sf_dir: str) -> int:
+    """Hash of path, length and time of the files that the fixture reads."""
+    names = ("lineitem", "orders", "supplier", "customer", "nation")
+    files = reduce(DataFrame.unionByName, (stored_bytes(spark, f"{sf_dir.rstrip('/')}/{t}.parquet") for t in names))
+    return files.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()[0]
+
+
 def _stage(spark: SparkSession, sf_dir: str, name: str, build):
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    key = (spark.sparkContext.applicationId, fingerprint(spark, sf_dir), name)
     if key not in _STAGE_TABLES:
         _STAGE_TABLES[key] = build()
     return _STAGE_TABLES[key]
@@ -70,33 +80,32 @@ def with_aggregates(spark: SparkSession, sf_dir: str, splits: SplitConfig = FIXT
                                                            alpha, rate_scope), "with_aggs"))
 
 
-def fixture_requests(labeled: DataFrame) -> DataFrame:
-    """Requests derived from the data: one per distinct (carrier, origin, dest).
+def fixture_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests derived from the data: one per order, so they grow with it.
 
-    The date is the combination's last flight date shifted by -30..+30 days
-    (so requests fall on both sides of the store's last date), the hour and
-    minute come from the name lengths / characters.  Origin == dest pairs
-    exist in the data and are flagged invalid downstream.  The rule is plain
-    column arithmetic so the DuckDB oracle can spell it identically.
+    Carrier, origin and date come from the order and its customer, the destination, hour and minute from
+    arithmetic on the order key.  Origin == dest pairs exist and are flagged invalid downstream.  The
+    rule is plain column arithmetic so the DuckDB oracle can spell it identically.
     """
-    combos = labeled.groupBy(
-        F.col("OP_CARRIER").alias("carrier"), F.col("ORIGIN").alias("origin"), F.col("DEST").alias("dest")
-    ).agg(F.max("flight_date").alias("last_date"), F.min("DISTANCE").alias("distance"))
-    shift = (F.length("origin") * 7 + F.length("dest") * 3 + F.ascii(F.substring("carrier", 1, 1))) % 61 - 30
-    return combos.select(
-        F.concat_ws("|", "carrier", "origin", "dest").alias("request_id"),
-        F.date_add(F.col("last_date"), shift.cast("int")).alias("flight_date"),
-        "carrier", "origin", "dest",
-        ((F.ascii(F.substring("origin", -1, 1)) + F.length("dest")) % 24).cast("int").alias("dep_hour"),
-        ((F.ascii(F.substring("dest", -1, 1)) * 7) % 60).cast("int").alias("dep_minute"),
-        "distance",
-    )
+    o = ensure_parallelism(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    ok = F.col("o_orderkey")
+    j = o.join(c, F.col("o_custkey") == F.col("c_custkey")).withColumn("_to", (F.col("c_nationkey") * 7 + ok) % 25)
+    j = j.join(F.broadcast(n.select(F.col("n_nationkey").alias("_a"), F.col("n_name").alias("origin"))), F.col("c_nationkey") == F.col("_a"))
+    j = j.join(F.broadcast(n.select(F.col("n_nationkey").alias("_b"), F.col("n_name").alias("dest"))), F.col("_to") == F.col("_b"))
+    return j.select(
+        ok.cast("string").alias("request_id"),
+        F.date_add(F.col("o_orderdate").cast("date"), (ok % 121).cast("int")).alias("flight_date"),
+        F.col("o_orderpriority").alias("carrier"), "origin", "dest",
+        (ok % 24).cast("int").alias("dep_hour"), (ok * 7 % 60).cast("int").alias("dep_minute"),
+        (F.lit(50) + F.col("c_nationkey") * 97 + F.col("_to") * 31).cast("double").alias("distance"))
 
 
 def request_table(spark: SparkSession, sf_dir: str, validate: bool = True) -> DataFrame:
     """Request features (P19) + validity flags (F8) for the fixture requests, written once."""
     def build():
-        feats = request_features(fixture_requests(labeled_flights(spark, sf_dir)))
+        feats = request_features(fixture_requests(spark, sf_dir))
         if validate:
             feats = request_validity(feats, FIXTURE_SUPPORTED_AIRPORTS, FIXTURE_SUPPORTED_CARRIERS)
         return materialize(feats, "requests")
@@ -120,3 +129,9 @@ def lookups(spark: SparkSession, sf_dir: str, mode: str = "own") -> dict:
     """The lookup tables of the fixture store (V2), built once per session."""
     from ..operators.store import build_lookups
     return _stage(spark, sf_dir, f"lookups-{mode}", lambda: build_lookups(feature_store(spark, sf_dir), mode))
+
+
+def store_stats(spark: SparkSession, sf_dir: str) -> dict:
+    """The two statistics of the fixture store, computed once per session."""
+    from ..operators import store as ST
+    return _stage(spark, sf_dir, "stats", lambda: ST.stats_values(ST.store_stats(feature_store(spark, sf_dir))))

@@ -194,7 +194,7 @@ class PipelineConfig:
     """Every knob of the offline pipeline in one place."""
 
     splits: SplitConfig
-    scope: ScopeConfig = field(default_factory=ScopeConfig)
+    scope: ScopeConfig = field(default_factory=lambda: DEFAULT_SCOPE)
     specs: tuple[AggSpec, ...] = SPECS
     windows: tuple[int, ...] = WINDOWS
     alpha: float = ALPHA

@@ -2,8 +2,8 @@
 
 On a cluster ``spark.checkpoint.dir`` names a folder every executor can
 reach (HDFS, S3, ...).  Written stage tables and ``checkpoint()`` both go
-there.  Only when the setting is absent (unit tests, a bare local run) do we
-fall back to a private directory of our own.
+there.  Only when the setting is absent and the master is local (unit tests, a
+bare local run) is a private folder taken; on a cluster that raises.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    b = b.config("spark.driver.memory", os.environ.get("TARMAC_DRIVER_MEMORY", "16g"))
+    b = b.config("spark.driver.memory", os.environ.get("TARMAC_DRIVER_MEMORY", "8g"))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
@@ -59,6 +59,8 @@ def shared_dir(spark: SparkSession) -> str:
         return current.rstrip("/")
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tarmac-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir().rstrip("/")
@@ -77,31 +79,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def sized_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    """Broadcast ``df`` only behind a proven size bound.
-
-    ``df`` should be a materialized table (so ``count`` is a footer read).
-    Above ``max_rows`` the frame is returned unchanged and the planner falls
-    back to a shuffled sort-merge join (with AQE skew splitting).
-    """
-    from pyspark.sql import functions as F
-
-    n = df.count()
-    if n <= max_rows:
-        return F.broadcast(df), True
-    return df, False
+def stored_bytes(spark: SparkSession, path: str):
+    """Path and length of every file below ``path`` (metadata only, nothing is read)."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
 
 
 def materialize_family(frames: dict[str, DataFrame], keys: dict[str, list[str]],
                        name: str = "family") -> dict[str, tuple[DataFrame, int]]:
-    """Write several small keyed tables in ONE job and read each back with its row count.
+    """Write several small keyed tables in ONE job and read each back with its stored size in bytes.
 
     Every frame is ``keys[name] + values``; frames may differ in key columns
     but must have the same number and types of value columns.  Keys are
     normalised to strings ``_k0.._kN`` and values to ``_v0.._vM`` so the
     frames share one schema; the output is partitioned by frame name, so each
-    read-back prunes to its own directory.  One aggregate over the written
-    files returns all row counts (for broadcast decisions).
+    read-back prunes to its own directory.  One listing of the written files
+    returns all sizes (for broadcast decisions).
     """
     from functools import reduce
 
@@ -122,13 +114,14 @@ def materialize_family(frames: dict[str, DataFrame], keys: dict[str, list[str]],
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex[:12]}"
     union.write.mode("overwrite").partitionBy("_t").parquet(path)
     stored = spark.read.parquet(path)
-    counts = {r["_t"]: r["n"] for r in stored.groupBy("_t").agg(F.count(F.lit(1)).alias("n")).collect()}
+    tag_of = F.regexp_extract("path", "/_t=([^/]*)/", 1)
+    sizes = {r["t"]: r["n"] for r in stored_bytes(spark, path).groupBy(tag_of.alias("t")).agg(F.sum("length").alias("n")).collect()}
     out = {}
     for tag, (ks, types, vals) in layout.items():
         t = stored.where(F.col("_t") == tag)
         cols = [F.col(f"_k{i}").cast(tp).alias(k) for i, (k, tp) in enumerate(zip(ks, types))]
         cols += [F.col(f"_v{j}").alias(v) for j, v in enumerate(vals)]
-        out[tag] = (t.select(*cols), counts.get(tag, 0))
+        out[tag] = (t.select(*cols), sizes.get(tag, 0))
     return out
 
 

@@ -11,31 +11,32 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+import csv
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 from ..functions.coerce import clean_text, coerce_numeric, integral_violation, null_if_na_token, to_date_lenient
 from ..schemas import COLUMN_ALIASES, RAW_COLUMNS
+from ..session import materialize
 
 
 class IngestError(ValueError):
     pass
 
 
-def find_csv_files(spark: SparkSession, root: str) -> list[str]:
-    """Sorted ``*.csv`` paths below ``root`` (S1); error if missing or empty."""
+def csv_lines(spark: SparkSession, root: str) -> DataFrame:
+    """Lines of every ``*.csv`` below ``root`` (S1); error if the root is missing."""
     try:
-        files = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-                 .text(root).inputFiles())
-    except Exception as e:  # AnalysisException: path does not exist
-        raise IngestError(f"CSV root not found: {root}") from e
-    if not files:
-        raise IngestError(f"No CSV files under {root}")
-    return sorted(files)
+        return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(root)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise IngestError(f"CSV root not found: {root}") from e
+        raise
 
 
 def normalize_header(name: str) -> str:
@@ -43,17 +44,23 @@ def normalize_header(name: str) -> str:
     return name.strip().upper()
 
 
-def header_groups(spark: SparkSession, files: list[str]) -> dict[tuple[str, ...], list[str]]:
-    """Group files by their header line.
+def header_groups(spark: SparkSession, root: str) -> dict[str, list[str] | None]:
+    """Distinct header lines with the files that have each (D15); error if there is no file.
 
-    Each header is read by Spark's CSV reader (first line only); files with
-    an identical header share one scan.
+    One job: the first line of each file, from the split that starts the file.  A single
+    header gives no file list, as the root is then read as it is; the paths of files reach
+    the driver only where layouts differ.
     """
-    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for f in files:
-        cols = tuple(spark.read.option("header", True).option("inferSchema", False).csv(f).columns)
-        groups[cols].append(f)
-    return dict(groups)
+    first = (csv_lines(spark, root).where((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != ""))
+             .select(F.col("_metadata.file_path").alias("path"), F.struct(F.monotonically_increasing_id().alias("at"), "value").alias("line"))
+             .groupBy("path").agg(F.min("line.at").alias("at"), F.min("line").getField("value").alias("header")))
+    first = materialize(first.select("path", F.rtrim(F.regexp_replace("header", "\r$|^\ufeff", "")).alias("header")), "csv-headers")
+    headers = [r["header"] for r in first.select("header").distinct().orderBy("header").collect()]
+    if not headers:
+        raise IngestError(f"No CSV files under {root}")
+    if len(headers) == 1:
+        return {headers[0]: None}
+    return {h: [unquote(r["path"]) for r in first.where(F.col("header") == h).orderBy("path").collect()] for h in headers}
 
 
 def _rename(df: DataFrame) -> DataFrame:
@@ -99,13 +106,15 @@ def integral_violations(df_text: DataFrame) -> DataFrame:
 
 def read_raw_csv(spark: SparkSession, root: str, strict: bool = False) -> DataFrame:
     """Raw CSV tree -> typed rows with ``SOURCE_FILE``."""
-    files = find_csv_files(spark, root)
     frames = []
-    for header, paths in sorted(header_groups(spark, files).items()):
-        schema = T.StructType([T.StructField(h, T.StringType()) for h in header])
-        df = spark.read.option("header", True).schema(schema).csv(paths)
-        df = df.withColumn("SOURCE_FILE", F.col("_metadata.file_name"))
-        frames.append(ensure_columns(_rename(df), source=f"{len(paths)} file(s) with header {header[:4]}..."))
+    for header, paths in header_groups(spark, root).items():
+        names = next(csv.reader([header]))
+        schema = T.StructType([T.StructField(h, T.StringType()) for h in names])
+        reader = spark.read.option("header", True).option("escape", '"').option("enforceSchema", True).schema(schema)
+        if paths is None:
+            reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
+        df = reader.csv(root if paths is None else paths).withColumn("SOURCE_FILE", F.col("_metadata.file_name"))
+        frames.append(ensure_columns(_rename(df), source=f"files with header {names[:4]}..."))
     text = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     if strict:
         bad = {k: v for k, v in integral_violations(text).first().asDict().items() if v}

@@ -75,7 +75,9 @@ def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((pk % 25) * 100 + (ok % 64)).cast("int").alias("CRS_DEP_TIME"),
         (((pk + 3) % 25) * 100 + ((ok + 17) % 64)).cast("int").alias("CRS_ARR_TIME"),
         F.when(pk % 97 == 0, F.lit(None))
-        .otherwise((ok * 7 + F.col("l_linenumber") * 13 + F.col("l_quantity").cast("int") * 5) % 80 - 45)
+        .otherwise((ok * 7 + F.col("l_linenumber") * 13 + F.col("l_quantity").cast("int") * 5) % 80 - 72
+                   # what a model can learn: carrier, origin and departure hour shift the delay
+                   + F.length("o_orderpriority") % 4 * 8 + F.col("s_nationkey") % 5 * 6 + F.when(pk % 25 >= 16, 15).otherwise(0))
         .cast("double").alias("ARR_DELAY"),
         (F.lit(50) + F.col("s_nationkey") * 97 + F.col("c_nationkey") * 31).cast("double").alias("DISTANCE"),
         d.alias("FL_DATE"),
@@ -93,7 +95,8 @@ flights AS (
   CAST((l_partkey % 25) * 100 + (l_orderkey % 64) AS INT) AS CRS_DEP_TIME,
   CAST(((l_partkey + 3) % 25) * 100 + ((l_orderkey + 17) % 64) AS INT) AS CRS_ARR_TIME,
   CAST(CASE WHEN l_partkey % 97 = 0 THEN NULL
-       ELSE (l_orderkey * 7 + l_linenumber * 13 + CAST(l_quantity AS INT) * 5) % 80 - 45 END AS DOUBLE) AS ARR_DELAY,
+       ELSE (l_orderkey * 7 + l_linenumber * 13 + CAST(l_quantity AS INT) * 5) % 80 - 72 + length(o_orderpriority) % 4 * 8
+        + ns.n_nationkey % 5 * 6 + CASE WHEN l_partkey % 25 >= 16 THEN 15 ELSE 0 END END AS DOUBLE) AS ARR_DELAY,
   CAST(50 + ns.n_nationkey * 97 + nc.n_nationkey * 31 AS DOUBLE) AS DISTANCE,
   CAST(l_shipdate AS DATE) AS FL_DATE,
   CASE WHEN l_orderkey % 53 = 0 THEN 1 WHEN l_orderkey % 11 = 0 THEN NULL ELSE 0 END AS CANCELLED,

@@ -4,8 +4,8 @@ Requests are row-local work plus left joins against static tables (the
 lookup tables and the model), so a stream of request files is scored with
 the same plan as a batch: ``readStream`` -> request features (P19) ->
 stream-static lookups (V4, J5) -> model (E3) -> contributions and
-explanations (H1-H5) -> ``writeStream`` Parquet.  The checkpoint lives in
-the shared folder, so a restarted query resumes where it stopped and a lost
+explanations (H1-H5) -> ``writeStream`` Parquet.  The checkpoint lives
+beside the output, so a restarted query resumes where it stopped and a lost
 executor only re-runs its micro-batch tasks.
 
 The store statistics (global rate, last date) are read once when the query
@@ -14,8 +14,6 @@ starts: two scalars, the snapshot the lookup tables belong to.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -24,7 +22,6 @@ from ..operators import model as MD
 from ..operators import store as ST
 from ..operators.features import request_features, request_validity
 from ..plans import modeling as MO
-from ..session import shared_dir
 
 REQUEST_SCHEMA = T.StructType([
     T.StructField("request_id", T.StringType()),
@@ -53,14 +50,14 @@ def start_request_scoring(spark: SparkSession, source_dir: str, store_path: str,
                           lookups_root: str | None = None) -> StreamingQuery:
     """Start the scoring query; ``available_now`` processes what is there and stops."""
     model, cfg = MD.load(model_dir)
-    store = spark.read.parquet(store_path)
-    row = ST.store_stats(store).first()
-    stats = {"global_rate": float(row["global_rate"]), "max_date": row["max_date"]}
+    store, stats = ST.load_store(spark, store_path, stats_path=f"{lookups_root}/stats" if lookups_root else None)
+    stats = ST.stats_values(stats)
     feats = request_validity(request_features(request_stream(spark, source_dir, fmt)), airports, carriers)
-    lookups = ST.load_lookups(spark, lookups_root) if lookups_root and mode == "own" else None
+    lookups = ST.load_lookups(spark, lookups_root, mode=mode, store=store) if lookups_root else None
     scored = MO.score_requests(spark, feats, store, model, cfg, mode=mode, stats=stats, lookups=lookups)
     out = scored.select(*OUTPUT_COLUMNS)
-    ckpt = checkpoint_dir or f"{shared_dir(spark)}/streams/requests-{uuid.uuid4().hex[:12]}"
+    # Tied to the output, so that a restart goes on where the last run stopped and appends nothing twice.
+    ckpt = checkpoint_dir or f"{out_dir.rstrip('/')}_checkpoint"
     writer = out.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", ckpt)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.outputMode("append").start()

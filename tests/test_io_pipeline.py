@@ -12,7 +12,7 @@ from tarmac.schemas import ScopeConfig
 from tarmac.sources import csv as C
 from tarmac.sources.fixture import FIXTURE_SPLITS
 
-from conftest import SF_SMALL
+from conftest import SF_MID, SF_SMALL
 
 
 @pytest.fixture(scope="module")
@@ -39,11 +39,11 @@ def pd_dates(s):
 
 def test_find_and_group_headers(spark, csv_root):
     root, _ = csv_root
-    files = C.find_csv_files(spark, root)
-    assert len(files) == 2 and files == sorted(files)
-    assert len(C.header_groups(spark, files)) == 2
-    with pytest.raises(C.IngestError):
-        C.find_csv_files(spark, root + "/missing")
+    groups = C.header_groups(spark, root)
+    assert sorted(p.rsplit("/", 1)[1] for ps in groups.values() for p in ps) == ["part_a.csv", "part_b.csv"]
+    assert len(groups) == 2
+    with pytest.raises(C.IngestError, match="not found"):
+        C.read_raw_csv(spark, root + "/missing")
 
 
 def test_csv_ingest_equals_fixture(spark, csv_root):
@@ -95,12 +95,13 @@ def test_model_score_and_contributions(spark, tmp_path, with_aggs):
     from tarmac.operators import model as MD
     from tarmac.plans import modeling as MO
 
-    cfg = MD.ModelConfig(max_iter=5, max_depth=3)
+    cfg = MD.ModelConfig(max_iter=12, patience=4, max_depth=3, step_size=0.3, max_bins=32)
     model = MO.train(with_aggs, cfg)
     metrics = MO.evaluate_splits(model, with_aggs, cfg).collect()
     assert {r.split for r in metrics} == {"val", "test"}
     MD.save(model, cfg, str(tmp_path / "m"), MO.evaluate_splits(model, with_aggs, cfg))
     model2, cfg2 = MD.load(str(tmp_path / "m"))
+    assert cfg2 == cfg and model2.stages[-1].getNumTrees == model.stages[-1].getNumTrees > 1
     store = stages.feature_store(spark, SF_SMALL)
     out = MO.score_requests(spark, stages.request_table(spark, SF_SMALL), store, model2, cfg2)
     r = out.select("probability", "margin", "base_value", "contrib", "top_positive", "bullets", "evidence").collect()
@@ -115,17 +116,16 @@ def test_streaming_scorer(spark, tmp_path, with_aggs):
     from tarmac.plans import modeling as MO
     from tarmac.streaming.requests import start_request_scoring
 
-    cfg = MD.ModelConfig(max_iter=3, max_depth=3)
+    cfg = MD.ModelConfig(max_iter=3, patience=3, max_depth=3, max_bins=32)
     MD.save(MO.train(with_aggs, cfg), cfg, str(tmp_path / "m"))
     store_path = str(tmp_path / "store")
     stages.feature_store(spark, SF_SMALL).write.parquet(store_path)
     src = str(tmp_path / "incoming")
-    reqs = stages.fixture_requests(stages.labeled_flights(spark, SF_SMALL))
-    reqs.limit(50).write.json(src)
-    q = start_request_scoring(spark, src, store_path, str(tmp_path / "m"), str(tmp_path / "out"),
-                              checkpoint_dir=str(tmp_path / "ckpt"), available_now=True)
-    q.awaitTermination(300)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 50
+    stages.fixture_requests(spark, SF_SMALL).limit(50).write.json(src)
+    for _ in range(2):  # a restart goes on from its checkpoint beside the output
+        q = start_request_scoring(spark, src, store_path, str(tmp_path / "m"), str(tmp_path / "out"), available_now=True)
+        q.awaitTermination(300)
+        assert spark.read.parquet(str(tmp_path / "out")).count() == 50
 
 
 def test_run_all_end_to_end(spark, csv_root, tmp_path):
@@ -146,3 +146,108 @@ def test_strict_ingest_rejects_non_integral(spark, tmp_path):
     rows = {r.OP_CARRIER: r for r in C.read_raw_csv(spark, str(tmp_path)).collect()}
     assert rows["DL"].CRS_DEP_TIME is None and rows["DL"].ARR_DELAY is None and rows["DL"].FL_DATE is None
     assert rows["AA"].CRS_DEP_TIME == 0 and rows["AA"].CANCELLED is None and rows["AA"].SOURCE_FILE == "f.csv"
+
+
+HEADER = "YEAR,MONTH,DAY_OF_MONTH,DAY_OF_WEEK,OP_CARRIER,ORIGIN,DEST,CRS_DEP_TIME,CRS_ARR_TIME,ARR_DELAY,DISTANCE,FL_DATE,CANCELLED"
+
+
+def test_paths_with_spaces_quotes_and_iso_times(spark, tmp_path):
+    folder = tmp_path / "a b%20c"
+    folder.mkdir()
+    (folder / "f 1.csv").write_text(HEADER + '\n2024,1,5,5,"D""L",ATL,JFK,500,1200,NA,760,2024-01-05T00:00:00,0\n')
+    (folder / "g.csv").write_text(HEADER.replace(",CANCELLED", "") + "\n2024,1,6,6,AA,ORD,LAX,1,1300,20,1700,2024-01-06 10:00\n")
+    rows = {r.SOURCE_FILE: r for r in C.read_raw_csv(spark, str(tmp_path)).collect()}
+    assert {str(r.FL_DATE) for r in rows.values()} == {"2024-01-05", "2024-01-06"}
+    assert {r.OP_CARRIER for r in rows.values()} == {'D"L', "AA"} and len(rows) == 2
+
+
+def test_undated_rows_fail_before_any_row_is_dropped(spark, tmp_path):
+    from tarmac.operators.checks import DataCheckError
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "f.csv").write_text(HEADER + "\n2024,1,5,5,DL,ATL,JFK,500,1200,3,760,2024-01-05,0\n,,,,DL,ATL,JFK,500,1200,3,760,,1\n")
+    P.clean(spark, str(tmp_path / "in"), str(tmp_path / "typed")).collect()
+    with pytest.raises(DataCheckError, match="1 rows have null flight_date"):
+        P.build_labels(spark, str(tmp_path / "typed"), str(tmp_path / "labeled"))
+
+
+def test_scope_has_one_behaviour(spark):
+    from tarmac.operators.scope import scope_filter
+
+    df = spark.createDataFrame([(None, 2024, "AA", "ORD", "LAX"), (dt.date(2024, 5, 1), None, " aa", "ord", "LAX"), (dt.date(2024, 5, 1), 2024, "BB", "ORD", "LAX")],
+                               "flight_date date, YEAR int, OP_CARRIER string, ORIGIN string, DEST string")
+    assert scope_filter(df, ScopeConfig()).count() == 2
+    short = scope_filter(df, ScopeConfig(start=dt.date(2024, 1, 1), end=dt.date(2024, 12, 31), carriers=("AA",)))
+    long = scope_filter(df, ScopeConfig(start=dt.date(2024, 1, 1), end=dt.date(2024, 12, 31), carriers=("AA", *[f"X{i}" for i in range(5000)])))
+    assert short.columns == long.columns == df.columns and short.collect() == long.collect() and short.count() == 1
+    from tarmac.schemas import DEFAULT_SCOPE, PipelineConfig
+    assert PipelineConfig(splits=FIXTURE_SPLITS).scope == DEFAULT_SCOPE
+
+
+def test_rejected_requests_and_background(spark, tmp_path, with_aggs):
+    from tarmac.operators import model as MD
+    from tarmac.plans import modeling as MO
+
+    out = str(tmp_path)
+    stages.feature_store(spark, SF_SMALL).write.parquet(f"{out}/store")
+    cfg = MD.ModelConfig(max_iter=3, patience=3, max_depth=3, max_bins=32)
+    model = MO.train(with_aggs, cfg)
+    MD.save(model, cfg, f"{out}/m", report=MO.training_report(with_aggs, model, cfg))
+    report = {r.split: r for r in spark.read.json(f"{out}/m/report").collect()}
+    assert report["train"].rows > 0 and 0 < report["val"].delay_rate < 1 and report["test"].n_features == 50
+    req = stages.request_table(spark, SF_SMALL)
+    for mode in ("own", "overlay"):
+        P.build_lookup_tables(spark, f"{out}/store", f"{out}/lk_{mode}", mode)
+        P.score(spark, req, f"{out}/store", f"{out}/m", f"{out}/{mode}", mode, f"{out}/lk_{mode}")
+        P.score(spark, req, f"{out}/store", f"{out}/m", f"{out}/{mode}_direct", mode)
+        a, b = (spark.read.parquet(f"{out}/{x}").select("request_id", "probability") for x in (mode, f"{mode}_direct"))
+        assert a.exceptAll(b).count() == 0 and a.count() == req.where("is_valid").count()
+        assert spark.read.parquet(f"{out}/{mode}_rejected").count() == req.where("NOT is_valid").count() > 0
+    assert MO.background(with_aggs).count() == min(5000, with_aggs.where("split = 'train'").count())
+
+
+def test_training_keeps_the_best_round(spark, with_aggs):
+    from tarmac.operators.model import best_round
+    from tarmac.plans import modeling as MO
+
+    assert best_round([3, 2, 1, 2, 3], 2) == (3, True) and best_round([3, 2, 1, 2], 2) == (3, False)
+    assert best_round([1, 2, 0.5, 0.4], 3) == (4, False)
+    model = MO.fixture_model(spark, SF_MID)
+    assert model.stages[-1].getNumTrees > 5
+    val = MO.evaluate_splits(model, stages.with_aggregates(spark, SF_MID)).where("split = 'val'").first()
+    assert val.roc_auc > 0.7
+
+
+def test_scoring_without_explanations_has_no_python(spark, capsys):
+    from tarmac.plans.queries import REGISTRY
+
+    df = REGISTRY["score_batch"][0](spark, SF_SMALL)
+    df.explain("formatted")
+    assert "Arrow" not in capsys.readouterr().out
+
+
+def test_shared_folder_is_required_on_a_cluster(monkeypatch):
+    from tarmac import session
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+        @staticmethod
+        def getConf():
+            return {}
+
+    class Session:
+        sparkContext = Context
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session)
+
+
+def test_label_map_equals_the_catalogue(spark):
+    from tarmac.operators import explain as X
+    from tarmac.schemas import model_feature_columns
+
+    feats = model_feature_columns()
+    got = spark.range(1).select(X.label_map(feats).alias("m")).first().m
+    assert got == {r.feature: r.label for r in X.label_catalogue(spark, feats).collect() if r.label is not None}

@@ -50,7 +50,7 @@ def test_daily_tables_shuffle_join_when_over_bound(spark, capsys):
     from tarmac.operators.rolling import add_rolling_features
 
     base = stages.base_table(spark, SF_SMALL)
-    out = add_rolling_features(base, broadcast_max_rows=10)
+    out = add_rolling_features(base, broadcast_max_bytes=10)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:
@@ -62,11 +62,22 @@ def test_daily_tables_shuffle_join_when_over_bound(spark, capsys):
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
 
 
-def test_shuffled_joins_run_before_broadcast_joins(spark, capsys):
+def test_shuffled_joins_run_before_broadcast_joins(spark, capsys, monkeypatch):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:
-        out = _join_back(spark, broadcast_max_rows=5000)   # only the carrier table stays under the bound
+        # Sizes differ by spec; a bound between the smallest two leaves one broadcast.
+        import tarmac.operators.rolling as R
+        sizes, real = {}, R.materialize_family
+
+        def spy(*a, **k):
+            found = real(*a, **k)
+            sizes.update({t: n for t, (_, n) in found.items()})
+            return found
+
+        monkeypatch.setattr(R, "materialize_family", spy)
+        _join_back(spark)
+        out = _join_back(spark, broadcast_max_bytes=sorted(sizes.values())[0])
         plan = _plan(out, capsys)
         joins = [l for l in plan.split("\n\n")[0].splitlines() if "Join" in l]
         assert "BroadcastHashJoin" in joins[0]                 # the top (last) join is the broadcast one
@@ -74,3 +85,16 @@ def test_shuffled_joins_run_before_broadcast_joins(spark, capsys):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_flights_are_scanned_once_for_all_specs(spark, capsys, monkeypatch):
+    """Only the collapse reads the base; the six tables and the global rate read its result."""
+    import tarmac.operators.rolling as R
+
+    plans = {}
+    real = R.materialize_family
+    monkeypatch.setattr(R, "materialize_family", lambda frames, *a, **k: (plans.update(frames), real(frames, *a, **k))[1])
+    base = stages.base_table(spark, SF_SMALL)
+    R.add_rolling_features(base)
+    files = {f for f in base.inputFiles()}
+    assert len(plans) == 6 and not any(files & set(t.inputFiles()) for t in plans.values())
