@@ -13,8 +13,8 @@ def _c(c) -> Column:
 def percent_1(c) -> Column:
     """``{p:.1%}`` via integer tenths of a percent, e.g. 0.2346 -> ``23.5%``.
 
-    Integer arithmetic gives the same digits in every engine (a ``%.1f``
-    formatter rounds ties differently in Java, C and Python).
+    Integer arithmetic gives the same digits in every engine.  A value whose decimal form is a tie rounds
+    up (0.2345 -> ``23.5%``), where a formatter on the exact binary value may round down.
     """
     t = F.round(_c(c) * F.lit(1000.0)).cast("long")
     return F.concat((t / 10).cast("long").cast("string"), F.lit("."), (t % 10).cast("string"), F.lit("%"))

@@ -1,4 +1,4 @@
-"""Single-pass assertions used at stage boundaries (F5, F6, T2, J1 uniqueness).
+"""Single-pass assertions used at stage boundaries.
 
 Each check is one aggregate job over the stage output; a failure raises with
 at most ``sample`` example rows (never the whole table on the driver).
@@ -44,13 +44,6 @@ def require_splits_non_empty(df: DataFrame, names=("train", "val", "test")) -> D
     return df
 
 
-def require_unique(df: DataFrame, keys) -> None:
-    """Raise when ``keys`` is not unique (right side of J1 must be)."""
-    dup = df.groupBy(*keys).count().where(F.col("count") > 1).limit(1).collect()
-    if dup:
-        raise DataCheckError(f"duplicate key {dup[0].asDict()} for {list(keys)}")
-
-
 def all_present(df: DataFrame, col: str) -> DataFrame:
     """``df``, failing in the job that reads it if ``col`` is null (no pass of its own)."""
     return df.withColumn(col, F.when(F.col(col).isNull(), F.raise_error(F.lit(f"null {col}"))).otherwise(F.col(col)))

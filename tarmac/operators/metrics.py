@@ -4,11 +4,9 @@ Exact ROC AUC (ties count half) and step-wise average precision need a
 running total over scores in descending order.  Plan:
 
 1. collapse to one row per distinct score: ``tp``, ``fp`` (partial aggregate);
-2. cut the score axis into contiguous buckets at approximate quantiles
-   (boundaries computed by Spark; only ``n_buckets`` numbers reach the driver);
-3. per-bucket totals -> prefix offsets (a window over ``n_buckets`` rows);
-4. running sums inside each bucket (a window per bucket, each bounded by
-   the distinct scores of one quantile slice) + the bucket's offset.
+2. range-partition the distinct scores and write them with their partition's number;
+3. per-partition totals -> prefix offsets (a window over that many rows);
+4. running sums inside each partition (bounded by its distinct scores) + the offset.
 
 No step orders the whole table in one task.  Every metric can be computed
 per group (e.g. per split) in the same pass.
@@ -16,10 +14,11 @@ per group (e.g. per split) in the same pass.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def confusion_matrix(df: DataFrame, label: str = "label", score: str = "score", threshold: float = 0.5,
                      group_cols=()) -> DataFrame:
@@ -52,25 +51,16 @@ def threshold_table(df: DataFrame, label: str = "label", score: str = "score", g
 
 
 def cumulative_rates(thr: DataFrame, group_cols=(), n_buckets: int | None = None) -> DataFrame:
-    """Add inclusive running totals ``ctp``, ``cfp`` over descending score per group."""
-    spark = thr.sparkSession
-    if n_buckets is None:
-        n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets = max(1, n_buckets)
-    if n_buckets > 1:
-        qs = [i / n_buckets for i in range(1, n_buckets)]
-        bounds = sorted(set(thr.approxQuantile("p", qs, 1.0 / (4 * n_buckets))))
-    else:
-        bounds = []
-    if bounds:
-        # Bucketizer is JVM-side; bucket k holds scores in [splits[k], splits[k+1]).
-        splits = [-float("inf"), *bounds, float("inf")]
-        bz = Bucketizer(splits=splits, inputCol="p", outputCol="_b", handleInvalid="keep")
-        b = bz.transform(thr).withColumn("_b", F.col("_b").cast("int"))
-    else:
-        b = thr.withColumn("_b", F.lit(0))
+    """Add inclusive running totals ``ctp``, ``cfp`` over descending score per group.
+
+    ``n_buckets`` range partitions (the shuffle setting by default) are written once with their number;
+    any count gives the same totals.
+    """
+    order = [*group_cols, F.desc("p")]
+    ranged = thr.repartitionByRange(n_buckets, *order) if n_buckets else thr.repartitionByRange(*order)
+    b = materialize(ranged.withColumn("_b", F.spark_partition_id()), "thresholds")
     totals = b.groupBy(*group_cols, "_b").agg(F.sum("tp").alias("_btp"), F.sum("fp").alias("_bfp"))
-    higher = Window.partitionBy(*group_cols).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    higher = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*group_cols, "_b",
                             F.coalesce(F.sum("_btp").over(higher), F.lit(0)).alias("_otp"),
                             F.coalesce(F.sum("_bfp").over(higher), F.lit(0)).alias("_ofp"))
@@ -90,36 +80,35 @@ def ranking_metrics(df: DataFrame, label: str = "label", score: str = "score", g
     AP  = sum_t (tp_t / P) * ctp_t / (ctp_t + cfp_t)
     P = 0 or N = 0 gives null.  All arithmetic in double (D16).
     """
-    cum = cumulative_rates(threshold_table(df, label, score, group_cols), group_cols, n_buckets)
+    return _ranking(cumulative_rates(threshold_table(df, label, score, group_cols), group_cols, n_buckets), group_cols)
+
+
+def _ranking(cum: DataFrame, group_cols=(), more=()) -> DataFrame:
     tp, fp = F.col("tp").cast("double"), F.col("fp").cast("double")
     ctp, cfp = F.col("ctp").cast("double"), F.col("cfp").cast("double")
     agg = cum.groupBy(*group_cols).agg(
         F.sum(tp).alias("P"), F.sum(fp).alias("N"),
         F.sum((ctp - tp / 2.0) * fp).alias("_auc_num"),
         F.sum(tp * ctp / (ctp + cfp)).alias("_ap_num"),
-        F.count(F.lit(1)).alias("thresholds"))
+        F.count(F.lit(1)).alias("thresholds"), *more)
     ok = (F.col("P") > 0) & (F.col("N") > 0)
     return agg.select(
         *group_cols,
         F.when(ok, F.col("_auc_num") / (F.col("P") * F.col("N"))).alias("roc_auc"),
         F.when(F.col("P") > 0, F.col("_ap_num") / F.col("P")).alias("average_precision"),
         F.col("P").cast("long").alias("positives"), F.col("N").cast("long").alias("negatives"),
-        "thresholds")
+        "thresholds", *[c for c in agg.columns if c in ("tn", "fp", "fn", "tp", "brier")])
 
 
 def evaluate(df: DataFrame, label: str = "label", score: str = "score", threshold: float = 0.5,
              group_cols=()) -> DataFrame:
     """AUC, AP, Brier and confusion counts per group in one tidy table.
 
-    Without groups a constant key stands in, so the pieces meet in
-    equi-joins of one-row tables.
+    All come from one table of distinct scores, so the scored rows are read once.
     """
-    drop = not group_cols
-    if drop:
-        df, group_cols = df.withColumn("_all", F.lit(0)), ("_all",)
-    keys = list(group_cols)
-    out = (ranking_metrics(df, label, score, keys)
-           .join(confusion_matrix(df, label, score, threshold, keys), keys)
-           .join(brier(df, label, score, keys), keys)
-           .withColumn("threshold", F.lit(float(threshold))))
-    return out.drop("_all") if drop else out
+    cum = cumulative_rates(threshold_table(df, label, score, group_cols), group_cols)
+    p, hit = F.col("p").cast("double"), F.col("p") >= F.lit(threshold)
+    total = lambda c, cond: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0))
+    more = [total("fp", ~hit).alias("tn"), total("fp", hit).alias("fp"), total("tp", ~hit).alias("fn"), total("tp", hit).alias("tp"),
+            (F.sum(F.col("tp") * F.pow(1 - p, 2) + F.col("fp") * F.pow(p, 2)) / F.sum(F.col("tp") + F.col("fp"))).alias("brier")]
+    return _ranking(cum, group_cols, more).withColumn("threshold", F.lit(float(threshold)))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import DEFAULT_STORE_RATE, SPECS, STORE_KEYS, WINDOWS, aggregate_columns, spec_columns
-from ..session import materialize_family, stored_bytes
+from ..session import materialize, materialize_family, stored_bytes
 from .rolling import sanitize_keys
 
 LOOKUP_BROADCAST_MAX_BYTES = 32 << 20
@@ -141,9 +141,11 @@ def build_lookups(store: DataFrame, mode: str = "own", specs=SPECS, windows=WIND
         return _prepare_lookups({s.name: lookup_table_own(store, s, windows) for s in specs}, specs,
                                 materialize_tables, broadcast_max_bytes)
     if mode == "overlay":
-        out = _prepare_lookups({s.name: lookup_first_key(store, s) for s in specs}, specs,
+        # The store is collapsed to its distinct keys once; the first-key tables read the narrow result.
+        uniq = materialize(unique_rows(store, agg_cols), "unique") if materialize_tables else unique_rows(store, agg_cols)
+        out = _prepare_lookups({s.name: lookup_first_key(uniq, s) for s in specs}, specs,
                                materialize_tables, broadcast_max_bytes)
-        out["_unique"] = _unique_lookup(store, agg_cols)
+        out["_unique"] = uniq.withColumnRenamed("flight_date", "lookup_date")
         return out
     raise ValueError(f"unknown lookup mode {mode!r}")
 

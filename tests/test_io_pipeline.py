@@ -1,6 +1,7 @@
 """CSV ingest, staged pipeline round trip, model scoring and the streaming scorer."""
 
 import datetime as dt
+import json
 import os
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarmac.plans import pipeline as P
 from tarmac.plans import stages
-from tarmac.schemas import ScopeConfig
+from tarmac.schemas import CATEGORICAL_FEATURES, ScopeConfig
 from tarmac.sources import csv as C
 from tarmac.sources.fixture import FIXTURE_SPLITS
 
@@ -109,6 +110,10 @@ def test_model_score_and_contributions(spark, tmp_path, with_aggs):
     for x in r[:50]:
         assert abs(x.base_value + sum(x.contrib) - 2 * x.margin) < 1e-9    # base + sum = log-odds
         assert 0 < x.probability < 1 and 2 <= len(x.bullets) <= 6
+        doc = json.loads(x.evidence)
+        drivers = doc["drivers"]["risk_up"] + doc["drivers"]["risk_down"]
+        assert set(doc["flight"]) == {"flight_date", "carrier", "origin", "dest", "route", "scheduled_departure_hour", "day_of_week"}
+        assert drivers and all(isinstance(d["value"], str) == (d["feature"] in CATEGORICAL_FEATURES) for d in drivers if d["value"] is not None)
 
 
 def test_streaming_scorer(spark, tmp_path, with_aggs):
