@@ -60,3 +60,12 @@ def test_matches_duckdb(spark, duck, name):
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0 and "origin_delay_rate_30d" in df.columns
+
+
+def test_other_queries_remain_without_the_llm_folder(monkeypatch):
+    import sys
+
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)  # import raises, as when the file is deleted
+    names = set(E.queries())
+    assert "label_flights" in names and "csv_roundtrip" in names
+    assert not any(n.startswith("op") or n == "pipeline" for n in names | set(E.oracle_sql()))
