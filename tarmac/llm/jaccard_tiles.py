@@ -8,16 +8,16 @@ Classes of similarity ``percent`` or more are found exactly:
   documents, so a passage that a third of the documents share is nobody's key.
 * Tiles.  The classes under one key, sorted by size, are cut where sizes are too far apart to link, then
   into blocks of one bitmap width (a size band).  A tile is a pair of blocks of near sizes.
-  Keys with the same classes are one tile, whichever key brought them together.
-* Bitmaps.  A set's shingles are hashed to ``2n`` bits or so.  Bits that differ are a lower bound on the
+  Keys with the same classes are one tile, whichever key brought them together.  Two similar sets of like size
+  share many keys, not one (see ``least_keys``); two classes that are alone under too few keys make no tile.
+* Bitmaps.  A set's shingles are hashed to ``4n`` bits or more.  Bits that differ are a lower bound on the
   shingles that differ, so they bound the overlap from above; pairs below the threshold are done.
 * Exact.  What is left is intersected as sorted arrays, made again from the texts of the classes in question.
 
 Rounds keep large groups of near copies from being compared pair by pair.  The first round takes neighbouring blocks only
-and the likeliest pairs of each tile; its links are joined to components.  Later rounds take
-all tiles that still hold classes of different components, and of each the next, four times
-larger slice of its pairs (in order of the bound), leaving out pairs within a component, until no tile
-has a pair left.  Nothing is capped: every pair that the bitmaps let through is intersected or already connected.
+and the likeliest pairs of each tile; its links are joined to components.  The second adds the tiles of
+blocks further apart.  A tile with pairs left goes on with the next, sixteen times larger slice (in order of the
+bound) while it holds classes of different components; pairs within a component are left out.  Nothing is capped: every pair that the bitmaps let through is intersected or already connected.
 
 Cases: a null or empty text, or one without words, has no shingles and links with nothing; a text of fewer than
 ``k`` words is one shingle; a null id has its count, no links and a null component; repeated rows share a class; an empty
@@ -42,16 +42,18 @@ SKETCH = 1 << 17
 #: Classes in a block of a tile.
 BLOCK = 512
 MIN_BITS, MAX_BITS = 256, 1 << 16
+#: At most so many ids (of classes, documents or tiles; 24 bytes each or less) are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _WordHash(dict):
-    """Memo of word hashes, cleared when large."""
+    """Memo of word hashes (8 bytes each), cleared when large."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) > 500_000:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = self[word] = xxhash.xxh3_64_digest(word)
         return h
 
 
@@ -68,12 +70,13 @@ def shingles(text: str | None, k: int = 5) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.array(list(map(_WORDS.__getitem__, words)), np.uint64)
+    h = np.frombuffer(b"".join(map(_WORDS.__getitem__, words)), ">u8").astype(np.uint64)
     n = max(1, len(h) - k + 1)
     a = np.full(n, min(len(h), k), np.uint64)
     for j in range(min(k, len(h))):
         a = _mix(a + h[j:j + n])
-    return np.unique(a)
+    a.sort()
+    return a[np.concatenate([[True], a[1:] != a[:-1]])]
 
 
 def set_id(s: np.ndarray) -> int:
@@ -85,9 +88,19 @@ def prefix_size(n: int, percent: int) -> int:
     return n - (n * percent + 99) // 100 + 1
 
 
+def least_keys(na: int, nb: int, percent: int) -> int:
+    """Keys that two sets of these sizes share at least if they are ``percent`` similar.
+
+    With an overlap of ``o`` or more, the i-th shared shingle is at place ``i + na - o`` or before in one set's
+    order and ``i + nb - o`` or before in the other's, so it is a key of both up to some i.
+    """
+    o = -(-percent * (na + nb) // (100 + percent))
+    return max(1, min(prefix_size(na, percent) - na + o, prefix_size(nb, percent) - nb + o))
+
+
 def bits_for(n: int) -> int:
-    """Bitmap width of a set of ``n``: a power of two, twice ``n`` or up to four times."""
-    return min(MAX_BITS, max(MIN_BITS, 1 << (2 * n).bit_length()))
+    """Bitmap width of a set of ``n``: a power of two, four times ``n`` or up to eight times."""
+    return min(MAX_BITS, max(MIN_BITS, 1 << (4 * n - 1).bit_length()))
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -165,6 +178,16 @@ def sketch_of(signs: DataFrame) -> np.ndarray:
     return sum((np.frombuffer(bytes(r["sketch"]), np.int64) for r in parts), np.zeros(SKETCH, np.int64))
 
 
+def smallest(order: np.ndarray, s: np.ndarray, size: int) -> np.ndarray:
+    """Places of the ``size`` smallest by (order, s)."""
+    if size >= len(s):
+        return np.arange(len(s))
+    at = np.argpartition(order, size)
+    if (order == order[at[:size]].max()).sum() > 1:  # a tie at the cut
+        return np.lexsort((s, order))[:size]
+    return at[:size]
+
+
 def prefix_rows(docs: DataFrame, counts, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """``key, sid, n``: every set under its rarest shingles; equal sets of a task once."""
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,8 +201,7 @@ def prefix_rows(docs: DataFrame, counts, id_col: str, text_col: str, k: int, per
                     continue
                 seen.add(sid)
                 order = (rank[(s & np.uint64(SKETCH - 1)).astype(np.int64)] << np.uint64(44)) | (s >> np.uint64(20))
-                at = np.lexsort((s, order))[:prefix_size(len(s), percent)]
-                out.append(s[at])
+                out.append(s[smallest(order, s, prefix_size(len(s), percent))])
                 sids.append(sid)
                 ns.append(len(s))
             if out:
@@ -213,8 +235,10 @@ def tile_members(keyed: DataFrame, percent: int) -> DataFrame:
         first = np.flatnonzero(start)
         size = np.diff(np.append(first, len(key)))
         tile = np.add.reduceat(_mix(sid.view(np.uint64) + np.uint64(1)), first).view(np.int64)
-        _, once = np.unique(np.where(size > 1, tile, 0), return_index=True)
+        _, once, times = np.unique(np.where(size > 1, tile, 0), return_index=True, return_counts=True)
+        times = dict(zip(once.tolist(), times.tolist()))
         once = once[size[once] > 1]
+        names = ["tile", "sid", "n", "block", "low", "high", "least", "keys"]
         held: list[list[np.ndarray]] = []
         rows = 0
         for g in once.tolist():
@@ -231,31 +255,38 @@ def tile_members(keyed: DataFrame, percent: int) -> DataFrame:
                 least, most = own[edge], own[np.append(edge[1:], m) - 1]
                 low = np.searchsorted(100 * most, percent * least).astype(np.int32)[block]
                 high = (np.searchsorted(percent * least, 100 * most, side="right") - 1).astype(np.int32)[block]
-            held.append([np.full(m, tile[g]), sid[a:a + m], own, block, low, high])
+            least_of = least_keys(int(own[0]), int(own[1]), percent) if m == 2 else 0
+            held.append([np.full(m, tile[g]), sid[a:a + m], own, block, low, high, np.full(m, least_of), np.full(m, times[g])])
             rows += m
             if rows > 100_000 or g == once[-1]:
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*held)], ["tile", "sid", "n", "block", "low", "high"])
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*held)], names)
                 held, rows = [], 0
         if held:
-            yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*held)], ["tile", "sid", "n", "block", "low", "high"])
+            yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*held)], names)
 
     spark = keyed.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = keyed.repartition(parts, "key").mapInArrow(cut, "tile long, sid long, n long, block int, low int, high int")
-    return written(rows.distinct(), "jt-tiles")
+    rows = keyed.repartition(parts, "key").mapInArrow(
+        cut, "tile long, sid long, n long, block int, low int, high int, least long, keys long")
+    # A pair that is alone under some keys and with others under more is compared in the larger tile.
+    kept = rows.groupBy("tile", "sid", "n", "block", "low", "high", "least").agg(F.sum("keys").alias("keys")).where("keys >= least")
+    return written(kept.drop("least", "keys"), "jt-tiles")
 
 
-def candidate_pairs(members: DataFrame, percent: int, round_no: int) -> DataFrame:
-    """``a, b, more``: this round's pairs of each tile; ``more`` marks a tile with pairs for later rounds (a, b null).
+def candidate_pairs(tiles: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` of this round's pairs; rows with ``more`` name a tile (``tile, i, j, turn``) with pairs left.
 
-    ``members`` has ``tile, sid, n, block, low, high, bits, comp``.
+    ``tiles`` has ``tile, i, j, turn, block, sid, n, bits, comp``; ``turn`` counts the slices already taken.
     """
+    names = ["a", "b", "more", "tile", "i", "j", "turn"]
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         t = pa.Table.from_batches(got)
-        tile, i, j, block, sid, n, comp = (t.column(c).to_numpy() for c in ("tile", "i", "j", "block", "sid", "n", "comp"))
+        tile, i, j, turn, block, sid, n, comp = (
+            t.column(c).to_numpy() for c in ("tile", "i", "j", "turn", "block", "sid", "n", "comp"))
         bits = t.column("bits").combine_chunks()
         order = np.lexsort((sid, n, block, j, i, tile))
         new = np.ones(len(order), bool)
@@ -263,7 +294,7 @@ def candidate_pairs(members: DataFrame, percent: int, round_no: int) -> DataFram
         edges = np.append(np.flatnonzero(new), len(order))
         a_out: list[np.ndarray] = []
         b_out: list[np.ndarray] = []
-        more = False
+        left_over: list[int] = []
         for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
             rows = order[s:e]
             left = rows[block[rows] == i[rows[0]]]
@@ -277,9 +308,10 @@ def candidate_pairs(members: DataFrame, percent: int, round_no: int) -> DataFram
                 keep = x < y
                 x, y, bound = x[keep], y[keep], bound[keep]
             rank = np.lexsort((sid[right[y]], sid[left[x]], -bound))
-            done = len(rows) * 4 ** (round_no - 1) if round_no > 1 else 0
-            upto = len(rows) * 4 ** round_no
-            more |= len(rank) > upto
+            took = int(turn[rows[0]])
+            done, upto = (len(rows) * 4 * 16 ** (took - 1) if took else 0), len(rows) * 4 * 16 ** took
+            if len(rank) > upto:
+                left_over.append(rows[0])
             rank = rank[done:upto]
             x, y = left[x[rank]], right[y[rank]]
             apart = comp[x] != comp[y]
@@ -287,22 +319,24 @@ def candidate_pairs(members: DataFrame, percent: int, round_no: int) -> DataFram
             b_out.append(sid[y[apart]])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_out, b_out))
         a, b = np.minimum(a, b), np.maximum(a, b)
-        yield pa.record_batch([pa.array(a), pa.array(b), pa.array(np.zeros(len(a), bool))], ["a", "b", "more"])
-        if more:
-            yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([True])], ["a", "b", "more"])
+        none = [pa.nulls(len(a), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int32())]
+        yield pa.record_batch([pa.array(a), pa.array(b), pa.array(np.zeros(len(a), bool)), *none], names)
+        if left_over:
+            k = np.array(left_over)
+            yield pa.record_batch([pa.nulls(len(k), pa.int64()), pa.nulls(len(k), pa.int64()), pa.array(np.ones(len(k), bool)),
+                                   pa.array(tile[k]), pa.array(i[k]), pa.array(j[k]), pa.array(turn[k] + 1, pa.int32())], names)
 
-    near = F.sequence(F.greatest("low", F.col("block") - 1), F.least("high", F.col("block") + 1)) if round_no == 0 \
-        else F.sequence("low", "high")
-    tiles = members.withColumn("peer", F.explode(near)).select(
-        "tile", F.least("block", "peer").alias("i"), F.greatest("block", "peer").alias("j"), "block", "sid", "n", "bits", "comp")
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return written(tiles.repartition(parts, "tile", "i", "j").mapInArrow(compare, "a long, b long, more boolean").distinct(), "jt-pairs")
+    parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = tiles.repartition(parts, "tile", "i", "j").mapInArrow(
+        compare, "a long, b long, more boolean, tile long, i int, j int, turn int")
+    return written(pairs.distinct(), "jt-pairs")
 
 
-def verified_links(docs: DataFrame, pairs: DataFrame, first_doc: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """The pairs ``u, v`` that are as similar as asked, by exact intersection."""
-    wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct().join(first_doc, "sid")
+def fetch_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """``sid, s``: the sorted shingles of the classes ``wanted`` (``sid, id``), made from the texts of their first documents.
 
+    The ids go to the texts while there are few of them (counted), else both sides are shuffled.
+    """
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sid, out = [], []
@@ -313,16 +347,29 @@ def verified_links(docs: DataFrame, pairs: DataFrame, first_doc: DataFrame, id_c
                     out.append(s.tobytes())
             yield pa.record_batch({"sid": pa.array(sid, pa.int64()), "s": pa.array(out, pa.binary())})
 
+    wanted = written(wanted, "jt-wanted")
+    n = wanted.count()
+    wanted = F.broadcast(wanted) if n <= BROADCAST_IDS else wanted
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id").select("sid", "text")
+    sets = written(texts.mapInArrow(arrays, "sid long, s binary"), "jt-sets")
+    # Only rows that repeat an id make a class twice.
+    return sets if sets.count() <= n else written(sets.dropDuplicates(["sid"]), "jt-sets")
+
+
+def verified_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``u, v`` that are as similar as asked, by exact intersection."""
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hit = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent)
                    for x, y in zip(b.column("x"), b.column("y"))]
             yield pa.record_batch([b.column("a"), b.column("b")], ["u", "v"]).filter(pa.array(hit, pa.bool_()))
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id").select("sid", "text")
-    sets = written(texts.mapInArrow(arrays, "sid long, s binary"), "jt-sets").dropDuplicates(["sid"])
-    both = pairs.select("a", "b").join(sets.select(F.col("sid").alias("a"), F.col("s").alias("x")), "a") \
-        .join(sets.select(F.col("sid").alias("b"), F.col("s").alias("y")), "b")
+    few = pairs.count() <= BROADCAST_IDS
+    left = F.broadcast(pairs) if few else pairs
+    right = pairs.select("b").distinct()
+    both = sets.select(F.col("sid").alias("a"), F.col("s").alias("x")).join(left, "a") \
+        .join(sets.select(F.col("sid").alias("b"), F.col("s").alias("y")).join(F.broadcast(right) if few else right, "b", "left_semi"), "b") \
+        .select("a", "b", "x", "y")
     return written(both.mapInArrow(intersect, "u long, v long"), "jt-links")
 
 
@@ -337,30 +384,44 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first_doc = every.where("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("id"))
     bits = signs.where("bits IS NOT NULL").select("sid", "bits").dropDuplicates(["sid"])
     members = written(tiles.join(bits, "sid"), "jt-members")
-    links = tried = roots = None
-    round_no = 0
+    # The tiles of blocks beside each other; those further apart follow in the second round.
+    pair = [F.least("block", "peer").alias("i"), F.greatest("block", "peer").alias("j")]
+    near = members.withColumn("peer", F.explode(F.sequence(F.greatest("low", F.col("block") - 1), F.least("high", F.col("block") + 1))))
+    far = members.where("low < block - 1 OR high > block + 1").withColumn("peer", F.explode(F.sequence("low", "high"))) \
+        .where("abs(peer - block) > 1")
+    rows = near.select("*", *pair, F.lit(0).alias("turn")).drop("peer")
+    links = tried = roots = sets = None
+    first_round = True
     while True:
         if roots is None:
-            now = members.withColumn("comp", F.col("sid"))
+            now = rows.withColumn("comp", F.col("sid"))
         else:
-            now = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left") \
+            to_root = roots.withColumnRenamed("node", "sid")
+            now = rows.join(F.broadcast(to_root) if roots.count() <= BROADCAST_IDS else to_root, "sid", "left") \
                 .withColumn("comp", F.coalesce("root", "sid")).drop("root")
-            open_tiles = now.groupBy("tile").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("tile")
-            now = now.join(open_tiles, "tile")
-        found = candidate_pairs(now, percent, round_no)
-        pairs = found.where("a IS NOT NULL").select("a", "b")
+        found = candidate_pairs(now.select("tile", "i", "j", "turn", "block", "sid", "n", "bits", "comp"), percent)
+        pairs = found.where("NOT more").select("a", "b")
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "jt-todo")
         if not pairs.isEmpty():
-            fresh = verified_links(docs, pairs, first_doc, id_col, text_col, k, percent)
+            wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+            if sets is not None:
+                wanted = wanted.join(sets.select("sid"), "sid", "left_anti")
+            more_sets = fetch_sets(docs, wanted.join(first_doc, "sid"), id_col, text_col, k)
+            sets = more_sets if sets is None else sets.unionByName(more_sets)
+            fresh = verified_links(pairs, sets, percent)
             tried = pairs if tried is None else tried.unionByName(pairs)
             if not fresh.isEmpty():
                 links = fresh if links is None else links.unionByName(fresh)
                 roots = components(links)
-        if round_no and found.where("more").isEmpty():
+        left = found.where("more").select("tile", "i", "j", "turn")
+        rows = members.join(F.broadcast(left) if left.count() <= BROADCAST_IDS else left, "tile").where("block = i OR block = j")
+        if first_round:
+            rows = rows.unionByName(far.select("*", *pair, F.lit(0).alias("turn")).drop("peer"))
+            first_round = False
+        if rows.isEmpty():
             break
-        round_no += 1
     if roots is None:
         classes = first_doc.select("sid", F.col("id").alias("component_id"))
     else:
@@ -381,7 +442,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids = written(found.groupBy(F.col(id_col).alias("_id")).agg(
         F.max(F.col("component_id") < F.col(id_col)).alias("gone"), F.count(F.lit(1)).alias("copies")).where(
         F.col("_id").isNotNull() & (F.col("gone") | (F.col("copies") > 1))), "jt-gone")
-    kept = docs.join(ids.where("gone"), F.col(id_col) == F.col("_id"), "left_anti")
+    gone = ids.where("gone").select("_id")
+    if ids.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, F.col(id_col) == F.col("_id"), "left_anti")
     again = ids.where("NOT gone AND copies > 1")
     if again.isEmpty():
         return kept

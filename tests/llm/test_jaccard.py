@@ -98,7 +98,17 @@ def test_bitmaps_never_lose_a_pair(common, only_a, only_b):
     x, _, _ = close_pairs(np.array([len(a)]), row(a), np.array([len(b)]), row(b), 80)
     both = len(np.intersect1d(a, b))
     assert len(x) == 1 or 100 * both < 80 * (len(a) + len(b) - both)
-    assert bits_for(len(a)) >= 2 * len(a) or bits_for(len(a)) == jaccard_tiles.MAX_BITS
+    assert bits_for(len(a)) >= 4 * len(a) or bits_for(len(a)) == jaccard_tiles.MAX_BITS
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(1, 60), st.integers(0, 12), st.integers(0, 12), st.integers(0, 10 ** 6))
+def test_similar_sets_share_as_many_keys_as_stated(common, only_a, only_b, seed):
+    ranks = random.Random(seed).sample(range(10 ** 6), common + only_a + only_b)
+    a, b = ranks[:common + only_a], ranks[:common] + ranks[common + only_a:]
+    if 100 * common >= 80 * len(ranks):
+        keys = [set(sorted(x)[:jaccard_tiles.prefix_size(len(x), 80)]) for x in (a, b)]
+        assert len(keys[0] & keys[1]) >= jaccard_tiles.least_keys(len(a), len(b), 80) >= 1
 
 
 def test_shingles_are_of_whole_ascii_words():
