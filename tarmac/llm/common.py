@@ -8,8 +8,9 @@ result, so a task that runs twice leaves an unused file and never a half-written
 
 from __future__ import annotations
 
+import itertools
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,20 +77,30 @@ class WordMemo:
         self.old: dict = {}
         self.large: list = []
 
-    def holding(self, words: Iterable) -> dict:
-        """A dict with the value of each of ``words``, good until the next call."""
+    def values(self, words: list) -> list:
+        """The values of ``words``, in their order."""
         for w in self.large:
             self.young.pop(w, None)
         if len(self.young) > self.size:
             self.old, self.young = self.young, {}
-        todo = set(words).difference(self.young)
-        for w in todo.intersection(self.old) if len(todo) < len(self.old) else [w for w in todo if w in self.old]:
-            self.young[w] = self.old[w]
-        missing = [w for w in todo if w not in self.young]
+        young, old = self.young, self.old
+        out = list(map(young.get, words))
+        todo = {w for w, v in zip(words, out) if v is None}
+        if not todo:
+            return out
+        for w in todo & old.keys():
+            young[w] = old[w]
+        missing = [w for w in todo if w not in young]
         self.large = [w for w in missing if len(w) > self.longest]
         if missing:
-            self.young.update(zip(missing, self.fill(missing)))
-        return self.young
+            young.update(zip(missing, self.fill(missing)))
+        return [young[w] if v is None else v for w, v in zip(words, out)]
+
+    def joined(self, lists: list[list]) -> list[bytes]:
+        """For each list of words, their values (bytes) joined."""
+        found = self.values([w for words in lists for w in words])
+        ends = list(itertools.accumulate(map(len, lists)))
+        return [b"".join(found[e - len(words):e]) for e, words in zip(ends, lists)]
 
 
 def chunks(items: list, weight, limit: int) -> Iterator[list]:

@@ -17,17 +17,18 @@ and the text are not read.
 from __future__ import annotations
 
 import io
-import itertools
 import json
+import re
 import struct
-import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -76,6 +77,11 @@ class Plane:
         return np.unpackbits(self.packed, count=self.n).view(bool)
 
 
+def parted(bits: np.ndarray) -> np.ndarray:
+    """Places of the zeros, then of the ones."""
+    return np.concatenate([np.flatnonzero(~bits), np.flatnonzero(bits)])
+
+
 class WaveletMatrix:
     """Succinct sequence of ids below ``2 ** levels``."""
 
@@ -86,19 +92,18 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, levels: int) -> "WaveletMatrix":
         planes, a = [], ids
         for level in range(levels - 1, -1, -1):
-            bits = ((a >> a.dtype.type(level)) & a.dtype.type(1)).view() != 0
+            bits = (a & a.dtype.type(1 << level)) != 0
             planes.append(Plane(np.packbits(bits), len(a)))
-            a = np.concatenate([a[~bits], a[bits]])
+            a = np.concatenate([np.compress(~bits, a), np.compress(bits, a)])
         return cls(planes, len(ids))
 
     def ids(self) -> np.ndarray:
         """The whole sequence, plane by plane from the lowest."""
         a = np.zeros(self.n, np.uint16 if self.levels <= 16 else np.uint32)
         for level, plane in enumerate(reversed(self.planes)):
-            bits, zeros = plane.bits(), self.n - plane.ones
+            a[self.n - plane.ones:] |= a.dtype.type(1 << level)
             up = np.empty_like(a)
-            up[~bits] = a[:zeros]
-            up[bits] = a[zeros:] | a.dtype.type(1 << level)
+            up[parted(plane.bits())] = a
             a = up
         return a
 
@@ -169,79 +174,82 @@ def load(data: bytes) -> tuple[WaveletMatrix, pa.Table]:
 _ENCODERS: dict[str, tuple] = {}
 
 
-def encoder(path: str) -> tuple[Callable[[list[str]], list[np.ndarray]], int]:
-    """``encode(texts)`` for a file of the ``tokenizers`` library, and the bits an id takes.
+def encoder(path: str) -> tuple[Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], int]:
+    """For a file of the ``tokenizers`` library: ``encode(texts)`` (all ids, ids per text) and the bits an id takes.
 
     If the file's pre-tokenizer is a pattern that never joins text across white space and its normaliser
-    treats a space as a boundary (NFC, lower-casing and white-space folding do), a text's ids are those
-    of its space-separated words in turn, and a word's are those of the parts that the pattern cuts.
-    The library then encodes each distinct part once; words that are not in NFC or hold a
-    special token's text are encoded whole.  Any other file encodes whole texts.
+    treats a space as a boundary (NFC, lower-casing and white-space folding do), a text's ids are those of
+    its words in turn, so the library encodes each distinct word once.  The parts that the pattern cuts
+    from a printable ASCII word go to the library's model as they are (its byte-level step
+    leaves them alone); other words, and those that hold a special token's text, go through the
+    whole library.  With any other file whole texts do.
     """
     if path not in _ENCODERS:
-        import regex
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
         spec = json.loads(tok.to_str())
-        vocab = tok.get_vocab(with_added_tokens=True)
-        levels = max(1, max(vocab.values()).bit_length())
+        levels = max(1, max(tok.get_vocab(with_added_tokens=True).values()).bit_length())
         kind = np.uint16 if levels <= 16 else np.uint32
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
-        first = (pre.get("pretokenizers") or [pre])[0]
+        first, *rest = pre.get("pretokenizers") or [pre]
         pattern = (first.get("pattern") or {}).get("Regex", "") if first.get("type") == "Split" else ""
-        mark = spec["model"].get("end_of_word_suffix") or ""
-        by_word = bool(mark) and first.get("invert") and first.get("behavior") == "Removed" \
-            and pattern.endswith(r"[^\s\p{L}\p{N}]+") and all(
+        by_word = first.get("invert") and first.get("behavior") == "Removed" and pattern.endswith(r"[^\s\p{L}\p{N}]+") \
+            and all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in rest) and all(
                 x["type"] in ("NFC", "Lowercase") or x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"}
                 for x in norm.get("normalizers", [norm] if norm else []))
+        plain = by_word and "Lowercase" in str(norm) and spec["model"]["type"] == "BPE"
         special = [t["content"] for t in spec.get("added_tokens", [])]
-        ends = np.zeros(max(vocab.values()) + 1, bool)
-        ends[[i for t, i in vocab.items() if mark and t.endswith(mark)]] = True
-        parts = regex.compile(pattern) if by_word else None
 
         def raw(texts: list[str]) -> list[bytes]:
-            return [np.array(e.ids, kind).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-        def parts_ids(words: list[str]) -> list[bytes]:
-            """Ids of pre-tokens: one call for all, cut where a token ends a word."""
-            ids = np.array(tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, kind)
-            cuts = np.flatnonzero(ends[ids]) + 1
-            if len(cuts) != len(words):
-                return raw(words)
-            data, width = ids.tobytes(), ids.itemsize
-            at = [0, *(cuts * width).tolist()]
-            return [data[a:b] for a, b in zip(at, at[1:])]
+            return [np.array(e.ids, kind).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-        pieces = WordMemo(parts_ids)
+        parts = re.compile(pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")).findall if plain else None
+        tokenize, code = tok.model.tokenize, "H" if kind == np.uint16 else "I"
 
         def words_ids(words: list[str]) -> list[bytes]:
-            """Ids of space-separated words, put together from those of their pre-tokens."""
-            whole = {w for w in words if not (w.isascii() or unicodedata.is_normalized("NFC", w))}
-            if any(x in w for x in special for w in ("\n".join(words),)):
-                whole.update(w for w in words if any(x in w for x in special))
-            split = [[] if w in whole else [w.lower()] if w.isascii() and w.isalpha() else
-                     parts.findall(w.lower() if w.isascii() else w) for w in words]
-            known = pieces.holding(itertools.chain.from_iterable(split))
-            whole_ids = dict(zip(whole, raw(list(whole))))
-            return [whole_ids[w] if w in whole else known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p])
-                    for w, p in zip(words, split)]
-
-        memo = WordMemo(words_ids, 400_000)
-
-        def encode(texts: list[str]) -> list[np.ndarray]:
+            marked = any(x in t for t in ("\n".join(words),) for x in special)
+            whole = [w for w in words if not (plain and w.isascii() and w.isprintable()) or marked and any(x in w for x in special)]
+            known = dict(zip(whole, raw(whole)))
+            out = []
+            for w in words:
+                x = known.get(w)
+                if x is None:
+                    low = w.lower()
+                    x = array(code, [t.id for t in tokenize(low)] if low.isalpha() else
+                              [t.id for p in parts(low) for t in tokenize(p)]).tobytes()
+                out.append(x)
+            return out
+
+        memo = WordMemo(words_ids, 500_000)
+
+        def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             if not by_word:
-                return [np.frombuffer(x, kind) for x in raw(texts)]
-            split = [t.replace("\n", " ").split(" ") for t in texts]
-            known = memo.holding(itertools.chain.from_iterable(split)).__getitem__
-            return [np.frombuffer(b"".join(map(known, words)), kind) for words in split]
+                found = [np.frombuffer(x, kind) for x in raw(texts.to_pylist())]
+                return np.concatenate([np.zeros(0, kind), *found]), np.array(list(map(len, found)), np.int64)
+            lists = pc.ascii_split_whitespace(texts)
+            words = lists.flatten().dictionary_encode()
+            at = words.indices.to_numpy(zero_copy_only=False)
+            found = memo.values(words.dictionary.to_pylist())
+            size = np.array(list(map(len, found)), np.int64) // np.dtype(kind).itemsize
+            data = np.frombuffer(b"".join(found), kind)
+            starts = np.cumsum(size) - size
+            ends = np.concatenate([[0], np.cumsum(size[at])])
+            ids = np.empty(ends[-1], kind)
+            for k in range(0, len(at), 500_000):  # in pieces, as the places take four times the ids' room
+                part = at[k:k + 500_000]
+                first, own = ends[k], size[part]
+                shift = np.repeat(starts[part] - (ends[k:k + len(part)] - first), own)
+                ids[first:first + len(shift)] = data[shift + np.arange(len(shift))]
+            per_text = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            return ids, np.diff(ends[np.concatenate([[0], np.cumsum(per_text)])])
 
         _ENCODERS[path] = encode, levels
     return _ENCODERS[path]
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, out_dir: str | None = None, id_col: str = "doc_id",
-                 text_col: str = "text", end_id: int = 2, shard_tokens: int = 2_000_000) -> DataFrame:
+                 text_col: str = "text", end_id: int = 2, shard_tokens: int = 1_000_000) -> DataFrame:
     """Encode, write the shards under ``out_dir``, return their manifest.
 
     Manifest: ``part`` and ``seq`` (their order is the ids' order), ``path``, ``n_docs``,
@@ -261,16 +269,14 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out_dir: str | None = Non
         done = {"seq": 0, "in_part": 0}
         ids: list[np.ndarray] = []
         keys: list[pa.Array] = []
-        lens: list[int] = []
-        pending = 0
+        lens: list[np.ndarray] = []
 
         def close() -> pa.RecordBatch:
-            tokens = np.concatenate(ids)
-            doc_table = pa.table({"id": pa.concat_arrays(keys), "n": pa.array(lens, pa.int64())})
+            tokens, n = np.concatenate(ids), np.concatenate(lens)
             path = f"{out_dir}/{part:06d}-{done['seq']:06d}-{stamp}.twm"
             with open_out(path) as f:
-                f.write(dump(tokens, levels, doc_table))
-            row = pa.record_batch({"part": [part], "seq": [done["seq"]], "path": [path], "n_docs": [len(lens)],
+                f.write(dump(tokens, levels, pa.table({"id": pa.concat_arrays(keys), "n": pa.array(n, pa.int64())})))
+            row = pa.record_batch({"part": [part], "seq": [done["seq"]], "path": [path], "n_docs": [len(n)],
                                    "n_tokens": [len(tokens)], "in_part": [done["in_part"]]})
             done["seq"] += 1
             done["in_part"] += len(tokens)
@@ -278,20 +284,26 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out_dir: str | None = Non
                 x.clear()
             return row
 
+        held = 0
         for b in batches:
-            texts = b.column("text").to_pylist()
             at = 0
-            for run in chunks(texts, len, 2_000_000):
-                out = encode(run)
-                end = np.array([end_id], out[0].dtype)
-                for k, x in enumerate(out):
-                    ids += [x, end]
-                    lens.append(len(x) + 1)
-                    keys.append(b.column("id").slice(at + k, 1))
-                    pending += lens[-1]
-                    if pending >= shard_tokens:
-                        pending = 0
+            for run in chunks(pc.utf8_length(b.column("text")).to_pylist(), int, 32_000_000):
+                found, n = encode(b.column("text").slice(at, len(run)))
+                ends = np.cumsum(n)
+                found = np.insert(found, ends, end_id)
+                ends, n = ends + np.arange(1, len(n) + 1), n + 1
+                first = 0
+                while first < len(n):  # documents up to the one that fills the shard
+                    start = int(ends[first] - n[first])
+                    last = min(int(np.searchsorted(ends, start + shard_tokens - held)), len(n) - 1)
+                    ids.append(found[start:int(ends[last])])
+                    keys.append(b.column("id").slice(at + first, last + 1 - first))
+                    lens.append(n[first:last + 1])
+                    held += int(ends[last]) - start
+                    first = last + 1
+                    if held >= shard_tokens:
                         yield close()
+                        held = 0
                 at += len(run)
         if lens:
             yield close()

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -71,4 +72,7 @@ def test_words_out_of_normal_form_and_special_tokens():
     path = queries.tokenizer("word_bpe_49k.json")
     texts = ["e\u0301te\u0301 x<|endoftext|>y", "ΣΑΣ İx", "don't WE'LL it's'", "a_b 12,5\u3000z\x1cq", "\u0301a \ufb01"]
     tok = Tokenizer.from_file(path)
-    assert [x.tolist() for x in encoder(path)[0](texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    texts += ["".join(rng.choices("aB 'sré1\n.,<|endoftext|>-_\x7f\u3000", k=60)) for rng in [random.Random(3)] for _ in range(300)]
+    ids, n = encoder(path)[0](pa.array(texts))
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
