@@ -243,13 +243,13 @@ def fit(samples: list[tuple[list[list[str]], list[tuple[int, int]], list[tuple[i
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 20_000,
           max_words: int = 60_000) -> SkipChainCRF | None:
-    """Fit on the candidate words of at most ``max_docs`` documents, ``max_words`` words in all."""
+    """Fit on candidate words of at most ``max_docs`` documents: ``max_words`` in all, the first few dozen of each."""
     ids = docs.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct() \
         .orderBy(F.xxhash64("id"), "id").limit(max_docs)
     # At most max_docs ids: bounded, so broadcast.
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").where(
         F.col("text").rlike("[0-9@+]"))
-    per_doc = max(1, max_words // 20)
+    per_doc = max(30, 10 * max_words // max_docs)
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -305,7 +305,10 @@ def find_spans(texts: list[str], model: SkipChainCRF | None, sure: float = 0.9)
         while i < len(words):
             j = i + 1
             if best[i] and belief[at + i, best[i]] >= sure and not known[i]:
-                while j < len(words) and best[j] == best[i] and not known[j] and words[j][0] - words[j - 1][1] <= 2:
+                # Neighbours of a label are one span, but a whole number is one of its own.
+                whole = lambda w: len(re.sub("[^0-9]", "", t[w[0]:w[1]])) >= 16
+                while j < len(words) and best[j] == best[i] and not known[j] and words[j][0] - words[j - 1][1] <= 2 \
+                        and not whole(words[j - 1]) and not whole(words[j]):
                     j += 1
                 # A run of words of which a neighbour is in a base span is that span's context, not a new one.
                 beside = any(0 <= x < len(words) and known[x] and abs(words[x][0] - words[y][0]) and
