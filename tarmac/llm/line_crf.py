@@ -149,8 +149,11 @@ def fit_crf(seqs: list[tuple[np.ndarray, np.ndarray]], steps: int = 150, rate: f
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          max_docs: int = 4_000) -> LineCRF | None:
-    """Fit on at most ``max_docs`` labelled documents, half of each quality; None if a class is missing."""
+          max_docs: int = 4_000, max_lines: int = 2_000) -> LineCRF | None:
+    """Fit on at most ``max_docs`` labelled documents, half of each quality, and ``max_lines`` lines of each.
+
+    None if a class is missing.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()) \
         .groupBy("doc_id").agg(F.min("quality").alias("quality"))
     part = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs // 2) for q in (0, 1)]
@@ -159,9 +162,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for b in batches:
             texts = [lines_of(t or "") for t in b.column("text").to_pylist()]
             x = features(texts).astype(np.float32)
-            ends = np.cumsum(list(map(len, texts)))
+            starts = np.cumsum([0, *map(len, texts)])
             yield pa.record_batch({"quality": b.column("quality"),
-                                   "x": pa.array([x[e - len(t):e].tobytes() for t, e in zip(texts, ends)], pa.binary())})
+                                   "x": pa.array([x[s:s + min(len(t), max_lines)].tobytes() for t, s in zip(texts, starts)], pa.binary())})
 
     # At most max_docs ids: bounded, so broadcast.
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")) \
