@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from helpers import EDGE, MID, SMALL, edge_docs, empty_docs
+from helpers import EDGE, MID, SMALL, duck_rows, edge_docs, empty_docs, spark_rows
 from tarmac.llm import jaccard_tiles, queries
 from tarmac.llm.components import components
 from tarmac.llm.jaccard_tiles import bitmap, bits_for, close_pairs, jaccard_components, one_of_each, shingles
@@ -53,6 +53,10 @@ def test_query_equals_all_pairs(spark, sf):
     assert sorted((tuple(r) for r in queries.op10_jaccard_tiles(spark, sf).collect()), key=str) == _brute(rows)
 
 
+def test_query_equals_sql(spark):
+    assert spark_rows(queries.op10_jaccard_tiles(spark, MID)) == duck_rows(queries.SQL["op10_jaccard_tiles"], MID)
+
+
 def test_groups_of_near_copies_over_many_blocks(spark, monkeypatch):
     """Chains at the edge of the threshold, a hot group, a shared passage; blocks and rounds are forced small."""
     monkeypatch.setattr(jaccard_tiles, "BLOCK", 8)
