@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarmac.llm.common import small
+
 WORD = re.compile(r"[^\W_]+")
 K1, B = 1.2, 0.75
 
@@ -207,7 +209,7 @@ def item_indexes(benchmark: DataFrame, max_items: int = 20_000) -> list[BlockMax
         F.col("text").rlike(r"[\p{L}\p{N}]"))
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             bags = [words_of(t) for t in b.column("text").to_pylist()]
             yield pa.record_batch({"n": pa.array(list(map(len, bags)), pa.int64()),
                                    "terms": pa.array([sorted(set(w)) for w in bags], pa.list_(pa.string()))})
@@ -237,7 +239,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         index = docs.sparkSession.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in small(batches):
                 found = [(r, d, *x) for r, t in enumerate(b.column("_leak_text").to_pylist())
                          for d, x in sorted(index.value.leaks(t, threshold, min_overlap).items())]
                 cols = list(zip(*found)) or [()] * 6
@@ -261,7 +263,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         index = docs.sparkSession.sparkContext.broadcast(block)
 
         def keep(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in small(batches):
                 texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
                 yield b.filter(pa.array([not index.value.leaks(t or "", threshold, min_overlap) for t in texts], pa.bool_()))
 

@@ -63,6 +63,13 @@ def ascii_lower(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def small(batches: Iterator, rows: int = 1_000) -> Iterator:
+    """The batches in slices of ``rows``, so that their texts are Python strings a few at a time."""
+    for b in batches:
+        for k in range(0, max(1, b.num_rows), rows):
+            yield b.slice(k, rows)
+
+
 class WordMemo:
     """Bounded memo of a pure function of a word, kept by a worker between batches.
 

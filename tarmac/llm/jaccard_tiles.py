@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import written
+from tarmac.llm.common import small, written
 from tarmac.llm.components import components
 
 #: Counters of the shingle sketch; 32 bits each.
@@ -51,7 +51,7 @@ class _WordHash(dict):
     """Memo of word hashes (8 bytes each), cleared when large."""
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_digest(word)
         return h
@@ -144,7 +144,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(SKETCH, np.int64), set()
         names = ["id", "n", "sid", "bits", "sketch"]
-        for b in batches:
+        for b in small(batches):
             ids, n, sid, bits = b.column("id").to_pylist(), [], [], []
             for i, t in zip(ids, b.column("text").to_pylist()):
                 s = shingles(t, k)
@@ -193,7 +193,7 @@ def prefix_rows(docs: DataFrame, counts, id_col: str, text_col: str, k: int, per
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         rank = counts.value
-        for b in batches:
+        for b in small(batches):
             out, sids, ns = [], [], []
             for t in b.column("text").to_pylist():
                 s = shingles(t, k)
@@ -338,7 +338,7 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k
     The ids go to the texts while there are few of them (counted), else both sides are shuffled.
     """
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             sid, out = [], []
             for want, t in zip(b.column("sid").to_pylist(), b.column("text").to_pylist()):
                 s = shingles(t, k)
@@ -359,7 +359,7 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k
 def verified_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``u, v`` that are as similar as asked, by exact intersection."""
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             hit = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent)
                    for x, y in zip(b.column("x"), b.column("y"))]
             yield pa.record_batch([b.column("a"), b.column("b")], ["u", "v"]).filter(pa.array(hit, pa.bool_()))

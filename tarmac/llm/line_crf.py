@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarmac.llm.common import small
+
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -159,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     part = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs // 2) for q in (0, 1)]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             texts = [lines_of(t or "") for t in b.column("text").to_pylist()]
             x = features(texts).astype(np.float32)
             starts = np.cumsum([0, *map(len, texts)])
@@ -201,7 +203,7 @@ def judge(docs: DataFrame, model: LineCRF | None, id_col: str = "doc_id", text_c
     kind = docs.schema[id_col].dataType.simpleString()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             texts = b.column("_crf_text").to_pylist()
             out: list[list] = [[] for _ in range(8)]
             lines = [lines_of(t) for t in texts]

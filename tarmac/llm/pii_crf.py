@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarmac.llm.common import small
+
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["none", *KINDS]
@@ -252,7 +254,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_d
     per_doc = max(30, 10 * max_words // max_docs)
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             out = []
             for text in b.column("text").to_pylist():
                 words = candidates(text)[:per_doc]
@@ -330,7 +332,7 @@ def detect(docs: DataFrame, model: SkipChainCRF | None, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_pii_text"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             texts = b.column("_pii_text").to_pylist()
             counts: list[list[int]] = [[], [], [], []]
             digests, spans = [], []
@@ -358,7 +360,7 @@ def redact(docs: DataFrame, model: SkipChainCRF | None, text_col: str = "text")
         return "".join(out) + text[at:]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             texts = b.column(text_col).to_pylist()
             found = find_spans([t or "" for t in texts], model)
             new = [None if t is None else mask(t, every) if every else t for t, (_, every) in zip(texts, found)]

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import written
+from tarmac.llm.common import small, written
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -109,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = pos.unionByName(unl).groupBy("doc_id").agg(F.max("p").alias("p"), F.max("u").alias("u"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             found = [sorted(features(t or "")) for t in b.column("text").to_pylist()]
             yield pa.record_batch([b.column("p"), b.column("u"), pa.array(found, pa.list_(pa.string()))], ["p", "u", "words"])
 
@@ -148,7 +148,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     schema = rows.drop("_pu_text").schema.add("score", "double").add("predicted", "integer")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             s = [0.0 if model is None else model.score(t or "") for t in b.column("_pu_text").to_pylist()]
             kept = [b.column(c) for c in keep]
             yield pa.record_batch(kept + [pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())],
@@ -160,7 +160,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 def without_toxic(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """The rows whose score is below 0.5, with all their columns."""
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
             yield b.filter(pa.array([model is None or model.score(t or "") < 0.5 for t in texts], pa.bool_()))
 
