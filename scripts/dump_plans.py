@@ -42,13 +42,13 @@ def main():
          stages.flights(spark, sf)),
         ("Scope filter on a written labeled table (date range pushed to the scan)",
          scope.scope_filter(spark.read.parquet(base.inputFiles()[0].rsplit("/", 1)[0]), FIXTURE_SCOPE)),
-        ("One spec: daily collapse (partial + final aggregate) -> one Window node for 3 windows x (n, s)",
+        ("One spec: collapse of the flights, daily roll-up -> one Window node for 3 windows x (n, s)",
          rolling.rolling_features_for_spec(sb, SPECS[4], rolling.global_rate(sb))),
-        ("Join-back of six daily tables (written in one job, broadcast under the row bound)",
+        ("Join-back of six daily tables (written in one job, broadcast under the size bound)",
          rolling.add_rolling_features(base)),
         ("Request enrichment, own mode (six lookup tables, one write)",
          ST.enrich_requests(stages.request_table(spark, sf), stages.feature_store(spark, sf), mode="own")),
-        ("Exact AUC / AP per split (threshold collapse, quantile buckets, bounded windows)",
+        ("Exact AUC / AP per split (threshold collapse, written range partitions, bounded windows)",
          M.ranking_metrics(stages.scored_fixture(stages.with_aggregates(spark, sf)), group_cols=["split"])),
     ]
     out = ["# PLANS", "", f"Physical plan trees of the headline operators (generated by `scripts/dump_plans.py` on `{sf}`).", ""]
