@@ -51,7 +51,7 @@ class _WordHash(dict):
     """Memo of word hashes (8 bytes each), cleared when large."""
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) > 250_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_digest(word)
         return h
