@@ -6,7 +6,8 @@ candidate words share a transition potential; equal words and words with the sam
 however far apart they stand, each linked to its next occurrence, so a document with a
 thousand copies of a word has a thousand links.  Loopy sum-product message passing runs for ``rounds``
 rounds over all candidates of a batch at once; a word whose best label is sure enough
-joins a span.  A span whose words all lack base spans is added; base spans always stay.
+joins a span.  A span whose words all lack base spans is added, unless it only continues a base span of its
+kind beside it; base spans always stay.
 
 The potentials are trained by pseudo-likelihood, the skip potential from a prior that equal words
 agree.  Base spans label the words of at most ``max_docs`` documents (smallest id hashes).  A failed
@@ -295,6 +296,7 @@ def find_spans(texts: list[str], model: SkipChainCRF | None, sure: float = 0.9)
         skip += [(a + at, b + at) for a, b in s]
         places.append((at, words))
     belief = model.marginals(feats, chain, skip) if feats else None
+    alone = {"luhn", "quad", "address"}
     out = []
     for own, (at, words), t in zip(base, places, texts):
         if not words:
@@ -302,6 +304,7 @@ def find_spans(texts: list[str], model: SkipChainCRF | None, sure: float = 0.9)
             continue
         best = belief[at:at + len(words)].argmax(1)
         known = label_words(words, own)
+        own_shapes = feats[at:at + len(words)]
         added: list[Span] = []
         i = 0
         while i < len(words):
@@ -312,9 +315,11 @@ def find_spans(texts: list[str], model: SkipChainCRF | None, sure: float = 0.9)
                 while j < len(words) and best[j] == best[i] and not known[j] and words[j][0] - words[j - 1][1] <= 2 \
                         and not whole(words[j - 1]) and not whole(words[j]):
                     j += 1
-                # A run of words of which a neighbour is in a base span is that span's context, not a new one.
-                beside = any(0 <= x < len(words) and known[x] and abs(words[x][0] - words[y][0]) and
-                             words[max(x, y)][0] - words[min(x, y)][1] <= 2 for x, y in ((i - 1, i), (j, j - 1)))
+                # A run that continues a neighbouring base span of its kind is that span's context, not a new one,
+                # unless it is a whole number or address of its own.
+                beside = not alone.intersection(own_shapes[i]) and any(
+                    0 <= x < len(words) and known[x] == best[i] and words[max(x, y)][0] - words[min(x, y)][1] <= 2
+                    for x, y in ((i - 1, i), (j, j - 1)))
                 if not beside:
                     added.append((LABELS[best[i]], words[i][0], words[j - 1][1]))
             i = j

@@ -89,3 +89,25 @@ def test_skip_links_make_labels_agree(spark):
     assert [docs[-1][s:e] for _, s, e in base] == [card] and [docs[-1][s:e] for _, s, e in every] == [card, card]
     plain = find_spans([docs[31]], model)[0]
     assert plain == ([], [])
+
+
+def test_numbers_beside_base_spans_are_found(spark):
+    cards = [n for n in (f"{n:016d}" for n in range(4111111111110000, 4111111111120000)) if luhn(n)]
+    docs = [f"pay {cards[i]} now" for i in range(60)] + [f"code {i:07d} ok" for i in range(60)]
+    docs += [f"host 10.0.0.{i} up" for i in range(40)] + [f"mail a{i}@x.org or" for i in range(40)]
+    model = train(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"))
+
+    def found(text):
+        base, every = find_spans([text], model)[0]
+        assert set(base) <= set(every)
+        return [(k, text[s:e]) for k, s, e in base], [(k, text[s:e]) for k, s, e in every]
+
+    # The digits before a card join its base match, which then fails.
+    for text, first in ((f"10.0.0.1 {cards[70]}", ("ip", "10.0.0.1")), (f"a@x.org {cards[70]} {cards[71]}", ("email", "a@x.org")),
+                        (f"10.0.0.7 {cards[70]} {cards[71]}", ("ip", "10.0.0.7"))):
+        base, every = found(text)
+        assert base == [first]
+        assert sorted(every) == sorted([first] + [("card", c) for c in cards[70:72] if c in text])
+    text = f"10.0.0.1 {cards[70]} end"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert redact(df, model).first().text == "[IP] [CARD] end"
