@@ -8,9 +8,11 @@ query.  The block maxima of a passage's terms bound every item's score, so a pas
 none of whose blocks can reach the threshold is done; the others run block-max WAND and give
 all items above the threshold, without a limit on their number.
 
-A hit is verified on the passage's words: of the question's and of the answer's word n-grams, the share
-found in the passage must reach ``min_overlap``.  The answer is what follows the last question mark,
-or else the last sentence; an item of one sentence is all question.
+A hit is verified on the passage's words: the overlap of the question and of the answer must reach
+``min_overlap``.  The answer is what follows the last question mark; an item without one is a single part.
+The overlap of a part is the share of its word n-grams found in the passage, or that of its words found in
+their order (longest common subsequence) within a stretch of two to three times its length, if that is more: a
+changed word breaks every n-gram of a short part, but takes one word from its order.
 
 Items go to the tasks in blocks of ``max_items`` (bounded, sizes known), with document frequencies
 over all items; the corpus is read once for each block.
@@ -53,6 +55,32 @@ def question_answer(text: str) -> tuple[str, str]:
     return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (text, "")
 
 
+def item_parts(text: str) -> list[list[str]]:
+    """The words of each part that is verified: question and answer, or the whole item if no mark splits it."""
+    parts = question_answer(text) if "?" in text and words_of(text.rpartition("?")[2]) else (text,)
+    return [p for p in map(words_of, parts) if p]
+
+
+def in_order(part: list[str], words: list[str]) -> int:
+    """Length of the longest common subsequence, most over stretches of ``words``: any 2 * len(part) in a row are in one."""
+    n = len(part)
+    at: dict[str, int] = {}
+    for i, w in enumerate(part):
+        at[w] = at.get(w, 0) | 1 << i
+    hits = [at.get(w, 0) for w in words]
+    best, full = 0, (1 << n) - 1
+    for lo in range(0, max(1, len(words) - 2 * n + 1), n):
+        found = [m for m in hits[lo:lo + 3 * n] if m]
+        if len(found) > best:
+            row = full
+            for m in found:
+                # Bit-parallel row of the table: a 0 is a step up.
+                u = row & m
+                row = ((row + u) | (row - u)) & full
+            best = max(best, n - row.bit_count())
+    return best
+
+
 def grams(words: list[str], n: int) -> set[tuple[str, ...]]:
     n = max(1, min(n, len(words)))
     return set(zip(*(words[k:] for k in range(n))))
@@ -60,10 +88,10 @@ def grams(words: list[str], n: int) -> set[tuple[str, ...]]:
 
 @dataclass
 class Item:
-    """One test item as it is verified: its words and the n-grams of its parts."""
+    """One test item as it is verified: the words of its parts and their n-grams."""
 
     item_id: int
-    parts: list[tuple[int, set[tuple[str, ...]]]]
+    parts: list[tuple[int, list[str], set[tuple[str, ...]]]]
 
 
 class BlockMaxIndex:
@@ -74,8 +102,7 @@ class BlockMaxIndex:
         bags = [words_of(t) for _, t in items]
         self.items, self.block = [], block
         for (i, t), words in zip(items, bags):
-            parts = [words_of(p) for p in question_answer(t)]
-            self.items.append(Item(i, [(min(n_gram, len(p)), grams(p, n_gram)) for p in parts if p]))
+            self.items.append(Item(i, [(min(n_gram, len(p)), p, grams(p, n_gram)) for p in item_parts(t)]))
         self.longest = max(map(len, bags), default=0)
         self.terms: dict[str, int] = {}
         impacts: dict[tuple[int, int], float] = {}
@@ -194,10 +221,11 @@ class BlockMaxIndex:
         shingles: dict[tuple[int, int, int], set] = {}
         for d, _, score, (lo, hi) in self.candidates(words, threshold):
             shares = []
-            for n, part in self.items[d].parts:
+            for n, part, whole in self.items[d].parts:
                 if (lo, hi, n) not in shingles:
                     shingles[lo, hi, n] = grams(words[lo:hi], n) if hi - lo >= n else set()
-                shares.append(len(part & shingles[lo, hi, n]) / len(part))
+                share = len(whole & shingles[lo, hi, n]) / len(whole)
+                shares.append(share if share == 1 else max(share, in_order(part, words[lo:hi]) / len(part)))
             if shares and min(shares) >= min_overlap and (d not in found or score > found[d][0]):
                 found[d] = (score, shares[0], shares[-1], lo)
         return found

@@ -3,7 +3,7 @@ import random
 
 from helpers import EDGE, MID, edge_docs, empty_docs
 from tarmac.llm import queries
-from tarmac.llm.bm25_leaks import BlockMaxIndex, find_leaks, question_answer, without_leaks, words_of
+from tarmac.llm.bm25_leaks import BlockMaxIndex, find_leaks, in_order, question_answer, without_leaks, words_of
 
 
 def _index(items, block=8):
@@ -79,3 +79,52 @@ def test_question_and_answer():
     assert question_answer("Who? Me.") == ("Who?", " Me.")
     assert question_answer("A b. C d. E f.") == ("A b. C d.", "E f.")
     assert question_answer("One sentence") == ("One sentence", "")
+
+
+def _lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(new[j], row[j + 1]))
+        row = new
+    return row[-1]
+
+
+def test_words_in_order_equal_the_plain_table():
+    rng = random.Random(8)
+    for _ in range(300):
+        part, words = rng.choices("abcdef", k=rng.randint(1, 12)), rng.choices("abcdefgh", k=rng.randint(0, 60))
+        n = len(part)
+        at = range(0, max(1, len(words) - 2 * n + 1), n)
+        assert in_order(part, words) == max(_lcs(part, words[k:k + 3 * n]) for k in at)
+        assert in_order(part, words) >= max(_lcs(part, words[k:k + 2 * n]) for k in range(len(words) + 1))
+
+
+def test_one_changed_word_in_every_position():
+    items = [(i, r.text) for i, r in enumerate(_items())] + [(-1, "Which river runs north through the old glass city? The long Orlan.")]
+    ix = _index(items)
+    rng = random.Random(2)
+    noise = lambda n: rng.choices(["zzlorem", "zzipsum", "zzdolor"], k=n)
+    lost, tried = [], 0
+    for d, (_, text) in enumerate(items):
+        words = words_of(text)
+        if len(words) < 6:
+            continue
+        copies = [[*words[:k], "zzchanged", *words[k + 1:]] for k in range(len(words))]
+        if "?" not in text:
+            copies += [words[:-1], words[:-2]]
+        for copy in copies:
+            text = " ".join(noise(70) + copy + noise(70))
+            if any(x[0] == d for x in ix.candidates(words_of(text), 0.6)):
+                tried += 1
+                if d not in ix.leaks(text, 0.6, 0.5):
+                    lost.append((d, copy))
+    assert tried > 1000 and not lost
+
+
+def _items():
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table(f"{MID}/benchmark.parquet").to_pylist()
+    return [type("Item", (), r) for r in rows]
