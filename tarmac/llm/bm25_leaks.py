@@ -14,7 +14,7 @@ The overlap of a part is the share of its word n-grams found in the passage, or
 their order (longest common subsequence) within a stretch of two to three times its length, if that is more: a
 changed word breaks every n-gram of a short part, but takes one word from its order.
 
-Items go to the tasks in blocks of ``max_items`` (bounded, sizes known), with document frequencies
+Items go to the tasks in blocks of ``max_items`` or of a bounded table of maxima (sizes known), with document frequencies
 over all items; the corpus is read once for each block.
 
 Cases: a null text has no words and matches nothing; a null item text is no item, a null item id reads -1; repeated items
@@ -186,7 +186,7 @@ class BlockMaxIndex:
                     if cur[q] < pivot:
                         skip(q, pivot)
 
-    def candidates(self, words: list[str], threshold: float) -> list[tuple[int, int, float, tuple[int, int]]]:
+    def candidates(self, words: list[str], threshold: float, run_bytes: int = 1 << 24) -> list[tuple[int, int, float, tuple[int, int]]]:
         """(item, passage, score, word range) of the passages of a text that some item's bound lets through."""
         get, none = self.terms.get, len(self.terms)
         ids = np.array([get(w, none) for w in words], np.int64)
@@ -198,12 +198,28 @@ class BlockMaxIndex:
         keys = np.unique(places // step * (none + 1) + ids[places])
         half, term = keys // (none + 1), keys % (none + 1)
         starts = np.flatnonzero(np.diff(half, prepend=-1))
-        sums = np.zeros((int(half[-1]) + 2, self.maxima.shape[1]), np.float32)
-        sums[half[starts]] = np.add.reduceat(self.maxima[term], starts, axis=0)
-        pairs = sums[:-1] + sums[1:]
-        out = []
+        ends = np.append(starts[1:], len(half))
         last = max(0, (len(words) - 1) // step - 1)
-        for p in np.flatnonzero((pairs >= threshold - 1e-4).any(1)).tolist():
+        width = self.maxima.shape[1]
+        passages: list[int] = []
+        before, k = (-2, np.zeros(width, np.float32)), 0
+        while k < len(starts):
+            # A run of halves whose rows of the table take about run_bytes; at least one half.
+            to = max(k + 1, int(np.searchsorted(ends, starts[k] + run_bytes // (4 * width), "right")))
+            sums = np.add.reduceat(self.maxima[term[starts[k]:ends[to - 1]]], starts[k:to] - starts[k], axis=0)
+            for h, s in zip(half[starts[k:to]].tolist(), sums):
+                if before[0] == h - 1:
+                    if (before[1] + s >= threshold - 1e-4).any():
+                        passages.append(h - 1)
+                else:
+                    # A gap of halves without terms: the passages at its ends hold one half's terms.
+                    passages += [before[0]] * bool(before[0] >= 0 and (before[1] >= threshold - 1e-4).any())
+                    passages += [h - 1] * bool(h and (s >= threshold - 1e-4).any())
+                before = h, s
+            before, k = (before[0], before[1].copy()), to
+        passages += [before[0]] * bool((before[1] >= threshold - 1e-4).any())
+        out = []
+        for p in passages:
             if p > last:
                 continue
             lo, hi = p * step, min((p + 2) * step, len(words))
@@ -231,8 +247,15 @@ class BlockMaxIndex:
         return found
 
 
-def item_indexes(benchmark: DataFrame, max_items: int = 20_000) -> list[BlockMaxIndex]:
-    """An index for each block of about ``max_items`` items; document frequencies are over all items."""
+def items_for(max_bytes: int, n_terms: int, mean_len: float, block: int = 8) -> int:
+    """Items an index may hold so that its table of terms x blocks takes about ``max_bytes``; at least one block's."""
+    # x items have at most n_terms terms, and at most x * mean_len.
+    return max(block, int(max(max_bytes / 4 * block / n_terms, math.sqrt(max_bytes / 4 * block / mean_len))))
+
+
+def item_indexes(benchmark: DataFrame, max_items: int = 20_000, max_bytes: int = 1 << 27) -> list[BlockMaxIndex]:
+    """An index for each block of about ``max_items`` items, fewer if its maxima would take over ``max_bytes``;
+    document frequencies are over all items."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(
         F.col("text").rlike(r"[\p{L}\p{N}]"))
 
@@ -245,6 +268,8 @@ def item_indexes(benchmark: DataFrame, max_items: int = 20_000) -> list[BlockMax
     bags = items.select("text").mapInArrow(terms, "n long, terms array<string>").where("n > 0")
     n_items, mean_len = bags.agg(F.count(F.lit(1)), F.avg("n")).first()
     df_all = bags.select(F.explode("terms").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    if n_items:
+        max_items = min(max_items, items_for(max_bytes, df_all.count(), mean_len))
     n_blocks, out = -(-n_items // max_items), []
     for k in range(n_blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)

@@ -1,9 +1,10 @@
 import collections
 import random
+import tracemalloc
 
 from helpers import EDGE, MID, edge_docs, empty_docs
 from tarmac.llm import queries
-from tarmac.llm.bm25_leaks import BlockMaxIndex, find_leaks, in_order, question_answer, without_leaks, words_of
+from tarmac.llm.bm25_leaks import BlockMaxIndex, find_leaks, in_order, items_for, question_answer, without_leaks, words_of
 
 
 def _index(items, block=8):
@@ -128,3 +129,23 @@ def _items():
 
     rows = pq.read_table(f"{MID}/benchmark.parquet").to_pylist()
     return [type("Item", (), r) for r in rows]
+
+
+def test_long_texts_and_large_benchmarks_take_bounded_memory():
+    rng = random.Random(6)
+    vocab = [f"v{i}" for i in range(4000)]
+    items = [(i, " ".join(rng.choices(vocab, k=20))) for i in range(4000)]
+    ix = _index(items)
+    words = [w for _ in range(4) for _, t in rng.sample(items, 500) for w in words_of(t)]
+    words[9000:9000] = ["zz"] * 1000
+    step = max(64, ix.longest)
+    want = {(d, p) for p in range(max(1, -(-len(words) // step) - 1))
+            for d, s in _scores(ix, words[p * step:(p + 2) * step]).items() if s >= 0.6}
+    assert {x[:2] for x in ix.candidates(words, 0.6)} == {x[:2] for x in ix.candidates(words, 0.6, run_bytes=1)} == want
+    tracemalloc.start()
+    ix.candidates(words, 0.6, run_bytes=1 << 20)
+    # The rows of all halves at once are 40,000 x 500 x 4 bytes.
+    assert tracemalloc.get_traced_memory()[1] < 3e7
+    tracemalloc.stop()
+    assert items_for(1 << 27, 50_000, 30) * 50_000 // 8 * 4 <= 1 << 27
+    assert items_for(1 << 27, 10 ** 9, 30) ** 2 * 30 // 8 * 4 <= 1 << 27
