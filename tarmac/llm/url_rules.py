@@ -59,7 +59,7 @@ def mine_rules(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", lab
 
     A page is bad when its label says low quality or toxic.
     """
-    marked = labels.where(F.col(label_id).isNotNull() & F.col("quality").isNotNull()).groupBy(label_id).agg(
+    marked = labels.where(F.col(label_id).isNotNull() & F.coalesce("quality", "toxic").isNotNull()).groupBy(label_id).agg(
         F.max((F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)).alias("bad"))
     known = pages.select(F.col(id_col).alias(label_id), tokens_of(host_of(F.col("url")), path_of(F.col("url"))).alias("t")) \
         .join(marked, label_id).select(F.when(F.col("bad"), F.concat("t", F.array(F.lit(BAD)))).otherwise(F.col("t")).alias("items"))
@@ -68,7 +68,8 @@ def mine_rules(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", lab
     empty = spark.createDataFrame([], "rule_id long, tokens array<string>, support long, confidence double")
     if not n:
         return empty
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, min_support / n), minConfidence=min_confidence).fit(known)
+    # Spark takes ceil(minSupport * n) pages: half a page less, so that rounding never asks for one more.
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (min_support - 0.5) / n), minConfidence=min_confidence).fit(known)
     rules = model.associationRules.where(F.element_at("consequent", 1) == BAD).select(
         F.array_sort("antecedent").alias("tokens"), F.round(F.col("support") * n).cast("long").alias("support"), "confidence")
     rules = written(rules, "url-rules")

@@ -79,3 +79,12 @@ def test_mined_rules_equal_brute_force(spark):
 def test_native_plan(spark):
     plan = queries.op3_url_rules(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan) and BAD
+
+
+def test_toxic_without_quality_and_exact_support(spark):
+    # Of 147 pages 20 are bad, all by toxic alone; 20 / 147 * 147 is above 20 in floating point.
+    pages = _pages(spark, [f"http://{'spam' if i < 20 else 'good'}.test/{i}" for i in range(147)])
+    labels = _labels(spark, [(i, None, 1) if i < 20 else (i, 1, None) for i in range(147)])
+    rules = mine_rules(pages, labels, min_support=20)
+    assert [(r.tokens, r.support) for r in rules.collect()] == [(["h:spam"], 20)]
+    assert mine_rules(pages, labels, min_support=21).collect() == []
