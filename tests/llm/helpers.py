@@ -22,7 +22,7 @@ def empty_docs(spark):
 
 def duck_rows(sql, sf_dir):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
