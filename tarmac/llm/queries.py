@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarmac.llm import bm25_leaks, jaccard_tiles, license_dice, line_crf, pii_crf, piece_fst, pu_toxicity, resample, url_rules, warc, wavelet
+from tarmac.llm import bm25_leaks, jaccard_tiles, license_dice, line_crf, pii_crf, piece_fst, prefix_trie, pu_toxicity, resample, url_rules, warc, wavelet
 from tarmac.llm.common import table
 
 
@@ -60,6 +60,10 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.forked_trie(table(spark, sf_dir, "conversations"))
+
+
 SQL_OP5 = """
 WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS d, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
 t AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d) END AS top FROM p)
@@ -103,6 +107,7 @@ QUERIES = {
     "op9_nnpu_toxicity": op9_nnpu_toxicity,
     "op10_jaccard_tiles": op10_jaccard_tiles,
     "op11_importance": op11_importance,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 SQL = {
@@ -110,4 +115,5 @@ SQL = {
     "op6_license_dice": license_dice.duckdb_sql(),
     "op10_jaccard_tiles": SQL_OP10,
     "op11_importance": resample.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
 }
