@@ -35,15 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.llm.common import small, written
-from tarmac.llm.components import components
+from tarmac.llm.components import BROADCAST_IDS, components, document_components
 
 #: Counters of the shingle sketch; 32 bits each.
 SKETCH = 1 << 17
 #: Classes in a block of a tile.
 BLOCK = 512
 MIN_BITS, MAX_BITS = 256, 1 << 16
-#: At most so many ids (of classes, documents or tiles; 24 bytes each or less) are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -422,14 +420,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             first_round = False
         if rows.isEmpty():
             break
-    if roots is None:
-        classes = first_doc.select("sid", F.col("id").alias("component_id"))
-    else:
-        rooted = first_doc.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-        classes = rooted.join(least, "root").select("sid", "component_id")
-    return every.join(classes, "sid", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return document_components(every, first_doc, roots).withColumnsRenamed({"id": id_col, "n": "n_shingles"})
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarmac.llm import bm25_leaks, jaccard_tiles, license_dice, line_crf, pii_crf, piece_fst, prefix_trie, pu_toxicity, resample, url_rules, warc, wavelet
+from tarmac.llm import bm25_leaks, jaccard_tiles, license_dice, line_crf, lsh_forest, pii_crf, piece_fst, prefix_trie, pu_toxicity, resample, url_rules, warc, wavelet
 from tarmac.llm.common import table
 
 
@@ -60,6 +60,10 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.forked_trie(table(spark, sf_dir, "conversations"))
 
@@ -73,25 +77,27 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest,
 FROM t
 """
 
-SQL_OP10 = r"""
+def jaccard_sql(k: int, percent: int, more: str = "") -> str:
+    """The components of all documents by joining on every shingle (``k`` words, ``percent`` of a hundred)."""
+    return rf"""
 WITH RECURSIVE w AS (
   SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
   FROM documents),
 sh AS (
-  SELECT r, doc_id, list_sort(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END) AS s
+  SELECT r, doc_id, list_sort(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {k} THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - {k} + 2), lambda i: array_to_string(ws[i:i + {k} - 1], ' '))) END) AS s
   FROM w),
 keyed AS (SELECT r, doc_id, s, md5(array_to_string(s, chr(10))) AS k FROM sh),
 class AS (SELECT k, min(doc_id) AS id, any_value(s) AS s, any_value(len(s)) AS n FROM keyed WHERE len(s) > 0 GROUP BY k),
 gram AS (SELECT id, n, unnest(s) AS g FROM class),
 pair AS (SELECT a.id AS u, b.id AS v, any_value(a.n) AS nu, any_value(b.n) AS nv, count(*) AS c
-         FROM gram a JOIN gram b ON a.g = b.g AND a.id < b.id AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n GROUP BY a.id, b.id),
-link AS (SELECT u, v FROM pair WHERE 100 * c >= 80 * (nu + nv - c)),
+         FROM gram a JOIN gram b ON a.g = b.g AND a.id < b.id AND 100 * a.n >= {percent} * b.n AND 100 * b.n >= {percent} * a.n GROUP BY a.id, b.id),
+link AS (SELECT u, v FROM pair WHERE 100 * c >= {percent} * (nu + nv - c)),
 both_ways AS (SELECT u, v FROM link UNION ALL SELECT v, u FROM link),
 reach(a, b) AS (SELECT id, id FROM class UNION SELECT reach.a, l.v FROM reach JOIN both_ways l ON reach.b = l.u),
 comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
-SELECT doc_id, CAST(len(keyed.s) AS BIGINT) AS n_shingles, coalesce(comp.c, doc_id) AS component_id
+SELECT doc_id, CAST(len(keyed.s) AS BIGINT) AS n_shingles, coalesce(comp.c, doc_id) AS component_id{more}
 FROM keyed LEFT JOIN class ON class.k = keyed.k AND len(keyed.s) > 0 LEFT JOIN comp ON comp.a = class.id
 """
 
@@ -107,13 +113,15 @@ QUERIES = {
     "op9_nnpu_toxicity": op9_nnpu_toxicity,
     "op10_jaccard_tiles": op10_jaccard_tiles,
     "op11_importance": op11_importance,
+    "op12_lsh_forest": op12_lsh_forest,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
 SQL = {
     "op5_warc": SQL_OP5,
     "op6_license_dice": license_dice.duckdb_sql(),
-    "op10_jaccard_tiles": SQL_OP10,
+    "op10_jaccard_tiles": jaccard_sql(5, 80),
     "op11_importance": resample.SQL,
+    "op12_lsh_forest": jaccard_sql(3, 85, ", doc_id = coalesce(comp.c, doc_id) AS kept"),
     "op13_prefix_trie": prefix_trie.SQL,
 }
