@@ -1,6 +1,6 @@
 """Connected components of a link table, without gathering it anywhere.
 
-Links are contracted within each partition first.  Then large-star and small-star steps alternate until the links no longer
+Links are dealt out in tasks of ``TASK_LINKS`` and contracted within each; few links are done then.  Else large-star and small-star steps alternate until the links no longer
 change.  A node's smallest neighbour is a partial minimum; it is written and joined back to the node's links, by broadcast while
 there are few nodes (counted), else by a join of two written tables, which the skew join splits where a hub has a
 third of all links.  Each round's links are written to the shared folder.
@@ -22,26 +22,30 @@ from tarmac.llm.common import written
 BROADCAST_IDS = 500_000
 
 
+#: Links that a task contracts by itself.
+TASK_LINKS = 200_000
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Within one batch, links of each node to the smallest node it reaches there."""
-    for b in batches:
-        parent: dict[int, int] = {}
+    """Within one task, links of each node to the smallest node it reaches there."""
+    parent: dict[int, int] = {}
 
-        def find(x: int) -> int:
-            root = x
-            while parent.setdefault(root, root) != root:
-                root = parent[root]
-            while parent[x] != root:
-                parent[x], x = root, parent[x]
-            return root
+    def find(x: int) -> int:
+        root = x
+        while parent.setdefault(root, root) != root:
+            root = parent[root]
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
 
+    for b in batches:
         for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist()):
             x, y = find(u), find(v)
             if x != y:
                 parent[max(x, y)] = min(x, y)
-        out = [(x, find(x)) for x in parent]
-        out = [(x, r) for x, r in out if x != r]
-        yield pa.record_batch({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([r for _, r in out], pa.int64())})
+    out = [(x, find(x)) for x in parent]
+    out = [(x, r) for x, r in out if x != r]
+    yield pa.record_batch({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([r for _, r in out], pa.int64())})
 
 
 def few(df: DataFrame) -> DataFrame:
@@ -51,9 +55,11 @@ def few(df: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``links`` (columns ``u, v``, longs); the root is the smallest node."""
-    edges = written(links.select("u", "v").where("u <> v").mapInArrow(_forest, "u long, v long"), "cc-links")
+    links = links.select("u", "v").where("u <> v")
+    tasks = 1 + links.count() // TASK_LINKS
+    edges = written(links.repartition(tasks).mapInArrow(_forest, "u long, v long"), "cc-links")
     before = None
-    while True:
+    while tasks > 1:  # one task's links are contracted already
         # Large star: every neighbour above a node is tied to the smallest one around the node.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "cc-least")

@@ -14,8 +14,9 @@ Classes of similarity ``percent`` or more are found exactly:
   shingles that differ, so they bound the overlap from above; pairs below the threshold are done.
 * Exact.  What is left is intersected as sorted arrays, made again from the texts of the classes in question.
 
-Rounds keep large groups of near copies from being compared pair by pair.  The first round takes neighbouring blocks only
-and the likeliest pairs of each tile; its links are joined to components.  The second adds the tiles of
+Rounds keep large groups of near copies from being compared pair by pair.  The first takes every class in its largest
+tile only, neighbouring blocks and the likeliest pairs; its links are joined to components.  Tiles within one component are
+dropped then, on narrow rows, before bitmaps are joined.  The second round takes all other tiles and neighbouring blocks, the third adds the
 blocks further apart.  A tile with pairs left goes on with the next, sixteen times larger slice (in order of the
 bound) while it holds classes of different components; pairs within a component are left out.  Nothing is capped: every pair that the bitmaps let through is intersected or already connected.
 
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.llm.common import small, written
-from tarmac.llm.components import BROADCAST_IDS, components, document_components
+from tarmac.llm.components import BROADCAST_IDS, components, document_components, few
 
 #: Counters of the shingle sketch; 32 bits each.
 SKETCH = 1 << 17
@@ -274,7 +275,8 @@ def tile_members(keyed: DataFrame, percent: int) -> DataFrame:
 def candidate_pairs(tiles: DataFrame, percent: int) -> DataFrame:
     """``a, b`` of this round's pairs; rows with ``more`` name a tile (``tile, i, j, turn``) with pairs left.
 
-    ``tiles`` has ``tile, i, j, turn, block, sid, n, bits, comp``; ``turn`` counts the slices already taken.
+    ``tiles`` has ``tile, i, j, turn, block, sid, n, bits, comp``; ``turn`` counts the slices already taken (-1: two pairs a row at
+    most, and the tile comes again).
     """
     names = ["a", "b", "more", "tile", "i", "j", "turn"]
 
@@ -307,8 +309,8 @@ def candidate_pairs(tiles: DataFrame, percent: int) -> DataFrame:
                 x, y, bound = x[keep], y[keep], bound[keep]
             rank = np.lexsort((sid[right[y]], sid[left[x]], -bound))
             took = int(turn[rows[0]])
-            done, upto = (len(rows) * 4 * 16 ** (took - 1) if took else 0), len(rows) * 4 * 16 ** took
-            if len(rank) > upto:
+            done, upto = (len(rows) * 4 * 16 ** (took - 1) if took > 0 else 0), len(rows) * (4 * 16 ** took if took >= 0 else 2)
+            if len(rank) > upto and took >= 0:
                 left_over.append(rows[0])
             rank = rank[done:upto]
             x, y = left[x[rank]], right[y[rank]]
@@ -380,24 +382,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     counts = np.minimum(sketch_of(signs), (1 << 20) - 1).astype(np.uint64)
     tiles = tile_members(prefix_rows(docs, spark.sparkContext.broadcast(counts), id_col, text_col, k, percent), percent)
     first_doc = every.where("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("id"))
-    bits = signs.where("bits IS NOT NULL").select("sid", "bits").dropDuplicates(["sid"])
-    members = written(tiles.join(bits, "sid"), "jt-members")
-    # The tiles of blocks beside each other; those further apart follow in the second round.
+    bits = written(signs.where("bits IS NOT NULL").select("sid", "bits").dropDuplicates(["sid"]), "jt-bits")
     pair = [F.least("block", "peer").alias("i"), F.greatest("block", "peer").alias("j")]
-    near = members.withColumn("peer", F.explode(F.sequence(F.greatest("low", F.col("block") - 1), F.least("high", F.col("block") + 1))))
-    far = members.where("low < block - 1 OR high > block + 1").withColumn("peer", F.explode(F.sequence("low", "high"))) \
-        .where("abs(peer - block) > 1")
-    rows = near.select("*", *pair, F.lit(0).alias("turn")).drop("peer")
+
+    def near(rows: DataFrame, turn: int) -> DataFrame:
+        """Tiles of blocks beside each other."""
+        return rows.withColumn("peer", F.explode(F.sequence(F.greatest("low", F.col("block") - 1), F.least("high", F.col("block") + 1)))) \
+            .select("*", *pair, F.lit(turn).alias("turn")).drop("peer")
+
+    def with_components(rows: DataFrame) -> DataFrame:
+        if roots is None:
+            return rows.withColumn("comp", F.col("sid"))
+        return rows.join(few(roots.withColumnRenamed("node", "sid")), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
+
     links = tried = roots = sets = None
-    first_round = True
+    # Every class in its largest tile.
+    sizes = few(written(tiles.groupBy("tile").agg(F.count(F.lit(1)).alias("rows")), "jt-sizes"))
+    largest = tiles.select("tile", "sid").join(sizes, "tile").groupBy("sid").agg(F.max(F.struct("rows", "tile")).alias("t")).select("sid", "t.tile")
+    rows = near(tiles.join(largest, ["sid", "tile"]).join(bits, "sid"), -1)
+    members, turn = None, -1
     while True:
-        if roots is None:
-            now = rows.withColumn("comp", F.col("sid"))
-        else:
-            to_root = roots.withColumnRenamed("node", "sid")
-            now = rows.join(F.broadcast(to_root) if roots.count() <= BROADCAST_IDS else to_root, "sid", "left") \
-                .withColumn("comp", F.coalesce("root", "sid")).drop("root")
-        found = candidate_pairs(now.select("tile", "i", "j", "turn", "block", "sid", "n", "bits", "comp"), percent)
+        found = candidate_pairs(with_components(rows).select("tile", "i", "j", "turn", "block", "sid", "n", "bits", "comp"), percent)
         pairs = found.where("NOT more").select("a", "b")
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -413,11 +418,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             if not fresh.isEmpty():
                 links = fresh if links is None else links.unionByName(fresh)
                 roots = components(links)
-        left = found.where("more").select("tile", "i", "j", "turn")
-        rows = members.join(F.broadcast(left) if left.count() <= BROADCAST_IDS else left, "tile").where("block = i OR block = j")
-        if first_round:
-            rows = rows.unionByName(far.select("*", *pair, F.lit(0).alias("turn")).drop("peer"))
-            first_round = False
+        turn += 1
+        if turn == 0:
+            live = with_components(tiles.select("tile", "sid")).groupBy("tile").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("tile")
+            members = written(tiles.join(few(written(live, "jt-live")), "tile", "left_semi").join(bits, "sid"), "jt-members")
+            rows = near(members, 0)
+        else:
+            left = found.where("more").select("tile", "i", "j", "turn")
+            rows = members.join(few(left), "tile").where("block = i OR block = j")
+            if turn == 1:  # the blocks further apart
+                rows = rows.unionByName(members.where("low < block - 1 OR high > block + 1").withColumn("peer", F.explode(F.sequence("low", "high")))
+                                        .where("abs(peer - block) > 1").select("*", *pair, F.lit(0).alias("turn")).drop("peer"))
         if rows.isEmpty():
             break
     return document_components(every, first_doc, roots).withColumnsRenamed({"id": id_col, "n": "n_shingles"})

@@ -11,7 +11,8 @@ in 3,000 trees).  Every other candidate is intersected exactly on the full sets.
 Rounds take more trees and a longer reach each; links are joined to components after each, and pairs within a component are no longer
 candidates, so a group of n near copies gives a multiple of n pairs.  Reach is no cap: the regions (rows with equal
 first ``SHALLOWEST`` hashes) that are longer than it and hold several components go on with an eight times longer reach until there is none;
-there whole signatures are compared, and pairs that agree in less than 73 of 100 hashes left out (four standard deviations below 85).
+there whole signatures are compared, pairs that agree in less than 76 of 100 hashes left out (three standard deviations below 85), and
+a pair is a candidate only in the first tree where it shares a region.
 Rows are numbered along each order (``runs.running``) and compared in cells of ``CELL`` places, to which the rows before within
 reach are sent too, so neither a cut of the order nor a large region matters.  A pair at the threshold is missed by one tree with a
 probability of 0.28 and by all twelve with 2 in 10 million (test: the exact join of ``jaccard_tiles`` gives the same components).
@@ -41,7 +42,7 @@ ROUNDS = ((1, 2), (3, 4), (8, 16))
 #: Places of an order in a cell.
 CELL = 512
 #: Hashes of 100 that agree at least in a long region.
-ALIKE = 73
+ALIKE = 76
 _RNG = np.random.default_rng(12)
 _A = _RNG.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
@@ -91,6 +92,7 @@ def neighbours(rows: DataFrame, reach: int) -> DataFrame:
             tree, sid, comp, place, cell = (b.column(c).to_numpy() for c in ("tree", "sid", "comp", "place", "cell"))
             h = np.frombuffer(b"".join(b.column("hashes").to_pylist()), ">u4").reshape(b.num_rows, DEPTH)
             sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), ">u4").reshape(b.num_rows, -1) if whole else None
+            heads = sig.reshape(b.num_rows, TREES, DEPTH)[:, :, :SHALLOWEST] if whole else None
             old, at_home = 0 if held is None else held.num_rows, place // CELL == cell
             left, right, long = [], [], []
             for w in range(1, min(reach + 1, b.num_rows - 1) + 1):
@@ -102,6 +104,7 @@ def neighbours(rows: DataFrame, reach: int) -> DataFrame:
                     break
                 i = i[comp[i] != comp[i + w]]
                 if whole:
+                    i = i[~((heads[i] == heads[i + w]).all(2) & (np.arange(TREES) < tree[i][:, None])).any(1)]
                     i = np.concatenate([k[100 * (sig[k] == sig[k + w]).sum(1) >= ALIKE * sig.shape[1]] for k in np.array_split(i, 1 + len(i) // 1000)])
                 else:
                     i = i[2 * (h[i] == h[i + w]).sum(1) >= DEPTH]
