@@ -10,7 +10,7 @@ in 3,000 trees).  Every other candidate is intersected exactly on the full sets.
 
 Rounds take more trees and a longer reach each; links are joined to components after each, and pairs within a component are no longer
 candidates, so a group of n near copies gives a multiple of n pairs.  Reach is no cap: the regions (rows with equal
-first ``SHALLOWEST`` hashes) that are longer than it and hold several components go on with an eight times longer reach until there is none;
+first ``SHALLOWEST`` hashes) that are longer than it and hold several components go on with a 64 times longer reach until there is none;
 there whole signatures are compared, pairs that agree in less than 76 of 100 hashes left out (three standard deviations below 85), and
 a pair is a candidate only in the first tree where it shares a region.
 Rows are numbered along each order (``runs.running``) and compared in cells of ``CELL`` places, to which the rows before within
@@ -77,10 +77,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame
 
 
 def neighbours(rows: DataFrame, reach: int) -> DataFrame:
-    """``a, b``: candidates of every order of ``rows`` (``tree, hashes, sid, comp`` and maybe whole signatures ``sig``).
-
-    Rows with ``region`` (the first hashes) and ``tree`` instead name regions that are longer than ``reach``.
-    """
+    """``a, b``: candidates of every order of ``rows`` (``tree, hashes, sid, comp`` and maybe whole signatures ``sig``)."""
     whole = "sig" in rows.columns
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,14 +91,11 @@ def neighbours(rows: DataFrame, reach: int) -> DataFrame:
             sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), ">u4").reshape(b.num_rows, -1) if whole else None
             heads = sig.reshape(b.num_rows, TREES, DEPTH)[:, :, :SHALLOWEST] if whole else None
             old, at_home = 0 if held is None else held.num_rows, place // CELL == cell
-            left, right, long = [], [], []
-            for w in range(1, min(reach + 1, b.num_rows - 1) + 1):
+            left, right = [], []
+            for w in range(1, min(reach, b.num_rows - 1) + 1):
                 i = np.arange(max(0, old - w), b.num_rows - w)  # pairs with a new row
                 i = i[(h[i, 0] == h[i + w, 0]) & (tree[i] == tree[i + w]) & (cell[i] == cell[i + w]) & at_home[i + w]]
                 i = i[(h[i, :SHALLOWEST] == h[i + w, :SHALLOWEST]).all(1)]
-                if w > reach:
-                    long = i
-                    break
                 i = i[comp[i] != comp[i + w]]
                 if whole:
                     i = i[~((heads[i] == heads[i + w]).all(2) & (np.arange(TREES) < tree[i][:, None])).any(1)]
@@ -110,23 +104,17 @@ def neighbours(rows: DataFrame, reach: int) -> DataFrame:
                     i = i[2 * (h[i] == h[i + w]).sum(1) >= DEPTH]
                 left.append(sid[i])
                 right.append(sid[i + w])
-            held = b.slice(max(0, b.num_rows - reach - 1))
+            held = b.slice(max(0, b.num_rows - reach))
             if left:
                 x, y = np.concatenate(left), np.concatenate(right)
-                none = pa.nulls(len(x), pa.int32()), pa.nulls(len(x), pa.binary())
-                yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), *none], ["a", "b", "tree", "region"])
-            if len(long):
-                found = sorted({(int(tree[i]), h[i, :SHALLOWEST].tobytes()) for i in long})
-                none = pa.nulls(len(found), pa.int64())
-                yield pa.record_batch([none, none, pa.array([t for t, _ in found], pa.int32()), pa.array([r for _, r in found], pa.binary())],
-                                      ["a", "b", "tree", "region"])
+                yield pa.record_batch({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
 
     placed = running(rows.withColumn("order", F.col("tree").cast("long")), "order", ["hashes", "sid"]).drop("order")
-    cells = placed.withColumn("cell", F.explode(F.expr(f"sequence(place div {CELL}, (place + {reach + 1}) div {CELL})")))
+    cells = placed.withColumn("cell", F.explode(F.expr(f"sequence(place div {CELL}, (place + {reach}) div {CELL})")))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = cells.repartition(parts, "tree", "cell").sortWithinPartitions("tree", "cell", "place").mapInArrow(
-        walk, "a long, b long, tree int, region binary")
-    return written(found.distinct(), "lf-neighbours")
+        walk, "a long, b long")
+    return found.distinct()
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 85) -> DataFrame:
@@ -136,22 +124,23 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first_doc = written(every.where("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("id")), "lf-classes")
     classes = signs.where("sig IS NOT NULL").select("sid", "sig").dropDuplicates(["sid"])
     roots = tried = sets = None
-    rounds, done, long = list(ROUNDS), 0, None
+
+    def with_components(rows: DataFrame) -> DataFrame:
+        if roots is None:
+            return rows.withColumn("comp", F.col("sid"))
+        return rows.join(few(roots.withColumnRenamed("node", "sid")), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
+
+    def in_trees(trees: range, *more: str) -> DataFrame:
+        own = [F.struct(F.lit(t).alias("tree"), F.substring("sig", 4 * DEPTH * t + 1, 4 * DEPTH).alias("hashes")) for t in trees]
+        return with_components(classes.select("sid", *more, F.explode(F.array(*own)).alias("o")).select("sid", *more, "o.*"))
+
+    rounds, done, region = list(ROUNDS), 0, F.substring("hashes", 1, 4 * SHALLOWEST).alias("region")
     while rounds:
         trees, reach = rounds.pop(0)
-        own = [F.struct(F.lit(t).alias("tree"), F.substring("sig", 4 * DEPTH * t + 1, 4 * DEPTH).alias("hashes")) for t in range(done, done + trees)]
-        if trees:
-            done += trees
-            rows = classes.select("sid", F.explode(F.array(*own)).alias("o")).select("sid", "o.*")
-            rows = rows if roots is None else rows.join(few(roots.withColumnRenamed("node", "sid")), "sid", "left")
-        else:
-            rows = open_rows.drop("region")
-        rows = rows.withColumn("comp", F.coalesce("root", "sid") if "root" in rows.columns else F.col("sid")).drop("root")
-        found = neighbours(rows, reach)
-        pairs = found.where("region IS NULL").select("a", "b")
+        rows = in_trees(range(done, done + trees)) if trees else open_rows
+        done += trees
+        pairs = neighbours(rows, reach)
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "lf-pairs")
-        more = found.where("region IS NOT NULL").select("tree", "region")
-        long = more if long is None or not trees else long.unionByName(more)
         if not pairs.isEmpty():
             wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
             if sets is not None:
@@ -163,16 +152,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if not fresh.isEmpty():
                 # The components so far and the new links.
                 roots = components(fresh if roots is None else fresh.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
-        if not rounds and not long.isEmpty():
-            own = [F.struct(F.lit(t).alias("tree"), F.substring("sig", 4 * DEPTH * t + 1, 4 * DEPTH).alias("hashes"),
-                            F.substring("sig", 4 * DEPTH * t + 1, 4 * SHALLOWEST).alias("region")) for t in range(done)]
-            rows = classes.select("sid", "sig", F.explode(F.array(*own)).alias("o")).select("sid", "sig", "o.*").join(few(long), ["tree", "region"], "left_semi")
-            rows = rows.withColumn("root", F.lit(None).cast("long")) if roots is None else rows.join(few(roots.withColumnRenamed("node", "sid")), "sid", "left")
-            several = rows.groupBy("tree", "region").agg(F.min(F.coalesce("root", "sid")).alias("x"), F.max(F.coalesce("root", "sid")).alias("y")) \
-                .where("x < y").select("tree", "region")
-            open_rows = written(rows.join(few(written(several, "lf-regions")), ["tree", "region"], "left_semi"), "lf-open")
-            if not open_rows.isEmpty():
-                rounds.append((0, 8 * reach))
+        if not rounds:
+            every_region = in_trees(range(done)).select("tree", region, "comp").groupBy("tree", "region").agg(
+                F.count(F.lit(1)).alias("rows"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+            still = written(every_region.where((F.col("rows") > reach + 1) & (F.col("x") < F.col("y"))).select("tree", "region"), "lf-regions")
+            if not still.isEmpty():
+                open_rows = written(in_trees(range(done), "sig").select("*", region).join(few(still), ["tree", "region"], "left_semi").drop("region"), "lf-open")
+                rounds.append((0, 64 * reach))
     found = document_components(every, first_doc, roots)
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
                         F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -82,10 +82,8 @@ def test_candidates_are_linear_in_the_rows(spark, monkeypatch):
     monkeypatch.setattr(lsh_forest, "CELL", 8)
     rows = spark.range(500).select(F.lit(0).alias("tree"), F.lit(b"\x01" * 4 * DEPTH).alias("hashes"), F.col("id").alias("sid"), F.col("id").alias("comp"))
     found = neighbours(rows.repartition(4), 3)
-    assert {(r.a, r.b) for r in found.where("region IS NULL").collect()} == {(i, i + w) for w in (1, 2, 3) for i in range(500 - w)}
-    assert [(r.tree, bytes(r.region)) for r in found.where("region IS NOT NULL").collect()] == [(0, b"\x01" * 8)]
-    assert neighbours(rows.withColumn("comp", F.lit(0).cast("long")), 3).where("region IS NULL").count() == 0
-    assert neighbours(rows.limit(4), 3).where("region IS NOT NULL").count() == 0
+    assert {(r.a, r.b) for r in found.collect()} == {(i, i + w) for w in (1, 2, 3) for i in range(500 - w)}
+    assert neighbours(rows.withColumn("comp", F.lit(0).cast("long")), 3).count() == 0
     assert neighbours(rows.limit(0), 3).count() == 0
 
 
