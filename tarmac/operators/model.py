@@ -4,11 +4,12 @@
   numbers fitted on the train split only (route cardinality rules out tree
   bins); numerics are coerced and missing values get a sentinel the trees
   can split off (Spark trees have no missing-value routing).
-* Gradient-boosted trees with log-loss and balanced class weights.  All
-  rounds are trained without Spark's own stop rule (it has no patience); the
-  round kept is the one with the least validation loss, and training ends
-  once ``patience`` rounds brought no better one.  Spark has no L2 leaf term
-  and no AUC per round (D14).
+* Gradient-boosted trees with log-loss and balanced class weights, fitted
+  once to ``max_iter`` rounds.  Spark's own stop rule has no patience, so it
+  is not used: one Arrow-batched pass over the validation rows adds the trees'
+  outputs up, tree by tree, one grouped query gives the exact AUC of every
+  round, and the forest is cut to the trees up to the best round before
+  ``patience`` rounds brought no better one.  Spark has no L2 leaf term (D14).
 * Contributions (H1): decision-path attribution.  The fitted forest has a
   size fixed by its parameters (trees x 2^(depth+1) nodes), so its node
   table is read from the saved model, broadcast once, and an Arrow-batched
@@ -27,7 +28,7 @@ from dataclasses import asdict, dataclass, field, fields
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import SQLTransformer, StringIndexer, TargetEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +38,7 @@ from pyspark.sql import types as T
 from .. import schemas as S
 from ..functions.coerce import to_double
 from ..session import materialize, shared_dir
+from . import metrics as M
 
 MISSING_NUMERIC = -999.0
 
@@ -126,18 +128,46 @@ def fit(train: DataFrame, val: DataFrame | None, cfg: ModelConfig) -> PipelineMo
                         subsamplingRate=cfg.subsampling_rate, cacheNodeIds=cfg.cache_node_ids)
     if val is None:
         return PipelineModel(stages=[idx, enc, plain, asm, gbt.setMaxIter(cfg.max_iter).fit(data)])
-    held = prepare(model_inputs(val, cfg))
-    rounds = min(cfg.max_iter, max(2 * cfg.patience, 20))
-    while True:
-        fitted = gbt.setMaxIter(rounds).fit(data)
-        best, ended = best_round(fitted.evaluateEachIteration(held), cfg.patience)
-        if ended or rounds == cfg.max_iter:
-            break
-        rounds = min(cfg.max_iter, 2 * rounds)
-    # Boosting is deterministic for a seed, so fewer rounds are the first trees of more.
-    if best < rounds:
-        fitted = gbt.setMaxIter(best).fit(data)
-    return PipelineModel(stages=[idx, enc, plain, asm, fitted])
+    fitted = gbt.setMaxIter(cfg.max_iter).fit(data)
+    aucs = round_aucs(round_margins(prepare(model_inputs(val, cfg)), fitted, cfg.label))
+    best, _ = best_round([-r["roc_auc"] if r["roc_auc"] is not None else 0.0 for r in aucs.orderBy("round").collect()], cfg.patience)
+    return PipelineModel(stages=[idx, enc, plain, asm, first_trees(fitted, best)])
+
+
+def round_margins(rows: DataFrame, gbt: GBTClassificationModel, label: str) -> DataFrame:
+    """``label, margins`` of every row: the margin after each round, by one pass over the forest."""
+    bc = rows.sparkSession.sparkContext.broadcast(forest_arrays(gbt))
+
+    @F.pandas_udf("array<double>")
+    def margins(x: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=object)
+        return pd.Series(list(staged_margins(np.vstack(x.to_numpy()), bc.value)))
+
+    return rows.select(F.col(label).alias("label"), margins(vector_to_array("features")).alias("margins"))
+
+
+def round_aucs(rows: DataFrame, label: str = "label", margins: str = "margins") -> DataFrame:
+    """Exact AUC after every round (from 1), ``margins`` an array of a row's margin by round: one grouped ranking of
+    the distinct (round, margin) pairs.  A round has no AUC where one class is missing."""
+    long = rows.select(F.col(label).alias("label"), F.posexplode(margins).alias("_at", "score"))
+    return M.ranking_metrics(long.withColumn("round", (F.col("_at") + 1).cast("long")), group_cols=["round"])
+
+
+def first_trees(gbt: GBTClassificationModel, k: int) -> GBTClassificationModel:
+    """The fitted model cut to its first ``k`` trees: what fitting ``k`` rounds gives, boosting being deterministic for a seed."""
+    if k >= gbt.getNumTrees:
+        return gbt
+    sc, old = SparkSession.active().sparkContext, gbt._java_obj
+    trees = sc._gateway.new_array(sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, k)
+    weights = sc._gateway.new_array(sc._jvm.double, k)
+    every = old.trees()
+    for i, w in enumerate(gbt.treeWeights[:k]):
+        trees[i], weights[i] = every[i], float(w)
+    cut = GBTClassificationModel(sc._jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+        old.uid(), trees, weights, old.numFeatures(), old.numClasses()))
+    cut._resetUid(gbt.uid)
+    return gbt._copyValues(cut)
 
 
 def best_round(losses: list[float], patience: int) -> tuple[int, bool]:
@@ -181,12 +211,12 @@ def load(path: str) -> tuple[PipelineModel, ModelConfig]:
 # H1: decision-path contributions
 # ---------------------------------------------------------------------------
 
-def forest_arrays(model: PipelineModel) -> dict:
+def forest_arrays(model: PipelineModel | GBTClassificationModel) -> dict:
     """Node arrays of the fitted forest, read from its saved form.
 
     Bounded by the model parameters (trees x nodes), not by the data.
     """
-    gbt = model.stages[-1]
+    gbt = model.stages[-1] if isinstance(model, PipelineModel) else model
     spark = SparkSession.active()
     path = f"{shared_dir(spark)}/models/forest-{uuid.uuid4().hex[:12]}"
     gbt.write().overwrite().save(path)
@@ -213,6 +243,26 @@ def forest_arrays(model: PipelineModel) -> dict:
             "w": np.asarray(gbt.treeWeights, dtype=float)}
 
 
+def leaf_nodes(x: np.ndarray, forest: dict, t: int) -> np.ndarray:
+    """The leaf of tree ``t`` that each row of ``x`` ends in."""
+    left, right, feat, thr = (forest[k][t] for k in ("left", "right", "feat", "thr"))
+    cur = np.zeros(len(x), dtype=np.int64)
+    live = np.flatnonzero(left[cur] >= 0)
+    while len(live):
+        node = cur[live]
+        cur[live] = np.where(x[live, feat[node]] <= thr[node], left[node], right[node])
+        live = live[left[cur[live]] >= 0]
+    return cur
+
+
+def staged_margins(x: np.ndarray, forest: dict) -> np.ndarray:
+    """n x trees: the margin of every row after each tree."""
+    out = np.empty((len(x), len(forest["w"])))
+    for t, w in enumerate(forest["w"]):
+        out[:, t] = w * forest["pred"][t][leaf_nodes(x, forest, t)]
+    return np.cumsum(out, axis=1)
+
+
 def path_contributions(x: np.ndarray, forest: dict) -> tuple[np.ndarray, np.ndarray]:
     """(n x f contributions, n base values) in margin units for a batch."""
     n, f = x.shape

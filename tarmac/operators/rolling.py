@@ -1,10 +1,9 @@
 """Leakage-safe trailing delay rates.
 
-Plan shape per spec, as Catalyst builds it:
+Plan shape, as Catalyst builds it:
 
-    base --HashAggregate(all keys, d)--> days, written                    (one scan of the flights)
-    days --partial HashAggregate(K, d)--> Exchange(K, d) --final agg-->   (A1: one row per key & active day)
-         --> Exchange(K) --> Sort(K, day) --> Window(all 3 windows x n, s) (W1, one Window node)
+    base --Expand(6 key sets)--> partial HashAggregate(set, K, d) --> Exchange --> final agg, written by set   (A1: one scan of the flights)
+    days of a set --> Exchange(K) --> Sort(K, day) --> Window(all 3 windows x n, s) (W1, one Window node)
          --> Project(smoothing)                                          (A3)
 
 The window never sees raw flights: after A1 a key holds at most one row per
@@ -39,13 +38,16 @@ def sanitize_keys(df: DataFrame) -> DataFrame:
 def global_rate(rows: DataFrame, scope: str = "all") -> Column:
     """Mean label as a literal Column.
 
-    ``scope="all"`` averages every split (the reference's behaviour, D11);
-    ``"train"`` averages the train split only (leak-free).  One aggregate job
+    ``rows`` are flights, or the daily counts of one key set (``scope="all"``).  ``scope="all"`` averages every split (the
+    reference's behaviour, D11); ``"train"`` averages the train split only (leak-free).  One aggregate job
     yields one number, which is inlined into every expression that uses it
     (a scalar subquery would be re-planned at each of its 18+ uses).
     """
     src = rows.where(F.col("split") == "train") if scope == "train" else rows
-    delayed, labelled = _collapsed(src).agg(F.sum("n_delayed"), F.sum("n_labelled")).first()
+    if "labelled" in src.columns:
+        delayed, labelled = src.agg(F.sum("s"), F.sum("labelled")).first()
+    else:
+        delayed, labelled = src.agg(F.sum(F.col(LABEL).cast("long")), F.count(LABEL)).first()
     return F.lit(delayed / labelled if labelled else None).cast("double")
 
 
@@ -54,24 +56,30 @@ def smoothed_rate(s: Column, n: Column, g: Column, alpha: float = ALPHA) -> Colu
     return (s.cast("double") + F.lit(alpha) * g) / (n.cast("double") + F.lit(alpha))
 
 
-def collapse(base: DataFrame) -> DataFrame:
-    """One row per day and all key columns: ``n_flights``, ``n_labelled``, ``n_delayed``.
+def _counts() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"), F.sum(F.col(LABEL).cast("long")).alias("s"), F.count(LABEL).alias("labelled")]
 
-    The only aggregate over raw flights: every spec's daily counts and the global rate roll up from it.
-    """
-    keys = [c for c in (*STRING_KEYS, "CRS_DEP_HOUR", "flight_date", "split") if c in base.columns]
-    return base.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_flights"), F.count(LABEL).alias("n_labelled"), F.sum(F.col(LABEL).cast("long")).alias("n_delayed"))
 
+def daily_counts(rows: DataFrame, keys) -> DataFrame:
+    """One row per (keys, flight_date): ``n`` flights, ``s`` delayed, ``labelled`` (A1)."""
+    return rows.groupBy(*keys, "flight_date").agg(*_counts())
 
-def _collapsed(rows: DataFrame) -> DataFrame:
-    """Collapsed rows as they are, raw flights collapsed."""
-    return rows if "n_flights" in rows.columns else collapse(rows)
 
+def daily_tables(base: DataFrame, specs=SPECS, materialize_table: bool = True) -> dict[str, DataFrame]:
+    """The daily counts of every spec by one GROUPING SETS aggregate over (key set, day).
 
-def daily_counts(rows: DataFrame, keys) -> DataFrame:
-    """One row per (keys, flight_date): ``n`` flights, ``s`` delayed (A1)."""
-    return _collapsed(rows).groupBy(*keys, "flight_date").agg(F.sum("n_flights").alias("n"), F.sum("n_delayed").alias("s"))
+    The flights are scanned once.  Each task keeps a partial row per key set, key and day, so what is
+    shuffled is bounded by keys x days of a task, not by its flights.  The result is written with the number of its
+    key set as partition, and each spec reads its own part.
+    """
+    cols = list(dict.fromkeys(k for s in specs for k in s.keys))
+    sets = [[*(F.col(k) for k in s.keys), F.col("flight_date")] for s in specs]
+    grouped = base.groupingSets(sets, *cols, "flight_date").agg(*_counts(), F.grouping_id().alias("_set"))
+    if materialize_table:
+        grouped = materialize(grouped, "days", partition_by="_set")
+    # A bit of grouping_id is 1 where the column is not of the set; the day is of all sets and the last bit.
+    number = {s.name: sum(2 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in s.keys) for s in specs}
+    return {s.name: grouped.where(F.col("_set") == number[s.name]).select(*s.keys, "flight_date", "n", "s", "labelled") for s in specs}
 
 
 def trailing_sums(daily: DataFrame, keys, windows=WINDOWS) -> DataFrame:
@@ -102,10 +110,10 @@ def rolling_features_for_spec(rows: DataFrame, spec: AggSpec, g: Column,
     """Daily feature table of one spec: keys, flight_date, then per window
     ``{spec}_freq_{w}d`` and ``{spec}_delay_rate_{w}d`` (W2).
 
-    Values stay attached to their own (keys, date) row (D1).
+    ``rows`` are flights or the spec's daily counts.  Values stay attached to their own (keys, date) row (D1).
     """
     keys = list(spec.keys)
-    rolled = trailing_sums(daily_counts(rows, keys), keys, windows)
+    rolled = trailing_sums(rows if "labelled" in rows.columns else daily_counts(rows, keys), keys, windows)
     out = [*keys, "flight_date"]
     for w in windows:
         n, s = F.col(f"n_{w}d"), F.col(f"s_{w}d")
@@ -128,42 +136,53 @@ def join_rolling(df: DataFrame, feats: DataFrame, spec: AggSpec, g: Column,
     return out.withColumns(fill)
 
 
+def daily_features(base: DataFrame, specs=SPECS, windows=WINDOWS, alpha: float = ALPHA, rate_scope: str = "all",
+                   materialize_tables: bool = True) -> tuple[dict[str, tuple[DataFrame, int]], Column]:
+    """The daily feature table of every spec with its stored size, and the global rate.
+
+    Written, these tables are also the own-mode lookup tables: a (date, keys) of the store has the values of this table.
+    """
+    base = sanitize_keys(base)
+    days = daily_tables(base, specs, materialize_tables)
+    g = global_rate(base, rate_scope) if rate_scope == "train" else global_rate(days[specs[0].name])
+    feats = {spec.name: rolling_features_for_spec(days[spec.name], spec, g, windows, alpha) for spec in specs}
+    if materialize_tables:
+        return materialize_family(feats, {s.name: [*s.keys, "flight_date"] for s in specs}, "daily"), g
+    return {name: (t, 0) for name, t in feats.items()}, g
+
+
 def add_rolling_features(base: DataFrame, specs=SPECS, windows=WINDOWS, alpha: float = ALPHA,
                          rate_scope: str = "all", materialize_tables: bool = True,
-                         broadcast_max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+                         broadcast_max_bytes: int = BROADCAST_MAX_BYTES, tables=None) -> DataFrame:
     """Base rows (all splits) -> base rows + 6 x 3 x 2 aggregate columns.
 
-    With ``materialize_tables`` the collapsed day table is written first (one scan of the flights), then
-    the six daily feature tables in one job.  A table is broadcast only when its stored size is within
-    ``broadcast_max_bytes``; larger ones join by shuffle (sort-merge, AQE skew splitting).
+    With ``materialize_tables`` the daily counts are written first (one scan of the flights), then
+    the six daily feature tables in one job; ``tables`` takes both from :func:`daily_features`.  A table is broadcast only
+    when its stored size is within ``broadcast_max_bytes``; larger ones join by shuffle (sort-merge, AQE skew splitting).
     """
-    base = sanitize_keys(base)
-    days = collapse(base)
-    if materialize_tables:
-        days = materialize(days, "days")
-    g = global_rate(days, rate_scope)
-    feats = {spec.name: rolling_features_for_spec(days, spec, g, windows, alpha) for spec in specs}
+    feats, g = tables or daily_features(base, specs, windows, alpha, rate_scope, materialize_tables)
+    out = base = sanitize_keys(base)
     order = list(specs)
     if materialize_tables:
-        written = materialize_family(feats, {s.name: [*s.keys, "flight_date"] for s in specs}, "daily")
-        small = {name for name, (_, n) in written.items() if n <= broadcast_max_bytes}
-        feats = {name: (F.broadcast(t) if name in small else t) for name, (t, _) in written.items()}
+        small = {name for name, (_, n) in feats.items() if n <= broadcast_max_bytes}
+        feats = {name: (F.broadcast(t) if name in small else t, n) for name, (t, n) in feats.items()}
         # Tables over the bound join by shuffling the fact rows: do those first,
         # while the rows still carry few feature columns; broadcasts follow.
         order = [s for s in specs if s.name not in small] + [s for s in specs if s.name in small]
-    out = base
     for spec in order:
-        out = join_rolling(out, feats[spec.name], spec, g, windows)
+        out = join_rolling(out, feats[spec.name][0], spec, g, windows)
     return out.select(*base.columns, *[c for s in specs for c in spec_columns(s, windows)])
 
 
 def rolling_table(base: DataFrame, spec: AggSpec, windows=WINDOWS, alpha: float = ALPHA,
                   rate_scope: str = "all") -> DataFrame:
-    """Convenience: base -> one spec's daily feature table."""
-    days = collapse(sanitize_keys(base))
-    return rolling_features_for_spec(days, spec, global_rate(days, rate_scope), windows, alpha)
+    """Convenience: base -> one spec's daily feature table.  The flights are read once, by the spec's own keys."""
+    rows = sanitize_keys(base)
+    days = materialize(daily_counts(rows, list(spec.keys)), "days")
+    g = global_rate(rows, rate_scope) if rate_scope == "train" else global_rate(days)
+    return rolling_features_for_spec(days, spec, g, windows, alpha)
 
 
 def daily_table(base: DataFrame, spec: AggSpec) -> DataFrame:
     """Convenience: base -> one spec's (keys, date, n, s) table."""
-    return daily_counts(collapse(sanitize_keys(base)), list(spec.keys))
+    return daily_counts(sanitize_keys(base), list(spec.keys)).drop("labelled")

@@ -129,6 +129,18 @@ def _prepare_lookups(tables: dict, specs, materialize_tables: bool, max_bytes: i
     return {k: (F.broadcast(t) if n <= max_bytes else t) for k, (t, n) in written.items()}
 
 
+def lookups_from_daily(tables: dict, broadcast_max_bytes: int = LOOKUP_BROADCAST_MAX_BYTES) -> dict:
+    """Own-mode lookups from the written daily feature tables (:func:`.rolling.daily_features`): nothing is aggregated (V2).
+
+    Every (date, keys) of the store has its values there; rows without a date are never looked up.
+    """
+    out = {}
+    for name, (t, n) in tables.items():
+        t = t.where(F.col("flight_date").isNotNull()).withColumnRenamed("flight_date", "lookup_date")
+        out[name] = F.broadcast(t) if n <= broadcast_max_bytes else t
+    return out
+
+
 def build_lookups(store: DataFrame, mode: str = "own", specs=SPECS, windows=WINDOWS,
                   materialize_tables: bool = True, broadcast_max_bytes: int = LOOKUP_BROADCAST_MAX_BYTES) -> dict:
     """The lookup tables of one store snapshot (V2), built once and reused by every enrichment.

@@ -141,6 +141,22 @@ def q_model_checks(spark, sf_dir):
                                 F.lit(rounds <= MO.FIXTURE_MODEL.max_iter).alias("within_limit"), (F.col("roc_auc") > 0.6).alias("learned")))
 
 
+_STEPS = [f"{s.name}_delay_rate_90d" for s in MD.S.SPECS]
+
+
+@Q.register("model_rounds", "WITH " + O.BASE + ",\n" + O.with_aggs_cte() + ",\nsc AS (" + " UNION ALL ".join(
+    f"SELECT {k} AS split, delayed_15 AS y, round({' + '.join(_STEPS[:k])}, 6) AS p FROM with_aggs WHERE split = 'val'"
+    for k in range(1, len(_STEPS) + 1)) + ")" + Q.RANKING_SQL + f"""
+SELECT {O.i64('split', 'round')}, {O.r6('CASE WHEN P > 0 AND N > 0 THEN auc_num / (P * N) END', 'roc_auc')},
+  {O.i64('P', 'positives')}, {O.i64('N', 'negatives')}, {O.i64('thresholds')} FROM rk""")
+def q_model_rounds(spark, sf_dir):
+    """AUC of every round over margins that grow by one rate of the flight a round (what the choice of the best round runs on the forest's)."""
+    rows = stages.with_aggregates(spark, sf_dir).where(F.col("split") == "val")
+    sums = [F.round(sum((F.col(c) for c in _STEPS[1:k]), F.col(_STEPS[0])), 6) for k in range(1, len(_STEPS) + 1)]
+    got = MD.round_aucs(rows.select(F.col("delayed_15").alias("label"), F.array(*sums).alias("margins")))
+    return Q.present(got.select("round", "roc_auc", "positives", "negatives", "thresholds"))
+
+
 @Q.register("score_consistency", Q._REQ_SQL + f"""
 SELECT request_id, {O.i64('1', 'in_range')}, {O.i64('1', 'bucket_agrees')} FROM reqf""")
 def q_score_consistency(spark, sf_dir):

@@ -335,7 +335,7 @@ from ..operators import metrics as M  # noqa: E402
 
 _SCORED_SQL = ("WITH " + O.BASE + ",\n" + O.with_aggs_cte()
                + ",\nsc AS (SELECT split, delayed_15 AS y, round(origin_delay_rate_30d, 6) AS p FROM with_aggs)")
-_CUM_SQL = _SCORED_SQL + """,
+RANKING_SQL = """,
 thr AS (SELECT split, p, SUM(y) AS tp, COUNT(*) - SUM(y) AS fp FROM sc WHERE p IS NOT NULL GROUP BY split, p),
 cum AS (SELECT *, SUM(tp) OVER (PARTITION BY split ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS ctp,
                   SUM(fp) OVER (PARTITION BY split ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS cfp FROM thr),
@@ -343,6 +343,7 @@ rk AS (SELECT split, CAST(SUM(tp) AS DOUBLE) AS P, CAST(SUM(fp) AS DOUBLE) AS N,
   SUM((CAST(ctp AS DOUBLE) - CAST(tp AS DOUBLE) / 2) * CAST(fp AS DOUBLE)) AS auc_num,
   SUM(CAST(tp AS DOUBLE) * CAST(ctp AS DOUBLE) / CAST(ctp + cfp AS DOUBLE)) AS ap_num, COUNT(*) AS thresholds
  FROM cum GROUP BY split)"""
+_CUM_SQL = _SCORED_SQL + RANKING_SQL
 
 
 def _scored(spark, sf_dir):

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..operators.features import base_features, request_features, request_validity
 from ..operators.store import build_store
 from ..operators.labels import derive_times, label_flights
-from ..operators.rolling import add_rolling_features
+from ..operators.rolling import add_rolling_features, daily_features
 from ..operators.scope import assign_splits
 from ..schemas import ALPHA, SPECS, WINDOWS, SplitConfig
 from ..session import ensure_parallelism, materialize, stored_bytes
@@ -76,8 +76,16 @@ def with_aggregates(spark: SparkSession, sf_dir: str, splits: SplitConfig = FIXT
         return add_rolling_features(base, specs, windows, alpha, rate_scope)
     # Written once: metrics, sampling, training and the store all read it.
     return _stage(spark, sf_dir, f"aggs-{splits}-{specs}-{windows}-{alpha}-{rate_scope}",
-                  lambda: materialize(add_rolling_features(base_table(spark, sf_dir, splits), specs, windows,
-                                                           alpha, rate_scope), "with_aggs"))
+                  lambda: materialize(add_rolling_features(
+                      base_table(spark, sf_dir, splits), specs, windows, alpha, rate_scope,
+                      tables=daily_stage(spark, sf_dir, splits, specs, windows, alpha, rate_scope)), "with_aggs"))
+
+
+def daily_stage(spark: SparkSession, sf_dir: str, splits: SplitConfig = FIXTURE_SPLITS, specs=SPECS, windows=WINDOWS,
+                alpha: float = ALPHA, rate_scope: str = "all"):
+    """The written daily feature tables: the join-back and the own-mode lookups read them."""
+    return _stage(spark, sf_dir, f"daily-{splits}-{specs}-{windows}-{alpha}-{rate_scope}",
+                  lambda: daily_features(base_table(spark, sf_dir, splits), specs, windows, alpha, rate_scope))
 
 
 def fixture_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,8 +134,10 @@ def scored_fixture(with_aggs: DataFrame) -> DataFrame:
 
 
 def lookups(spark: SparkSession, sf_dir: str, mode: str = "own") -> dict:
-    """The lookup tables of the fixture store (V2), built once per session."""
-    from ..operators.store import build_lookups
+    """The lookup tables of the fixture store (V2), built once per session; own mode reads the daily tables."""
+    from ..operators.store import build_lookups, lookups_from_daily
+    if mode == "own":
+        return lookups_from_daily(daily_stage(spark, sf_dir)[0])
     return _stage(spark, sf_dir, f"lookups-{mode}", lambda: build_lookups(feature_store(spark, sf_dir), mode))
 
 

@@ -88,7 +88,7 @@ def test_shuffled_joins_run_before_broadcast_joins(spark, capsys, monkeypatch):
 
 
 def test_flights_are_scanned_once_for_all_specs(spark, capsys, monkeypatch):
-    """Only the collapse reads the base; the six tables and the global rate read its result."""
+    """Only the grouping-sets aggregate reads the base; the six tables and the global rate read its result."""
     import tarmac.operators.rolling as R
 
     plans = {}
@@ -98,3 +98,28 @@ def test_flights_are_scanned_once_for_all_specs(spark, capsys, monkeypatch):
     R.add_rolling_features(base)
     files = {f for f in base.inputFiles()}
     assert len(plans) == 6 and not any(files & set(t.inputFiles()) for t in plans.values())
+
+
+def test_daily_counts_of_all_specs_are_one_aggregate(spark, capsys):
+    """One scan, one shuffle of partial rows per (key set, key, day); equal to the plain group-bys."""
+    import tarmac.operators.rolling as R
+    from tarmac.schemas import SPECS
+
+    base = R.sanitize_keys(stages.base_table(spark, SF_SMALL))
+    tables = R.daily_tables(base, materialize_table=False)
+    plan = _plan(tables["route"], capsys).split("\n\n")[0]
+    assert plan.count("Expand") == 1 and plan.count("Exchange") == 1 and plan.count("HashAggregate") == 2
+    for spec in SPECS:
+        plain, got = R.daily_counts(base, list(spec.keys)), R.daily_tables(base)[spec.name]
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+        assert got.schema.fieldNames() == plain.schema.fieldNames()
+
+
+def test_own_lookups_come_from_the_daily_tables(spark, capsys):
+    from tarmac.operators import store as ST
+
+    store = stages.feature_store(spark, SF_SMALL)
+    plain, got = ST.build_lookups(store), stages.lookups(spark, SF_SMALL)
+    for name, t in got.items():
+        assert "Aggregate" not in _plan(t, capsys)
+        assert sorted(map(tuple, t.collect()), key=str) == sorted(map(tuple, plain[name].select(t.columns).collect()), key=str)
