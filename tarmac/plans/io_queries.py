@@ -17,6 +17,7 @@ from ..operators import metrics as M
 from ..operators import model as MD
 from ..operators import sampling as SM
 from ..operators import store as ST
+from ..operators import upkeep as U
 from ..session import shared_dir
 from ..sources import parquet as PQ
 from ..sources.csv import header_groups, read_raw_csv
@@ -141,6 +142,29 @@ def q_model_checks(spark, sf_dir):
                                 F.lit(rounds <= MO.FIXTURE_MODEL.max_iter).alias("within_limit"), (F.col("roc_auc") > 0.6).alias("learned")))
 
 
+def _upkept(spark, sf_dir: str) -> str:
+    """The state after three advances: the train days, the days of val, the rest; built once per session."""
+    def build():
+        root, base = _folder(spark, "upkeep"), stages.base_table(spark, sf_dir)
+        edges = [stages.FIXTURE_SPLITS.train_end, stages.FIXTURE_SPLITS.val_end]
+        day = F.col("flight_date")
+        for part in (base.where(day <= edges[0]), base.where((day > edges[0]) & (day <= edges[1])), base.where(day > edges[1])):
+            U.advance(spark, root, part)
+        return root
+    return stages._stage(spark, sf_dir, "upkeep", build)
+
+
+def _upkeep_query(spec):
+    def q(spark, sf_dir):
+        """The daily feature table kept up in three steps; the twin is the one built at once."""
+        return Q.present(U.features(spark, _upkept(spark, sf_dir), spec))
+    return q
+
+
+for _spec in MD.S.SPECS:
+    Q.REGISTRY[f"upkeep_{_spec.name}"] = (_upkeep_query(_spec), Q.REGISTRY[f"rolling_{_spec.name}"][1])
+
+
 _STEPS = [f"{s.name}_delay_rate_90d" for s in MD.S.SPECS]
 
 

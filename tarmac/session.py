@@ -75,7 +75,10 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex[:12]}"
-    (df.write.partitionBy(partition_by) if partition_by else df.write).mode("overwrite").parquet(path)
+    if partition_by:  # no rows, no file: the schema is given
+        df.write.partitionBy(partition_by).parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
