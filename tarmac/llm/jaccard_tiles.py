@@ -447,9 +447,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = ids.where("gone").select("_id")
     if ids.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, F.col(id_col) == F.col("_id"), "left_anti")
+    kept = docs.join(gone, docs[id_col] == gone["_id"], "left_anti")
     again = ids.where("NOT gone AND copies > 1")
     if again.isEmpty():
         return kept
-    twice = kept.join(again, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col, text_col])
-    return kept.join(again, F.col(id_col) == F.col("_id"), "left_anti").unionByName(twice)
+    again = again.select(F.col("_id").alias("_again"))
+    twice = kept.join(again, kept[id_col] == again["_again"], "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(again, kept[id_col] == again["_again"], "left_anti").unionByName(twice)

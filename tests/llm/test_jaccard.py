@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from helpers import EDGE, MID, SMALL, duck_rows, edge_docs, empty_docs, spark_rows
 from tarmac.llm import jaccard_tiles, queries
@@ -87,8 +88,9 @@ def test_edge_cases(spark):
     got = _got(edge_docs(spark))
     assert sorted(set(got), key=str) == want and len(got) == len(EDGE)
     assert jaccard_components(empty_docs(spark)).collect() == []
-    kept = one_of_each(edge_docs(spark))
-    assert kept.columns == edge_docs(spark).columns
+    clashing = edge_docs(spark).withColumns({"_id": F.lit(1), "_again": F.lit("x"), "gone": F.lit(True)})
+    kept = one_of_each(clashing)
+    assert kept.columns == clashing.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "2", "3", "4", "None", "7", "8", "9", "10"])
 
 
