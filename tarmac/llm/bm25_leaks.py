@@ -29,6 +29,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -131,11 +132,13 @@ class BlockMaxIndex:
         if not terms:
             return []
         bound = self.maxima[terms]
-        top = bound.max(1).tolist()
-        by_block = bound.tolist()
-        alive = np.flatnonzero(bound.sum(0) >= threshold - 1e-5).tolist()
-        if not alive:
+        alive = np.flatnonzero(bound.sum(0) >= threshold - 1e-5)
+        if not len(alive):
             return []
+        # Only terms of items in the blocks that are left count.
+        most = bound[:, alive].max(1)
+        used = np.flatnonzero(most)
+        terms, top, by_block, alive = [terms[k] for k in used], most[used].tolist(), bound[used].tolist(), alive.tolist()
         next_alive = [alive[bisect_left(alive, b)] * self.block if b <= alive[-1] else len(self.items) for b in range(self.n_blocks + 1)]
         at = [0] * len(terms)
         lists = [self.postings[t] for t in terms]
@@ -189,7 +192,7 @@ class BlockMaxIndex:
     def candidates(self, words: list[str], threshold: float, run_bytes: int = 1 << 24) -> list[tuple[int, int, float, tuple[int, int]]]:
         """(item, passage, score, word range) of the passages of a text that some item's bound lets through."""
         get, none = self.terms.get, len(self.terms)
-        ids = np.array([get(w, none) for w in words], np.int64)
+        ids = np.fromiter(map(get, words, repeat(none)), np.int64, len(words))
         step = max(64, self.longest)
         places = np.flatnonzero(ids < none)
         if not len(places):
@@ -201,26 +204,26 @@ class BlockMaxIndex:
         ends = np.append(starts[1:], len(half))
         last = max(0, (len(words) - 1) // step - 1)
         width = self.maxima.shape[1]
-        passages: list[int] = []
-        before, k = (-2, np.zeros(width, np.float32)), 0
-        while k < len(starts):
+        passages: list[np.ndarray] = []
+        # Halves and their sums; the last of a run goes before the next, -2 and a far half stand at the ends.
+        at, sums, k = np.array([-2]), np.zeros((1, width), np.float32), 0
+        while k <= len(starts):
             # A run of halves whose rows of the table take about run_bytes; at least one half.
-            to = max(k + 1, int(np.searchsorted(ends, starts[k] + run_bytes // (4 * width), "right")))
-            sums = np.add.reduceat(self.maxima[term[starts[k]:ends[to - 1]]], starts[k:to] - starts[k], axis=0)
-            for h, s in zip(half[starts[k:to]].tolist(), sums):
-                if before[0] == h - 1:
-                    if (before[1] + s >= threshold - 1e-4).any():
-                        passages.append(h - 1)
-                else:
-                    # A gap of halves without terms: the passages at its ends hold one half's terms.
-                    passages += [before[0]] * bool(before[0] >= 0 and (before[1] >= threshold - 1e-4).any())
-                    passages += [h - 1] * bool(h and (s >= threshold - 1e-4).any())
-                before = h, s
-            before, k = (before[0], before[1].copy()), to
-        passages += [before[0]] * bool((before[1] >= threshold - 1e-4).any())
+            to = max(k + 1, int(np.searchsorted(ends, (starts[k] if k < len(starts) else 0) + run_bytes // (4 * width), "right")))
+            if k < len(starts):
+                own = np.add.reduceat(self.maxima[term[starts[k]:ends[to - 1]]], starts[k:to] - starts[k], axis=0)
+                at, sums = np.append(at[-1:], half[starts[k:to]]), np.concatenate([sums[-1:], own])
+            else:
+                at, sums = np.append(at[-1:], len(words) + 2), np.concatenate([sums[-1:], np.zeros((1, width), np.float32)])
+            beside = at[1:] == at[:-1] + 1
+            alone = sums.max(1) >= threshold - 1e-4
+            # A gap of halves without terms: the passages at its ends hold one half's terms.
+            passages += [at[:-1][beside & ((sums[1:] + sums[:-1]).max(1) >= threshold - 1e-4)],
+                         at[:-1][~beside & alone[:-1]], at[1:][~beside & alone[1:]] - 1]
+            k = to
         out = []
-        for p in passages:
-            if p > last:
+        for p in np.unique(np.concatenate(passages)).tolist():
+            if p < 0 or p > last:
                 continue
             lo, hi = p * step, min((p + 2) * step, len(words))
             own = np.unique(ids[lo:hi])
