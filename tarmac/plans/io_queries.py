@@ -12,12 +12,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import checks as CK
 from ..operators import explain as X
 from ..operators import metrics as M
 from ..operators import model as MD
 from ..operators import sampling as SM
 from ..operators import store as ST
 from ..operators import upkeep as U
+from ..operators.scope import scope_filter
 from ..session import shared_dir
 from ..sources import parquet as PQ
 from ..sources.csv import header_groups, read_raw_csv
@@ -221,3 +223,65 @@ def q_evidence_fields(spark, sf_dir):
         F.col("d.flight.scheduled_departure_hour").alias("hour"), F.size("d.drivers.risk_up").alias("n_up"), F.size("d.drivers.risk_down").alias("n_down"),
         F.try_element_at("d.drivers.risk_up.feature", F.lit(1)).alias("first_up"),
         F.try_element_at("d.drivers.risk_up.abs_shap", F.lit(1)).alias("first_up_size"), F.col("d.shap.base_value").alias("base_value")))
+
+
+# ---------------------------------------------------------------------------
+# Schema-only reads, null dates, stage checks, a saved model
+# ---------------------------------------------------------------------------
+
+_SCHEMAS = ("lineitem", "orders", "customer", "supplier", "nation")
+
+
+@Q.register("schema_columns", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", column_name AS name FROM (DESCRIBE {t})" for t in _SCHEMAS))
+def q_schema_columns(spark, sf_dir):
+    """Column names from the footers."""
+    rows = [(t, c) for t in _SCHEMAS for c in PQ.dataset_columns(spark, f"{sf_dir.rstrip('/')}/{t}.parquet")]
+    return spark.createDataFrame(rows, "table string, name string")
+
+
+def _undated(spark, sf_dir):
+    """The fixture with every seventh day of a month undated."""
+    base = stages.base_table(spark, sf_dir)
+    return base.withColumn("flight_date", F.when(F.col("day_of_month") % 7 != 0, F.col("flight_date")))
+
+
+@Q.register("null_dates", "WITH " + O.BASE + f"""
+SELECT OP_CARRIER, {O.i64('COUNT(*)', 'rows')} FROM base WHERE day_of_month % 7 <> 0 GROUP BY OP_CARRIER""")
+def q_null_dates(spark, sf_dir):
+    """Rows without a date leave the scope, also an open one."""
+    left = scope_filter(_undated(spark, sf_dir), MD.S.ScopeConfig())
+    return Q.present(left.groupBy("OP_CARRIER").agg(F.count(F.lit(1)).alias("rows")))
+
+
+@Q.register("split_non_empty", "WITH " + O.BASE + f"""
+SELECT split, {O.i64('COUNT(*)', 'rows')} FROM base GROUP BY split""")
+def q_split_non_empty(spark, sf_dir):
+    """The splits, checked to have rows."""
+    checked = CK.require_splits_non_empty(stages.base_table(spark, sf_dir))
+    return Q.present(checked.groupBy("split").agg(F.count(F.lit(1)).alias("rows")))
+
+
+@Q.register("undated_count", "WITH " + O.BASE + f"""
+SELECT {O.i64('COUNT(*) FILTER (day_of_month % 7 = 0)', 'undated')} FROM base""")
+def q_undated_count(spark, sf_dir):
+    """The number of undated rows that the check of a stage reports when it fails."""
+    try:
+        CK.require_no_nulls(_undated(spark, sf_dir), "flight_date", show_cols=["OP_CARRIER"])
+        n = 0
+    except CK.DataCheckError as e:
+        n = int(str(e).split(" ", 1)[0])
+    return spark.createDataFrame([(n,)], "undated long")
+
+
+@Q.register("model_reload", "WITH " + O.BASE + f"""
+SELECT split, {O.i64('COUNT(*)', 'rows')}, {O.i64('COUNT(*)', 'same')} FROM base WHERE split <> 'train' GROUP BY split""")
+def q_model_reload(spark, sf_dir):
+    """A saved and loaded model gives every val and test row the probability of the fitted one (E5)."""
+    model, cfg, path = MO.fixture_model(spark, sf_dir), MO.FIXTURE_MODEL, _folder(spark, "model")
+    MD.save(model, cfg, path)
+    again, cfg_again = MD.load(path)
+    rows = stages.with_aggregates(spark, sf_dir).where("split <> 'train'")
+    once = MD.score(model, rows, cfg, keep=("split",)).withColumnRenamed("probability", "fitted")
+    once = once.drop("features", "rawPrediction", "prediction", "margin", *[c for c in once.columns if "__" in c and not c.endswith("__raw")])
+    both = MD.score(again, once, cfg_again, keep=("split", "fitted"))
+    return Q.present(both.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("fitted") == F.col("probability")).alias("same")))
