@@ -10,18 +10,22 @@
   outputs up, tree by tree, one grouped query gives the exact AUC of every
   round, and the forest is cut to the trees up to the best round before
   ``patience`` rounds brought no better one.  Spark has no L2 leaf term (D14).
-* Contributions (H1): decision-path attribution.  The fitted forest has a
-  size fixed by its parameters (trees x 2^(depth+1) nodes), so its node
-  table is read from the saved model, broadcast once, and an Arrow-batched
-  function of the feature array alone walks all trees with NumPy.  For every split on
-  a row's path the change in node value, times the tree weight, goes to the
-  split feature; base + sum(contributions) equals the margin exactly.  These
-  are path attributions, not Shapley values.
+* Categoricals' encoding: ordered target statistics (:mod:`.encoding`) on the
+  train rows by default, so that no row's own label is in its encoding; rows
+  that are scored get the statistic of all train rows, with the same prior.
+* Contributions (H1): the fitted forest has a size fixed by its parameters
+  (trees x 2^(depth+1) nodes), so its node table is read from the saved model,
+  broadcast once, and an Arrow-batched function of the feature array alone
+  works on all trees with NumPy.  ``shapley`` (the default) gives exact Shapley
+  values of the game in which an unknown feature's split is averaged by the
+  children's training weight; ``path`` gives the change in node value at every split on a
+  row's path to the split feature.  In both, base + sum(contributions) equals the margin.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from dataclasses import asdict, dataclass, field, fields
 
@@ -38,6 +42,7 @@ from pyspark.sql import types as T
 from .. import schemas as S
 from ..functions.coerce import to_double
 from ..session import materialize, shared_dir
+from . import encoding as EN
 from . import metrics as M
 
 MISSING_NUMERIC = -999.0
@@ -55,6 +60,8 @@ class ModelConfig:
     seed: int = 42
     max_bins: int = 254
     subsampling_rate: float = 1.0
+    encoding: str = "ordered"     # or "plain": one mean per category on train rows too
+    prior_weight: float = 1.0     # rows that the global rate counts for in a category's statistic
     cache_node_ids: bool = True   # node ids cached + checkpointed to the shared folder every 10 rounds
 
     @property
@@ -113,23 +120,31 @@ def fit(train: DataFrame, val: DataFrame | None, cfg: ModelConfig) -> PipelineMo
     idx = StringIndexer(inputCols=list(cfg.cat_cols), outputCols=[f"{c}__idx" for c in cfg.cat_cols],
                         handleInvalid="keep").fit(tr)
     enc = TargetEncoder(inputCols=[f"{c}__idx" for c in cfg.cat_cols], outputCols=[f"{c}__te" for c in cfg.cat_cols],
-                        labelCol=cfg.label, targetType="binary", handleInvalid="keep").fit(idx.transform(tr))
+                        labelCol=cfg.label, targetType="binary", handleInvalid="keep", smoothing=cfg.prior_weight).fit(idx.transform(tr))
     # Re-cast the encodings: a plain double carries no nominal ML metadata, so the
     # trees split on it as a number instead of treating it as a category.
     plain = SQLTransformer(statement="SELECT *, " + ", ".join(
         f"CAST({c}__te AS DOUBLE) AS {c}__num" for c in cfg.cat_cols) + " FROM __THIS__")
     asm = VectorAssembler(inputCols=cfg.vector_cols, outputCol="features", handleInvalid="keep")
     weight = class_weight_column(tr, cfg.label)
-    prepare = lambda df: materialize(asm.transform(plain.transform(enc.transform(idx.transform(df))))
+    encoded = lambda df: enc.transform(idx.transform(df))
+    prepare = lambda df: materialize(asm.transform(plain.transform(df))
                                      .withColumn("_w", weight).select("features", cfg.label, "_w"), "fit")
-    data = prepare(tr)
+    train_rows = encoded(tr)
+    if cfg.encoding == "ordered":
+        # The order is a hash of the features; rows equal in all of them see the same rows before them.
+        order = F.shiftrightunsigned(F.xxhash64(F.lit(cfg.seed), *map(F.col, cfg.feature_cols)), 64 - EN.ORDER_BITS)
+        train_rows = EN.ordered_target_statistics(train_rows.drop(*[f"{c}__te" for c in cfg.cat_cols]), cfg.cat_cols, cfg.label, order, cfg.prior_weight, suffix="__te")
+    elif cfg.encoding != "plain":
+        raise ValueError(f"unknown encoding {cfg.encoding!r}")
+    data = prepare(train_rows)
     gbt = GBTClassifier(featuresCol="features", labelCol=cfg.label, weightCol="_w", lossType="logistic",
                         maxDepth=cfg.max_depth, stepSize=cfg.step_size, seed=cfg.seed, maxBins=cfg.max_bins,
                         subsamplingRate=cfg.subsampling_rate, cacheNodeIds=cfg.cache_node_ids)
     if val is None:
         return PipelineModel(stages=[idx, enc, plain, asm, gbt.setMaxIter(cfg.max_iter).fit(data)])
     fitted = gbt.setMaxIter(cfg.max_iter).fit(data)
-    aucs = round_aucs(round_margins(prepare(model_inputs(val, cfg)), fitted, cfg.label))
+    aucs = round_aucs(round_margins(prepare(encoded(model_inputs(val, cfg))), fitted, cfg.label))
     best, _ = best_round([-r["roc_auc"] if r["roc_auc"] is not None else 0.0 for r in aucs.orderBy("round").collect()], cfg.patience)
     return PipelineModel(stages=[idx, enc, plain, asm, first_trees(fitted, best)])
 
@@ -208,7 +223,7 @@ def load(path: str) -> tuple[PipelineModel, ModelConfig]:
 
 
 # ---------------------------------------------------------------------------
-# H1: decision-path contributions
+# H1: contributions by exact Shapley values or by decision paths
 # ---------------------------------------------------------------------------
 
 def forest_arrays(model: PipelineModel | GBTClassificationModel) -> dict:
@@ -223,23 +238,23 @@ def forest_arrays(model: PipelineModel | GBTClassificationModel) -> dict:
     rows = spark.read.parquet(f"{path}/data").select(
         "treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild",
         "nodeData.split.featureIndex", "nodeData.split.leftCategoriesOrThreshold",
-        "nodeData.split.numCategories").collect()
+        "nodeData.split.numCategories", F.col("nodeData.impurityStats")[0].alias("cover")).collect()
     n_trees = len(gbt.treeWeights)
     size = max(r["id"] for r in rows) + 1
     pred = np.zeros((n_trees, size))
     left = -np.ones((n_trees, size), dtype=np.int64)
     right = -np.ones((n_trees, size), dtype=np.int64)
     feat = -np.ones((n_trees, size), dtype=np.int64)
-    thr = np.zeros((n_trees, size))
+    thr, cover = np.zeros((n_trees, size)), np.zeros((n_trees, size))
     for r in rows:
         t, i = r["treeID"], r["id"]
-        pred[t, i] = r["prediction"]
+        pred[t, i], cover[t, i] = r["prediction"], r["cover"]
         left[t, i], right[t, i], feat[t, i] = r["leftChild"], r["rightChild"], r["featureIndex"]
         if r["numCategories"] is not None and r["numCategories"] >= 0:
             raise ValueError("categorical splits are not expected: categoricals are target-encoded")
         if r["leftCategoriesOrThreshold"]:
             thr[t, i] = r["leftCategoriesOrThreshold"][0]
-    return {"pred": pred, "left": left, "right": right, "feat": feat, "thr": thr,
+    return {"pred": pred, "left": left, "right": right, "feat": feat, "thr": thr, "cover": cover,
             "w": np.asarray(gbt.treeWeights, dtype=float)}
 
 
@@ -289,18 +304,79 @@ def path_contributions(x: np.ndarray, forest: dict) -> tuple[np.ndarray, np.ndar
     return contrib, base
 
 
-def add_contributions(scored: DataFrame, model: PipelineModel, cfg: ModelConfig) -> DataFrame:
-    """Scored rows -> + ``contrib`` (array<double>, log-odds per feature) and ``base_value`` (H1).
+def leaf_paths(forest: dict, t: int) -> list[tuple[float, list[tuple[int, float, np.ndarray, np.ndarray]]]]:
+    """Of every leaf of tree ``t``: its value and, per feature on its path, ``(feature, share, nodes, lefts)``: the share of training
+    weight that the feature's splits let through, the nodes of these splits and whether the path goes left there."""
+    pred, left, right, feat, cover = (forest[k][t] for k in ("pred", "left", "right", "feat", "cover"))
+    out, todo = [], [(0, ())]
+    while todo:
+        node, path = todo.pop()
+        if left[node] >= 0:
+            todo += [(right[node], path + ((node, False),)), (left[node], path + ((node, True),))]
+            continue
+        own = []
+        for f in sorted({feat[n] for n, _ in path}):
+            nodes, lefts = map(np.array, zip(*[(n, go) for n, go in path if feat[n] == f]))
+            share = np.prod(cover[np.where(lefts, left[nodes], right[nodes])] / cover[nodes])
+            own.append((int(f), float(share), nodes, lefts))
+        out.append((float(pred[node]), own))
+    return out
+
+
+def shapley_weights(passed: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Patterns x features: a path's Shapley values for a leaf value of one.
+
+    A set of known features lets through the product over its members of ``passed`` (0 or 1) and over the others of ``share``.
+    The products over all sets of one size are a coefficient of the polynomial prod(share + passed * y) over the features but one.
+    """
+    u, d = passed.shape
+    size_weight = np.array([math.factorial(s) * math.factorial(d - s - 1) / math.factorial(d) for s in range(d)])
+    out = np.empty((u, d))
+    for i in range(d):
+        poly = np.zeros((u, d))
+        poly[:, 0] = 1.0
+        for j in range(d):
+            if j != i:
+                up = poly[:, :-1] * passed[:, j:j + 1]
+                poly *= share[j]
+                poly[:, 1:] += up
+        out[:, i] = (passed[:, i] - share[i]) * (poly @ size_weight)
+    return out
+
+
+def shapley_values(x: np.ndarray, forest: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(n x f exact Shapley values, n base values) in margin units for a batch."""
+    contrib, base = np.zeros(x.shape), 0.0
+    for t, w in enumerate(forest["w"]):
+        goes_left = x[:, np.maximum(forest["feat"][t], 0)] <= forest["thr"][t]
+        for value, path in leaf_paths(forest, t):
+            share = np.array([p[1] for p in path])
+            base += w * value * share.prod()
+            if not path or not len(x):
+                continue
+            passed = np.stack([(goes_left[:, nodes] == lefts).all(1) for _, _, nodes, lefts in path], axis=1)
+            # Few patterns: a path has at most as many features as levels.
+            code, back = np.unique(passed @ (1 << np.arange(len(path))), return_inverse=True)
+            weights = shapley_weights((code[:, None] >> np.arange(len(path)) & 1).astype(float), share)
+            contrib[:, [p[0] for p in path]] += w * value * weights[back]
+    return contrib, np.full(len(x), base)
+
+
+ATTRIBUTIONS = {"shapley": shapley_values, "path": path_contributions}
+
+
+def add_contributions(scored: DataFrame, model: PipelineModel, cfg: ModelConfig, method: str = "shapley") -> DataFrame:
+    """Scored rows -> + ``contrib`` (array<double>, log-odds per feature) and ``base_value`` (H1), by one of ``ATTRIBUTIONS``.
 
     Only the feature array goes to Python, in Arrow batches; a query that uses neither column has no
     Python in its plan.
     """
-    bc = scored.sparkSession.sparkContext.broadcast(forest_arrays(model))
+    bc, attribute = scored.sparkSession.sparkContext.broadcast(forest_arrays(model)), ATTRIBUTIONS[method]
 
     @F.pandas_udf("contrib array<double>, base_value double")
     def explain(x: pd.Series) -> pd.DataFrame:
         rows = np.vstack(x.to_numpy()) if len(x) else np.zeros((0, len(cfg.vector_cols)))
-        c, b = path_contributions(rows, bc.value)
+        c, b = attribute(rows, bc.value)
         # log-odds = 2 x margin for Spark's logistic boosting
         return pd.DataFrame({"contrib": list(2.0 * c), "base_value": 2.0 * b})
 

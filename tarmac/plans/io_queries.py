@@ -9,10 +9,13 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import checks as CK
+from ..operators import encoding as EN
 from ..operators import explain as X
 from ..operators import metrics as M
 from ..operators import model as MD
@@ -285,3 +288,78 @@ def q_model_reload(spark, sf_dir):
     once = once.drop("features", "rawPrediction", "prediction", "margin", *[c for c in once.columns if "__" in c and not c.endswith("__raw")])
     both = MD.score(again, once, cfg_again, keep=("split", "fitted"))
     return Q.present(both.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("fitted") == F.col("probability")).alias("same")))
+
+
+# ---------------------------------------------------------------------------
+# Ordered target statistics and Shapley values over whole tables
+# ---------------------------------------------------------------------------
+
+_TS_CATS, _TS_ORDER = ("OP_CARRIER", "route"), ("flight_date", "OP_CARRIER", "ORIGIN", "DEST", "CRS_DEP_HOUR", "DISTANCE")
+
+
+def _before(cat: str) -> str:
+    over = f"OVER (PARTITION BY {cat} ORDER BY o GROUPS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"(coalesce(sum(delayed_15) {over}, 0) + (SELECT avg(delayed_15) FROM rows_)) / (count(*) {over} + 1.0)"
+
+
+@Q.register("ordered_statistics", "WITH " + O.BASE + f""",
+rows_ AS (SELECT *, substr(md5(concat_ws('|', {', '.join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in _TS_ORDER)})), 1, 15) AS o
+ FROM (SELECT * REPLACE (CAST(DISTANCE AS BIGINT) AS DISTANCE) FROM base) WHERE split = 'train'),
+s AS (SELECT flight_date, OP_CARRIER, route, CRS_DEP_HOUR, {', '.join(f'{_before(c)} AS {c}_s' for c in _TS_CATS)} FROM rows_)
+SELECT flight_date, OP_CARRIER, route, {O.i64('CRS_DEP_HOUR')}, {', '.join(O.r6(f'{c}_s', f'{c}__ots') for c in _TS_CATS)} FROM s""")
+def q_ordered_statistics(spark, sf_dir):
+    """Ordered target statistics of two categories for every train row."""
+    train = stages.base_table(spark, sf_dir).where("split = 'train'").withColumn("DISTANCE", F.col("DISTANCE").cast("long"))
+    got = EN.ordered_target_statistics(train, _TS_CATS, "delayed_15", EN.md5_order(*_TS_ORDER))
+    return Q.present(got.select("flight_date", "OP_CARRIER", "route", "CRS_DEP_HOUR", *[f"{c}__ots" for c in _TS_CATS]))
+
+
+# A tree over hour (0) and distance (1), the hour asked twice on two paths: node -> (feature, threshold, left, right).
+_TREE = {0: (0, 12.0, 1, 2), 1: (1, 1500.0, 3, 4), 2: (1, 1000.0, 7, 8), 3: (0, 7.0, 5, 6)}
+_LEAF_SQL = ("CASE WHEN h <= 12 THEN CASE WHEN d <= 1500 THEN CASE WHEN h <= 7 THEN 5 ELSE 6 END ELSE 4 END "
+             "WHEN d <= 1000 THEN 7 ELSE 8 END")
+
+
+def _tree_sql() -> str:
+    """Values of the four games (hour, distance known or not) for every (h, d), and the Shapley values by their definition."""
+    return f""",
+pt AS (SELECT CAST(CRS_DEP_HOUR AS DOUBLE) AS h, CAST(DISTANCE AS DOUBLE) AS d, delayed_15 AS y FROM base WHERE CRS_DEP_HOUR IS NOT NULL AND DISTANCE IS NOT NULL),
+lf AS (SELECT {_LEAF_SQL} AS leaf, count(*) * 1.0 AS n, avg(y) AS v FROM pt GROUP BY 1),
+g AS (SELECT max(v) FILTER (leaf = 4) AS v4, max(v) FILTER (leaf = 5) AS v5, max(v) FILTER (leaf = 6) AS v6, max(v) FILTER (leaf = 7) AS v7, max(v) FILTER (leaf = 8) AS v8,
+  sum(n) FILTER (leaf IN (4, 5, 6)) / sum(n) AS early, sum(n) FILTER (leaf IN (5, 6)) / sum(n) FILTER (leaf IN (4, 5, 6)) AS near_early,
+  sum(n) FILTER (leaf = 5) / sum(n) FILTER (leaf IN (5, 6)) AS first_, sum(n) FILTER (leaf = 7) / sum(n) FILTER (leaf IN (7, 8)) AS near_late FROM lf),
+q AS (SELECT DISTINCT h, d FROM pt),
+games AS (SELECT h, d,
+  near_early * (first_ * v5 + (1 - first_) * v6) + (1 - near_early) * v4 AS early_0, near_late * v7 + (1 - near_late) * v8 AS late_0,
+  CASE WHEN d <= 1500 THEN first_ * v5 + (1 - first_) * v6 ELSE v4 END AS early_d, CASE WHEN d <= 1000 THEN v7 ELSE v8 END AS late_d,
+  CASE WHEN h <= 7 THEN near_early * v5 + (1 - near_early) * v4 WHEN h <= 12 THEN near_early * v6 + (1 - near_early) * v4 ELSE near_late * v7 + (1 - near_late) * v8 END AS known_h,
+  CASE ({_LEAF_SQL}) WHEN 4 THEN v4 WHEN 5 THEN v5 WHEN 6 THEN v6 WHEN 7 THEN v7 ELSE v8 END AS known_hd, early FROM q, g),
+v AS (SELECT h, d, early * early_0 + (1 - early) * late_0 AS v0, early * early_d + (1 - early) * late_d AS vd, known_h AS vh, known_hd AS vhd FROM games)"""
+
+
+@Q.register("shapley_values", "WITH " + O.BASE + _tree_sql() + f"""
+SELECT {O.r6('h', 'hour')}, {O.r6('d', 'distance')}, {O.r6('v0', 'base_value')},
+  {O.r6('((vh - v0) + (vhd - vd)) / 2', 'hour_value')}, {O.r6('((vd - v0) + (vhd - vh)) / 2', 'distance_value')} FROM v""")
+def q_shapley_values(spark, sf_dir):
+    """Exact Shapley values of every hour and distance flown, for a tree whose leaf values and weights are those of the flights (H1)."""
+    points = stages.base_table(spark, sf_dir).select(F.col("CRS_DEP_HOUR").cast("double").alias("h"), F.col("DISTANCE").cast("double").alias("d"), "delayed_15").dropna()
+    leaves = {r.leaf: r for r in points.groupBy(F.expr(_LEAF_SQL).alias("leaf")).agg(F.count(F.lit(1)).alias("n"), F.avg("delayed_15").alias("v")).collect()}
+    size = max(leaves) + 1
+    forest = {"w": np.ones(1), **{k: np.zeros((1, size), t) for k, t in (("pred", float), ("thr", float), ("cover", float), ("feat", int))},
+              "left": np.full((1, size), -1), "right": np.full((1, size), -1)}
+    for leaf, r in leaves.items():
+        forest["pred"][0, leaf], forest["cover"][0, leaf] = r.v, r.n
+    for node in sorted(_TREE, reverse=True):
+        f, at, left, right = _TREE[node]
+        forest["feat"][0, node], forest["thr"][0, node], forest["left"][0, node], forest["right"][0, node] = f, at, left, right
+        forest["cover"][0, node] = forest["cover"][0, left] + forest["cover"][0, right]
+    bc = spark.sparkContext.broadcast(forest)
+
+    @F.pandas_udf("array<double>")
+    def explain(h: pd.Series, d: pd.Series) -> pd.Series:
+        values, base = MD.shapley_values(np.stack([h, d], axis=1), bc.value)
+        return pd.Series(list(np.column_stack([base, values])), dtype=object)
+
+    got = points.select("h", "d").distinct().withColumn("s", explain("h", "d"))
+    return Q.present(got.select(F.col("h").alias("hour"), F.col("d").alias("distance"), F.col("s")[0].alias("base_value"),
+                                F.col("s")[1].alias("hour_value"), F.col("s")[2].alias("distance_value")))

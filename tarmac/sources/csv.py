@@ -12,9 +12,14 @@
 from __future__ import annotations
 
 import csv
+import re
+from collections.abc import Iterator
+from contextlib import nullcontext
 from functools import reduce
-from urllib.parse import unquote
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,42 +30,107 @@ from ..schemas import COLUMN_ALIASES, RAW_COLUMNS
 from ..session import materialize
 
 
+#: Bytes of a file read at once for its header.
+HEADER_BLOCK = 1 << 16
+_LINE_ENDS = re.compile(rb"\r\n|\n|\r(?!\Z)")
+
+
 class IngestError(ValueError):
     pass
 
 
-def csv_lines(spark: SparkSession, root: str) -> DataFrame:
-    """Lines of every ``*.csv`` below ``root`` (S1); error if the root is missing."""
+def _below(spark: SparkSession, root: str, source: str) -> DataFrame:
+    """Every ``*.csv`` below ``root`` (S1) by one of Spark's file sources; error if the root is missing."""
     try:
-        return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(root)
+        return spark.read.format(source).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             raise IngestError(f"CSV root not found: {root}") from e
         raise
 
 
+def csv_lines(spark: SparkSession, root: str) -> DataFrame:
+    return _below(spark, root, "text")
+
+
+def csv_files(spark: SparkSession, root: str) -> DataFrame:
+    """The files themselves; only columns that are selected are read, so ``path`` costs a listing."""
+    return _below(spark, root, "binaryFile")
+
+
 def normalize_header(name: str) -> str:
     """Strip + upper (S3)."""
     return name.strip().upper()
 
 
+def first_line(stream, block: int = HEADER_BLOCK) -> str | None:
+    """The first line with text of a byte stream, without its end and a byte order mark; reads blocks only up to its end."""
+    text, more = b"", True
+    while more:
+        got = stream.read(block)
+        text, more = text + got, bool(got)
+        lines = _LINE_ENDS.split(text)
+        for line in lines if not more else lines[:-1]:
+            line = line.decode("utf-8", "replace").removeprefix("\ufeff").rstrip()
+            if line.strip():
+                return line
+        text = lines[-1]
+    return None
+
+
+def open_file(path: str):
+    """A byte stream of a file as Spark names it (``file:/a b``, ``s3a://bucket/key``); None for a scheme that Arrow does not know."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem().open_input_stream("/" + rest.lstrip("/"), compression=None)
+    try:
+        files, at = fs.FileSystem.from_uri(quote(path.replace("s3a:", "s3:", 1), safe=":/@=+,"))
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        return None
+    return files.open_input_stream(at, compression=None)
+
+
+def _read_headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        paths, headers, opened = b.column("path").to_pylist(), [], []
+        for p in paths:
+            stream = open_file(p)
+            opened.append(stream is not None)
+            with stream or nullcontext():
+                headers.append(first_line(stream) if stream else None)
+        yield pa.record_batch({"path": pa.array(paths, pa.string()), "header": pa.array(headers, pa.string()), "opened": pa.array(opened, pa.bool_())})
+
+
+def header_lines(spark: SparkSession, root: str) -> DataFrame:
+    """``path, header`` of every file that has a line with text, written once.
+
+    The files are listed without their content, and a task reads the first block of each of its files (S2): the bytes read do not grow with
+    the files' length.  Where Arrow cannot open the scheme, the lines are scanned by Spark instead.
+    """
+    files = csv_files(spark, root).select("path")
+    found = materialize(files.repartition(spark.sparkContext.defaultParallelism).mapInArrow(_read_headers, "path string, header string, opened boolean"), "csv-headers")
+    if found.where("NOT opened").isEmpty():
+        return found.where("header IS NOT NULL").select("path", "header")
+    first = (csv_lines(spark, root).where((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != ""))
+             .select(F.col("_metadata.file_path").alias("path"), F.struct(F.monotonically_increasing_id().alias("at"), "value").alias("line"))
+             .groupBy("path").agg(F.min("line").getField("value").alias("header")))
+    path = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
+    return materialize(first.select(path.alias("path"), F.rtrim(F.regexp_replace("header", "\r$|^\ufeff", "")).alias("header")), "csv-headers")
+
+
 def header_groups(spark: SparkSession, root: str) -> dict[str, list[str] | None]:
     """Distinct header lines with the files that have each (D15); error if there is no file.
 
-    One job: the first line of each file, from the split that starts the file.  A single
-    header gives no file list, as the root is then read as it is; the paths of files reach
+    A single header gives no file list, as the root is then read as it is; the paths of files reach
     the driver only where layouts differ.
     """
-    first = (csv_lines(spark, root).where((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != ""))
-             .select(F.col("_metadata.file_path").alias("path"), F.struct(F.monotonically_increasing_id().alias("at"), "value").alias("line"))
-             .groupBy("path").agg(F.min("line.at").alias("at"), F.min("line").getField("value").alias("header")))
-    first = materialize(first.select("path", F.rtrim(F.regexp_replace("header", "\r$|^\ufeff", "")).alias("header")), "csv-headers")
+    first = header_lines(spark, root)
     headers = [r["header"] for r in first.select("header").distinct().orderBy("header").collect()]
     if not headers:
         raise IngestError(f"No CSV files under {root}")
     if len(headers) == 1:
         return {headers[0]: None}
-    return {h: [unquote(r["path"]) for r in first.where(F.col("header") == h).orderBy("path").collect()] for h in headers}
+    return {h: [r["path"] for r in first.where(F.col("header") == h).orderBy("path").collect()] for h in headers}
 
 
 def _rename(df: DataFrame) -> DataFrame:
