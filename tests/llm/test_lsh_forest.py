@@ -7,7 +7,7 @@ from helpers import EDGE, MID, SMALL, duck_rows, edge_docs, empty_docs, spark_ro
 from tarmac.llm import lsh_forest, queries
 from tarmac.llm.common import table
 from tarmac.llm.jaccard_tiles import jaccard_components
-from tarmac.llm.lsh_forest import DEPTH, TREES, near_copies, neighbours, one_of_each, signature
+from tarmac.llm.lsh_forest import DEPTH, TREES, alike_rows, near_copies, neighbours, one_of_each, region_links, signature
 
 
 def _shingles(text, k=3):
@@ -87,6 +87,37 @@ def test_candidates_are_linear_in_the_rows(spark, monkeypatch):
     assert neighbours(rows.limit(0), 3).count() == 0
 
 
+def test_long_regions_equal_all_pairs(spark, monkeypatch):
+    """Copies with few and with many changes, so that many pairs lie about the threshold, in regions far longer than the reach."""
+    monkeypatch.setattr(lsh_forest, "ROUNDS", ((1, 1), (11, 1)))
+    monkeypatch.setattr(lsh_forest, "CELL", 32)
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(4000)]
+    base, rows = rng.choices(vocab, k=150), []
+    for i in range(300):
+        w = list(base)
+        for _ in range(rng.randint(0, 14)):
+            w[rng.randrange(len(w))] = rng.choice(vocab)
+        rows.append((i, " ".join(w)))
+    assert _got(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == _brute(rows)
+
+
+def test_regions_give_fewer_links_than_rows(spark):
+    """All rows alike: one link fewer than rows; sets that are not similar give none; rows of one component are left alone."""
+    n, s = 300, np.arange(100, dtype=np.uint64)
+    rows = [(0, bytes(4 * DEPTH), i, i, bytes(4 * TREES * DEPTH), bytes(TREES * DEPTH), (s + np.uint64(i % 3)).tobytes()) for i in range(n)]
+    df = spark.createDataFrame(rows, "tree int, hashes binary, sid long, comp long, sig binary, low binary, s binary").repartition(4)
+    narrow = df.drop("sig", "s")
+    assert alike_rows(narrow, 1024).count() == n and alike_rows(narrow.withColumn("comp", F.lit(7).cast("long")), 1024).count() == 0
+    links = [(r.u, r.v) for r in region_links(df, 1024, 85).collect()]
+    parent = dict(zip(range(n), range(n)))
+    for u, v in links:
+        parent = {k: parent[u] if r == parent[v] else r for k, r in parent.items()}
+    assert len(links) == n - 1 and len(set(parent.values())) == 1
+    assert region_links(df, 1024, 100).count() == n - 3
+    assert region_links(df.withColumn("tree", F.lit(1)), 1024, 85).count() == 0  # tree 0 has these pairs
+
+
 def test_shared_hashes_estimate_the_similarity():
     rng = np.random.default_rng(3)
     s = rng.integers(0, 1 << 63, 6000, dtype=np.uint64)
