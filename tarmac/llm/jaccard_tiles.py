@@ -17,8 +17,9 @@ Classes of similarity ``percent`` or more are found exactly:
 Rounds keep large groups of near copies from being compared pair by pair.  The first takes every class in its largest
 tile only, neighbouring blocks and the likeliest pairs; its links are joined to components.  Tiles within one component are
 dropped then, on narrow rows, before bitmaps are joined.  The second round takes all other tiles and neighbouring blocks, the third adds the
-blocks further apart.  A tile with pairs left goes on with the next, sixteen times larger slice (in order of the
-bound) while it holds classes of different components; pairs within a component are left out.  Nothing is capped: every pair that the bitmaps let through is intersected or already connected.
+blocks further apart.  In a round each component of a tile takes its likeliest pairs with others (in order of the bound), since one
+link joins it whole; a tile with pairs left goes on with sixteen times as many for each component while it holds classes of different
+components.  Nothing is capped: every pair that the bitmaps let through is intersected or already connected.
 
 Cases: a null or empty text, or one without words, has no shingles and links with nothing; a text of fewer than
 ``k`` words is one shingle; a null id has its count, no links and a null component; repeated rows share a class; an empty
@@ -132,6 +133,16 @@ def close_pairs(na: np.ndarray, ma: np.ndarray, nb: np.ndarray, mb: np.ndarray,
     return np.concatenate(left), np.concatenate(right), np.concatenate(bound)
 
 
+def best_of_each(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Marks of the pairs (of components ``a, b``, the likeliest first) that are among the first ``most`` of either component."""
+    ends = np.concatenate([a, b])
+    order = np.lexsort((np.tile(np.arange(len(a)), 2), ends))
+    first = np.flatnonzero(np.diff(ends[order], prepend=ends[order[:1]] - 1) != 0)
+    place = np.empty(len(ends), np.int64)
+    place[order] = np.arange(len(ends)) - np.repeat(first, np.diff(np.append(first, len(ends))))
+    return (place < most).reshape(2, -1).any(0)
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Exact: two sorted sets are at least ``percent`` similar."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -275,8 +286,9 @@ def tile_members(keyed: DataFrame, percent: int) -> DataFrame:
 def candidate_pairs(tiles: DataFrame, percent: int) -> DataFrame:
     """``a, b`` of this round's pairs; rows with ``more`` name a tile (``tile, i, j, turn``) with pairs left.
 
-    ``tiles`` has ``tile, i, j, turn, block, sid, n, bits, comp``; ``turn`` counts the slices already taken (-1: two pairs a row at
-    most, and the tile comes again).
+    ``tiles`` has ``tile, i, j, turn, block, sid, n, bits, comp``.  Of the pairs of different components, each component of a tile
+    takes its likeliest: 2 in ``turn`` -1 (the tile comes again) and 0, sixteen times more in each turn after that.  So a turn's pairs
+    are in proportion to a tile's components, not to their square; a tile is done when its components have taken all.
     """
     names = ["a", "b", "more", "tile", "i", "j", "turn"]
 
@@ -307,18 +319,24 @@ def candidate_pairs(tiles: DataFrame, percent: int) -> DataFrame:
             if i[rows[0]] == j[rows[0]]:
                 keep = x < y
                 x, y, bound = x[keep], y[keep], bound[keep]
-            rank = np.lexsort((sid[right[y]], sid[left[x]], -bound))
+            x, y = left[x], right[y]
+            apart = comp[x] != comp[y]
+            x, y, bound = x[apart], y[apart], bound[apart]
+            likeliest = np.lexsort((np.maximum(sid[x], sid[y]), np.minimum(sid[x], sid[y]), -bound))
+            x, y = x[likeliest], y[likeliest]
             took = int(turn[rows[0]])
-            done, upto = (len(rows) * 4 * 16 ** (took - 1) if took > 0 else 0), len(rows) * (4 * 16 ** took if took >= 0 else 2)
-            if len(rank) > upto and took >= 0:
+            keep = best_of_each(comp[x], comp[y], 2 * 16 ** max(took, 0))
+            if took >= 0 and not keep.all():
                 left_over.append(rows[0])
-            rank = rank[done:upto]
-            x, y = left[x[rank]], right[y[rank]]
-            apart = comp[x] != comp[y]
-            a_out.append(sid[x[apart]])
-            b_out.append(sid[y[apart]])
+            a_out.append(sid[x[keep]])
+            b_out.append(sid[y[keep]])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_out, b_out))
         a, b = np.minimum(a, b), np.maximum(a, b)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.ones(len(a), bool)  # two classes meet in many tiles
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        a, b = a[new], b[new]
         none = [pa.nulls(len(a), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int32())]
         yield pa.record_batch([pa.array(a), pa.array(b), pa.array(np.zeros(len(a), bool)), *none], names)
         if left_over:
