@@ -20,12 +20,12 @@ from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from ..functions.coerce import clean_text, coerce_numeric, integral_violation, null_if_na_token, to_date_lenient
+from ..functions.coerce import integral, no_na_token, not_integral, strip, stripped_to_date, to_double
 from ..schemas import COLUMN_ALIASES, RAW_COLUMNS
 from ..session import materialize
 
@@ -153,29 +153,57 @@ def ensure_columns(df: DataFrame, source: str = "") -> DataFrame:
     return df.select(*cols, *extra)
 
 
-def coerce_types(df: DataFrame) -> DataFrame:
-    """Text -> declared types with NA tokens -> null, strip, guarded casts."""
+_NUMBERS = [c for c, (_, t) in RAW_COLUMNS.items() if not isinstance(t, (T.StringType, T.DateType))]
+_INTEGERS = [c for c in _NUMBERS if isinstance(RAW_COLUMNS[c][1], (T.ByteType, T.ShortType, T.IntegerType))]
+
+
+def _parsed(df: DataFrame) -> DataFrame:
+    """Text -> NA tokens null, stripped; numbers as doubles of any width.
+
+    Each step is a projection of its own, as the next one reads a value several times: in one expression the copies of a
+    copy made code that Java could not compile.
+    """
+    text = [c for c in RAW_COLUMNS if c in df.columns]
+    df = df.withColumns({c: strip(c) for c in text})
+    df = df.withColumns({c: no_na_token(F.col(c)) for c in text})
+    return df.withColumns({c: to_double(c) for c in _NUMBERS if c in df.columns})
+
+
+def _typed(parsed: DataFrame) -> DataFrame:
+    """:func:`_parsed` rows -> declared types."""
     cols = []
     for c, (_, t) in RAW_COLUMNS.items():
-        if isinstance(t, T.StringType):
-            cols.append(clean_text(c).alias(c))          # flight numbers stay raw text (D10)
-        elif isinstance(t, T.DateType):
-            cols.append(to_date_lenient(null_if_na_token(c)).alias(c))
+        if isinstance(t, T.DateType):
+            cols.append(stripped_to_date(F.col(c)).alias(c))
+        elif c in _INTEGERS:
+            cols.append(integral(F.col(c), t).alias(c))
         else:
-            cols.append(coerce_numeric(null_if_na_token(c), t).alias(c))
-    rest = [c for c in df.columns if c not in RAW_COLUMNS]
-    return df.select(*cols, *rest)
+            cols.append(F.col(c))          # flight numbers stay raw text (D10)
+    rest = [c for c in parsed.columns if c not in RAW_COLUMNS]
+    return parsed.select(*cols, *rest)
+
+
+def coerce_types(df: DataFrame) -> DataFrame:
+    """Text -> declared types with NA tokens -> null, strip, guarded casts."""
+    return _typed(_parsed(df))
+
+
+def _violations(parsed: DataFrame) -> list[Column]:
+    return [F.count_if(not_integral(F.col(c))).alias(c) for c in _INTEGERS if c in parsed.columns]
 
 
 def integral_violations(df_text: DataFrame) -> DataFrame:
     """Per integer column: count of numeric but non-integral values."""
-    ints = [c for c, (_, t) in RAW_COLUMNS.items()
-            if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType)) and c in df_text.columns]
-    return df_text.agg(*[F.count_if(integral_violation(null_if_na_token(c))).alias(c) for c in ints])
+    parsed = _parsed(df_text)
+    return parsed.agg(*_violations(parsed))
 
 
 def read_raw_csv(spark: SparkSession, root: str, strict: bool = False) -> DataFrame:
-    """Raw CSV tree -> typed rows with ``SOURCE_FILE``."""
+    """Raw CSV tree -> typed rows with ``SOURCE_FILE``.
+
+    ``strict`` raises on non-integral values in integer columns (D7): the typed rows are written, and counted in the job that writes
+    them, so that the text is read and parsed once.
+    """
     frames = []
     for header, paths in header_groups(spark, root).items():
         names = next(csv.reader([header]))
@@ -186,8 +214,11 @@ def read_raw_csv(spark: SparkSession, root: str, strict: bool = False) -> DataFr
         df = reader.csv(root if paths is None else paths).withColumn("SOURCE_FILE", F.col("_metadata.file_name"))
         frames.append(ensure_columns(_rename(df), source=f"files with header {names[:4]}..."))
     text = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    if strict:
-        bad = {k: v for k, v in integral_violations(text).first().asDict().items() if v}
-        if bad:
-            raise IngestError(f"non-integral values in integer columns: {bad}")
-    return coerce_types(text)
+    if not strict:
+        return coerce_types(text)
+    parsed, seen = _parsed(text), Observation("violations")
+    typed = materialize(_typed(parsed.observe(seen, *_violations(parsed))), "typed")
+    bad = {k: v for k, v in seen.get.items() if v}
+    if bad:
+        raise IngestError(f"non-integral values in integer columns: {bad}")
+    return typed
