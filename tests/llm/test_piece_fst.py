@@ -1,5 +1,6 @@
 import itertools
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -69,3 +70,11 @@ def test_unigram_path_is_the_cheapest_segmentation(tmp_path):
 def test_unsupported_models_are_refused(tmp_path):
     with pytest.raises(ValueError):
         _unigram(tmp_path, [(f"a{META}b", -1.0)])
+
+
+def test_the_query_gives_the_ids(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    rows = queries.op8_piece_fst(spark, SMALL).collect()  # gave their number and checksum only
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    assert {r.doc_id: r.ids for r in rows} == dict(zip(texts, library.encode(list(texts.values()))))
+    assert all(r.n_pieces == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4")) for r in rows)
